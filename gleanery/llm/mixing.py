@@ -17,7 +17,9 @@ Repeated rows are documents of their own. A source of size 0 has target 0. Extra
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -140,3 +142,51 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float =
 
     out = dealt.groupBy("shard").applyInArrow(run, schema)
     return out.select(F.col("id").alias("doc_id"), "size", "source", "source_size", "target", "taken", "spans", *(F.col(f"kept_{c}").alias(f"kept_{c}") for c in keep))
+
+
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def taken_text(text: bytes, spans: list[tuple[int, int, int]], copy: int) -> bytes:
+    """What copy number `copy` (from 1) takes of a text: runs of words as they stand there, what is cut out a line end."""
+    runs: list[list[int]] = []
+    for a, b, times in spans:
+        if times >= copy and b > a:
+            if runs and runs[-1][1] == a:
+                runs[-1][1] = b
+            else:
+                runs.append([a, b])
+    if not runs:
+        return b""
+    words = [m.span() for m in _WORD.finditer(text)]
+    if runs == [[0, len(words)]]:
+        return text
+    return b"\n".join(text[words[a][0] : words[b - 1][1]] for a, b in runs)
+
+
+def mixed_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", length_column: str = "n_chars", **how) -> DataFrame:
+    """The mix as rows of docs' columns: a row for each copy that takes any of a document, its text cut to the words taken."""
+    columns = docs.columns
+    most = how.get("most", 2)
+    rows = mixed(docs, id_column=id_column, text_column=text_column, source_column=source_column, keep=tuple(columns), **how).where("taken > 0")
+    rows = rows.select(*(F.col(f"kept_{c}").alias(c) for c in columns), F.col("spans").alias("own_spans"))
+    place = columns.index(text_column)
+    length = columns.index(length_column) if length_column in columns else -1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                spans = [[(y["start"], y["end"], y["times"]) for y in x] for x in part.column(len(columns)).to_pylist()]
+                texts = part.column(place).cast(pa.binary()).to_pylist()
+                for copy in range(1, most + 1):
+                    got = [taken_text(t or b"", s, copy) for t, s in zip(texts, spans, strict=True)]
+                    has = [i for i, x in enumerate(got) if x]
+                    out = part.take(pa.array(has, pa.int64()))
+                    cols = [out.column(i) for i in range(len(columns))]
+                    cols[place] = pa.array([got[i] for i in has], pa.binary()).cast(pa.string())
+                    if length >= 0:
+                        cols[length] = pa.array([len(got[i].decode()) for i in has], pa.int64()).cast(cols[length].type)
+                    yield pa.RecordBatch.from_arrays(cols, names=columns)
+
+    return rows.mapInArrow(run, docs.schema)

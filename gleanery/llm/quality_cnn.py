@@ -197,3 +197,18 @@ def classified(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_co
 
 def crc_remainder(i: int) -> int:
     return zlib.crc32(str(i).encode()) % 4
+
+
+def accepted(docs: DataFrame, network: Network, threshold: float = 0.7, text_column: str = "text") -> DataFrame:
+    """The rows whose text scores the threshold at least, all columns as they were."""
+    sent = docs.sparkSession.sparkContext.broadcast(network)
+    place = docs.columns.index(text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = sent.value
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                yield part.filter(pa.array(net.scores(*C.utf8_of(part.column(place))) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -14,6 +14,7 @@ doc_id in it (null if it has none). Repeated rows each come out. Extra columns a
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 from collections.abc import Iterator
 
@@ -33,28 +34,29 @@ SMALL = 48
 FP_SCHEMA = "doc_id long, fp long"
 
 
-def pivots(n: int = PIVOTS) -> np.ndarray:
-    """The reference fingerprints: the first n values of a splitmix64 sequence."""
-    return C.mixed((np.arange(1, n + 1, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15))
+def pivots(n: int = PIVOTS, words: int = 1) -> np.ndarray:
+    """The reference fingerprints of `words` times 64 bits: the first values of a splitmix64 sequence."""
+    return C.mixed(np.arange(1, n * words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(n, words)
 
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
-    """SimHash over the XXH64 of all shingles of `width` words; a bit is 1 if set in over half of them."""
-    words = text.lower().split()
+def shingle_hashes(words: list[bytes], width: int, seed: int) -> np.ndarray:
+    """XXH64 of each run of `width` words, or of the whole sequence where it is shorter; none for no words."""
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     if len(words) <= width:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), seed)]
-    else:
-        line = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words))) + np.arange(len(words))
-        starts = np.concatenate([[0], ends[: -width] + 1]).tolist()
-        xx = xxhash.xxh64_intdigest
-        hashes = [xx(line[s:e], seed) for s, e in zip(starts, ends[width - 1 :].tolist(), strict=True)]
-    h = np.array(hashes, np.uint64)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed)], np.uint64)
+    line = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words))) + np.arange(len(words))
+    starts = np.concatenate([[0], ends[:-width] + 1]).tolist()
+    xx = xxhash.xxh64_intdigest
+    return np.array([xx(line[s:e], seed) for s, e in zip(starts, ends[width - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def majority(h: np.ndarray) -> int:
+    """The 64 bits that are set in over half of the hashes."""
     each = h.view(np.uint8).reshape(-1, 8)
     if len(h) < 64:
         counts = np.unpackbits(each, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -63,6 +65,11 @@ def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * counts > len(h), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
+    """SimHash over the XXH64 of all shingles of `width` words; a bit is 1 if set in over half of them."""
+    return majority(shingle_hashes(text.lower().split(), width, seed))
+
+
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, fp): the whole text's fingerprint as a signed 64-bit number."""
 
@@ -89,7 +96,7 @@ def _pairs(fp: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, dist
         k = np.flatnonzero(near)
         near[k] = np.abs(table[i[k], p] - table[j[k], p]) <= distance
     k = np.flatnonzero(near)
-    near[k] = np.bitwise_count(fp[i[k]] ^ fp[j[k]]) <= distance
+    near[k] = np.bitwise_count(fp[i[k]] ^ fp[j[k]]).sum(axis=1, dtype=np.int64) <= distance
     return near
 
 
@@ -108,13 +115,18 @@ def _walk(fp: np.ndarray, table: np.ndarray, distance: int) -> list[tuple[int, i
 
 
 def bucket_links(key: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between fingerprints of equal key, as two arrays of them."""
-    order = np.lexsort((fp, key))
+    """Links between rows of equal key whose fingerprints (n rows of 64-bit words) are near, as two arrays of places."""
+    if not len(key):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.lexsort((*fp.T, key))
     key, fp = key[order], fp[order]
-    table = np.bitwise_count(fp[:, None] ^ pivots()[None, :]).astype(np.int8) if len(fp) else np.zeros((0, PIVOTS), np.int8)
-    cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    sizes = np.diff(np.concatenate([cuts, [len(key)]]))
-    a, b = [], []
+    cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    sizes = np.diff(np.append(cuts, len(key)))
+    shared = np.repeat(sizes > 1, sizes)
+    table = np.zeros((len(key), PIVOTS), np.int16)
+    for p, pivot in enumerate(pivots(words=fp.shape[1])):
+        table[shared, p] = np.bitwise_count(fp[shared] ^ pivot).sum(axis=1, dtype=np.int16)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     small = (sizes > 1) & (sizes <= SMALL)
     for step in range(1, SMALL):  # all pairs `step` apart, over all small buckets at once
         has = small & (sizes > step)
@@ -122,15 +134,14 @@ def bucket_links(key: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.nda
             break
         n = sizes[has] - step
         i = np.repeat(cuts[has] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        ok = _pairs(fp, table, i, i + step, distance)
-        a.append(fp[i[ok]])
-        b.append(fp[i[ok] + step])
+        i = i[_pairs(fp, table, i, i + step, distance)]
+        a.append(i)
+        b.append(i + step)
     for at, n in zip(cuts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
         links = np.array(_walk(fp[at : at + n], table[at : at + n], distance), np.int64).reshape(-1, 2)
-        a.append(fp[at + links[:, 0]])
-        b.append(fp[at + links[:, 1]])
-    none = np.zeros(0, np.uint64)
-    return np.concatenate([none, *a]), np.concatenate([none, *b])
+        a.append(at + links[:, 0])
+        b.append(at + links[:, 1])
+    return order[np.concatenate(a)], order[np.concatenate(b)]
 
 
 def fingerprint_links(distinct: DataFrame, distance: int = 4, blocks: int | None = None, rows_a_task: int = 400_000) -> DataFrame:
@@ -157,8 +168,8 @@ def fingerprint_links(distinct: DataFrame, distance: int = 4, blocks: int | None
         cols = [(np.asarray(x.column(0)), np.asarray(x.column(1))) for x in batches]
         if cols:
             fp, keys = (np.concatenate(x) for x in zip(*cols, strict=True))
-            a, b = bucket_links(keys, fp.view(np.uint64), distance)
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+            a, b = bucket_links(keys, fp.view(np.uint64)[:, None], distance)
+            yield pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], names=["a", "b"])
 
     return dealt.repartition(parts, "key").mapInArrow(run, "a long, b long")
 
@@ -173,3 +184,89 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     heads = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(heads, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Groups by similarity: what differs in a fifth of its shingles has fingerprints too far apart for a pigeonhole on 64 bits.
+
+WORDS = 4
+WIDE_SCHEMA = "doc_id long, sha string, k0 long, k1 long, " + ", ".join(f"w{i} long" for i in range(WORDS))
+
+
+def wide_print(text: bytes, width: int, seed: int = 42) -> list[int]:
+    """128 SimHash bits of the distinct words, then 64 * WORDS bits of the distinct shingles of `width` words."""
+    words = text.lower().split()
+    single = np.unique(shingle_hashes(sorted(set(words)), 1, seed))
+    runs = np.unique(shingle_hashes(words, width, seed))
+    out = [majority(C.mixed(single + np.uint64(i))) for i in range(2)]
+    return out + [majority(C.mixed(runs + np.uint64(i))) for i in range(WORDS)]
+
+
+def distance_at(similarity: float, bits: int = 64 * WORDS) -> int:
+    """The expected number of differing bits between two sets of equal size and that Jaccard similarity, and half a deviation."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * share + 0.5 * np.sqrt(bits * share * (1 - share)))
+
+
+def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, similarity: float = 0.8, recall: float = 0.99) -> DataFrame:
+    """(doc_id, sha, component_id, keep): groups linked by about `similarity` of their shingles; keep marks one text of each.
+
+    sha is the text's SHA-256 (null: empty). Tables of sampled bits of the words' fingerprint deal documents to buckets; two texts
+    that share 9 of 10 words meet in one with probability `recall`. In buckets, wide fingerprints of the shingles estimate the similarity.
+    Kept is the smallest doc_id (nulls last, then by sha).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = C.utf8_of(batch.column(1))
+            raw, at = data.tobytes(), at.tolist()
+            texts = [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+            prints = np.array([wide_print(x, width) for x in texts], np.uint64).reshape(-1, 2 + WORDS)
+            cols = [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in prints.T]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string()), *cols], names=[x.split()[0] for x in WIDE_SCHEMA.split(", ")])
+
+    names = ["k0", "k1", *(f"w{i}" for i in range(WORDS))]
+    prints = staged(docs.select(F.col(id_column).cast("long"), F.col(text_column).cast("string")).mapInArrow(run, WIDE_SCHEMA).withColumn("node", F.xxhash64(*names)), "prints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "sha")).alias("first")
+    nodes = staged(prints.groupBy("node", *names).agg(first), "nodes")
+    n = nodes.count()
+    k = max(8, int(np.ceil(np.log2(max(2, n)))) + 6)
+    tables = int(np.ceil(np.log(1 - recall) / np.log(1 - 0.9**k)))
+    near = distance_at(similarity)
+    parts = max(12, -(-n * tables // 300_000))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pick = np.random.default_rng(3)
+        places = [pick.permutation(128)[:k] for _ in range(tables)]
+        worth = 1 << np.arange(k, dtype=np.int64)
+        for batch in batches:
+            bits = np.unpackbits(np.stack([np.asarray(batch.column(c)) for c in (1, 2)], axis=1).view(np.uint8), axis=1, bitorder="little")
+            rest = [batch.column(0), *(batch.column(c) for c in range(3, 3 + WORDS))]
+            for t, at in enumerate(places):
+                key = bits[:, at].astype(np.int64) @ worth + (t << k)
+                yield pa.RecordBatch.from_arrays([pa.array(key), *rest], names=["key", "node", *names[2:]])
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches))
+        if len(rows):
+            fp = np.stack([np.asarray(rows[c]) for c in names[2:]], axis=1).view(np.uint64)
+            node = np.asarray(rows["node"])
+            a, b = bucket_links(np.asarray(rows["key"]), fp, near)
+            yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+
+    wide = ", ".join(f"{x} long" for x in names[2:])
+    dealt = nodes.select("node", *names).mapInArrow(deal, f"key long, node long, {wide}")
+    links = dealt.repartition(parts, "key").mapInArrow(link, "a long, b long")
+    found = connected_components(links, "a", "b")
+    rooted = nodes.join(found.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("node", "first", F.coalesce("component", "node").alias("root"))
+    heads = rooted.groupBy("root").agg(F.min("first").alias("head"))
+    named = rooted.join(heads, "root").select("node", "head")
+    same = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("sha") == F.col("head.sha"))
+    return prints.join(named, "node").select("doc_id", "sha", F.col("head.doc_id").alias("component_id"), same.alias("keep"))
+
+
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs, one for each group of near copies, all columns as they were."""
+    kept = similar_groups(docs, id_column, text_column, width, similarity).where("keep").select(F.col("doc_id").alias("kept_id"), F.col("sha").alias("kept_sha")).distinct()
+    marked = docs.withColumn("own_sha", F.sha2(F.coalesce(F.col(text_column).cast("string"), F.lit("")).cast("binary"), 256))
+    on = marked[id_column].cast("long").eqNullSafe(kept["kept_id"]) & (marked["own_sha"] == kept["kept_sha"])
+    return marked.join(kept, on, "left_semi").dropDuplicates([id_column, "own_sha"]).drop("own_sha")
