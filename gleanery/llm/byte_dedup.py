@@ -3,11 +3,14 @@
 A corpus of any size can't have one suffix array, so strings that are equal are first brought together, without loss. Each
 window of `width` bytes picks an anchor: of its runs of GRAM bytes, the one of least hash, the leftmost of equals. That depends
 on the window's bytes alone, so equal windows pick equal anchors, and the windows of a document that pick one place are
-consecutive: they make a segment, and each window belongs to exactly one. Round 1 counts, for each anchor, its segments'
-digests: an anchor that stands once has no repeat; a segment that stands twice repeats as a whole; where segments of one anchor
-differ, one of each kind goes on. Round 2 deals those by anchor to shards of about SHARD_BYTES, where a suffix array by induced
-sorting and the permuted common prefixes say for each window if it stands twice in the shard. Two windows of a shard never
-are the same place, so a repeat there is a repeat in the corpus, and no repeat is missed.
+consecutive. Those in which at least half of the bytes beside the anchor stand before it make one segment, the others another;
+all windows of a segment share the anchor and that half, which is the segment's key. So each window belongs to one segment,
+and equal windows to segments of equal keys. Round 1 counts, for each key, its segments' digests: a key that stands once has
+no repeat; a segment that stands twice repeats as a whole; where segments of one key differ, one of each kind goes on.
+Round 2 deals those by key to shards of about SHARD_BYTES, where a suffix array by induced sorting and the permuted common
+prefixes say for each window if it stands twice in the shard. Two windows of a shard never are the same place, so a repeat
+there is a repeat in the corpus, and no repeat is missed. A key of more than MANY kinds (a passage that countless documents
+quote) would make its shard grow with the corpus: its windows are dealt singly, by digest, and counted, which is as exact.
 
 Defined results: a null or empty text has no bytes and one empty hash. Texts shorter than `width` are kept whole. Repeated rows
 repeat each other. Null ids are kept. Extra columns are ignored. An empty table gives no rows.
@@ -31,38 +34,40 @@ from gleanery.session import staged
 GRAM = 32
 BASE = 0xD6E8FEB86659FD93
 ASK_BYTES = 32 << 20
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 3 << 19
+MANY = 256
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 DIGEST_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 class _Segments:
-    """A block's segments: hash of the anchor, first and last window, digest; and one entry for each kind of them."""
+    """A block's segments: key, first and last window, digest; and one entry for each kind of them."""
 
     def __init__(self, block: C.Block, width: int):
         data, at = block.data, block.at
-        grams = width - GRAM + 1
-        n = len(data) - GRAM + 1
+        grams, half = width - GRAM + 1, (width - GRAM) // 2
         full = np.flatnonzero(np.diff(at) >= width)
-        if not len(full):
-            self.hash, self.lo, self.hi = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        else:
-            places = np.arange(n)
+        self.width, self.raw = width, block.raw
+        self.key, self.lo, self.hi = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        place: list[int] = []
+        if len(full):
+            places = np.arange(len(data) - GRAM + 1)
             sums = C.prefix_hash(data, BASE)
             hashes = C.span_hash(sums, places, places + GRAM, BASE)
-            key = (hashes & np.uint64(0xFFFFFFFF00000000)) | places.astype(np.uint64)
-            least = _sliding_least(key, grams)
+            least = _sliding_least((hashes & np.uint64(0xFFFFFFFF00000000)) | places.astype(np.uint64), grams)
+            del hashes, places
             edge = np.zeros(len(least) + 1, np.int32)
             np.add.at(edge, at[full], 1)
             np.add.at(edge, at[full + 1] - width + 1, -1)
             start = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
             pick = (least[start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            new = np.concatenate([[True], (pick[1:] != pick[:-1]) | (start[1:] != start[:-1] + 1)])
+            before = pick - start >= half
+            new = np.concatenate([[True], (pick[1:] != pick[:-1]) | (start[1:] != start[:-1] + 1) | (before[1:] != before[:-1])])
             first = np.flatnonzero(new)
-            last = np.append(first[1:], len(start)) - 1
-            self.lo, self.hi = start[first], start[last]
-            self.hash = hashes[pick[first]]
-            place = (pick[first] - self.lo).tolist()
+            self.lo, self.hi = start[first], start[np.append(first[1:], len(start)) - 1]
+            pick, before = pick[first], before[first]
+            self.key = C.span_hash(sums, np.where(before, pick - half, pick), np.where(before, pick, pick + half) + GRAM, BASE) ^ before.astype(np.uint64)
+            place = (pick - self.lo).tolist()
         raw, sha = block.raw, hashlib.sha256
         if len(self.lo):
             spans = zip(self.lo.tolist(), (self.hi + width).tolist(), place, strict=True)
@@ -70,8 +75,8 @@ class _Segments:
         else:
             digest = b""
         pair = np.frombuffer(digest, np.uint64).reshape(-1, 2)
-        order = np.lexsort((pair[:, 1], pair[:, 0], self.hash))
-        h, p = self.hash[order], pair[order]
+        order = np.lexsort((pair[:, 1], pair[:, 0], self.key))
+        h, p = self.key[order], pair[order]
         new = np.ones(len(order), bool)
         new[1:] = (h[1:] != h[:-1]) | (p[1:] != p[:-1]).any(axis=1)
         self.kind_of = np.empty(len(order), np.int64)
@@ -88,6 +93,14 @@ class _Segments:
             if hi > lo:
                 yield int(shard[lo]), which[lo:hi]
 
+    def windows(self, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of all windows of these kinds' examples, and their digests as two numbers each."""
+        own = self.example[kinds]
+        sizes = self.hi[own] - self.lo[own] + 1
+        starts = np.repeat(self.lo[own] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum()) if len(own) else np.zeros(0, np.int64)
+        raw, sha, width = self.raw, hashlib.sha256, self.width
+        return starts, np.frombuffer(b"".join([sha(raw[a : a + width]).digest()[:16] for a in starts.tolist()]), np.uint64).reshape(-1, 2)
+
 
 def _sliding_least(key: np.ndarray, width: int) -> np.ndarray:
     """The least of each `width` consecutive keys, from running minima to both sides of fixed cuts."""
@@ -100,29 +113,54 @@ def _sliding_least(key: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(ahead[:n], behind[width - 1 : width - 1 + n])
 
 
+def _grouped(first: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order by (first, pair), where a new first starts in it and where a new (first, pair) does."""
+    order = np.lexsort((pair[:, 1], pair[:, 0], first))
+    a, p = first[order], pair[order]
+    new_first = np.concatenate([[True], a[1:] != a[:-1]])
+    new = new_first.copy()
+    new[1:] |= (p[1:] != p[:-1]).any(axis=1)
+    return order, new_first, new
+
+
+def _over(values: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Each run's sum, at each of its members."""
+    return np.add.reduceat(values, np.flatnonzero(new))[np.cumsum(new) - 1]
+
+
 def _count_kinds(asks: list[bytes]) -> list[bytes]:
-    """For each block's kinds of segments: whether it stands twice, and whether this block sends it on."""
-    anchors, pairs, counts, sizes = [], [], [], []
+    """For each block's kinds of segments: whether it stands twice, whether this block sends it on, whether its key has MANY."""
+    keys, pairs, counts, sizes = [], [], [], []
     for x in asks:
         raw = C.expand(x)
         n = len(raw) // 25
-        anchors.append(np.frombuffer(raw, np.uint64, n))
+        keys.append(np.frombuffer(raw, np.uint64, n))
         pairs.append(np.frombuffer(raw, np.uint64, 2 * n, offset=8 * n).reshape(-1, 2))
         counts.append(np.frombuffer(raw, np.uint8, n, offset=24 * n))
         sizes.append(n)
-    anchor, pair, count = np.concatenate(anchors), np.concatenate(pairs), np.concatenate(counts).astype(np.int64)
-    order = np.lexsort((pair[:, 1], pair[:, 0], anchor))
-    a, p = anchor[order], pair[order]
-    new_anchor = np.concatenate([[True], a[1:] != a[:-1]])
-    new_kind = new_anchor.copy()
-    new_kind[1:] |= (p[1:] != p[:-1]).any(axis=1)
-    total = np.add.reduceat(count[order], np.flatnonzero(new_kind))[np.cumsum(new_kind) - 1]
-    kinds = np.add.reduceat(new_kind.astype(np.int64), np.flatnonzero(new_anchor))[np.cumsum(new_anchor) - 1]
-    twice, send = np.empty(len(order), bool), np.empty(len(order), bool)
-    twice[order] = total > 1
-    send[order] = new_kind & (kinds > 1)  # lexsort is stable, so the first of a kind is the smallest block's
-    cuts = np.cumsum(sizes)[:-1]
-    return [np.packbits(np.concatenate([x, y])).tobytes() for x, y in zip(np.split(twice, cuts), np.split(send, cuts), strict=True)]
+    order, new_key, new_kind = _grouped(np.concatenate(keys), np.concatenate(pairs))
+    kinds = _over(new_kind.astype(np.int64), new_key)
+    flags = np.empty((3, len(order)), bool)
+    flags[0, order] = _over(np.concatenate(counts)[order].astype(np.int64), new_kind) > 1
+    flags[1, order] = new_kind & (kinds > 1)  # the sort is stable, so the first of a kind is the smallest block's
+    flags[2, order] = kinds > MANY
+    return [np.packbits(x.ravel()).tobytes() for x in np.split(flags, np.cumsum(sizes)[:-1], axis=1)]
+
+
+def _count_windows(asks: list[bytes]) -> list[bytes]:
+    """For each block's distinct windows, whether they stand twice; each comes with its count in the block, up to 2."""
+    pairs, counts, sizes = [], [], []
+    for x in asks:
+        raw = C.expand(x)
+        n = len(raw) // 17
+        pairs.append(np.frombuffer(raw, np.uint64, 2 * n).reshape(-1, 2))
+        counts.append(np.frombuffer(raw, np.uint8, n, offset=16 * n))
+        sizes.append(n)
+    pair = np.concatenate(pairs)
+    order, _, new = _grouped(np.zeros(len(pair), np.int8), pair)
+    twice = np.empty(len(order), bool)
+    twice[order] = _over(np.concatenate(counts)[order].astype(np.int64), new) > 1
+    return [np.packbits(x).tobytes() for x in np.split(twice, np.cumsum(sizes)[:-1])]
 
 
 def _search(asks: list[bytes], width: int) -> list[bytes]:
@@ -142,12 +180,28 @@ def _search(asks: list[bytes], width: int) -> list[bytes]:
     return out
 
 
-def _read_kinds(segments: _Segments, got: dict, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    twice, send = np.zeros(len(segments.anchor), bool), np.zeros(len(segments.anchor), bool)
+def _read_kinds(segments: _Segments, got: dict, bits: int) -> np.ndarray:
+    """Of each kind: stands twice, goes on, has a key of MANY kinds."""
+    flags = np.zeros((3, len(segments.anchor)), bool)
     for shard, k in segments.by_shard(bits, np.arange(len(segments.anchor))):
-        flags = np.unpackbits(np.frombuffer(got[1, shard], np.uint8), count=2 * len(k)).astype(bool)
-        twice[k], send[k] = flags[: len(k)], flags[len(k) :]
-    return twice, send
+        flags[:, k] = np.unpackbits(np.frombuffer(got[1, shard], np.uint8), count=3 * len(k)).astype(bool).reshape(3, -1)
+    return flags
+
+
+def _distinct(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct digests in order, how often each stands, and each digest's place among them."""
+    order, _, new = _grouped(np.zeros(len(pair), np.int8), pair) if len(pair) else (np.zeros(0, np.int64), None, np.zeros(0, bool))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return pair[order[new]], np.diff(np.append(np.flatnonzero(new), len(order))), place
+
+
+def _sharded(pair: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
+    shard = (pair[:, 0] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(pair), np.int64)
+    cuts = np.flatnonzero(np.diff(shard)) + 1
+    for lo, hi in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(shard)]]), strict=True):
+        if hi > lo:
+            yield int(shard[lo]), int(lo), int(hi)
 
 
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 400, digest: bool = False) -> DataFrame:
@@ -164,40 +218,49 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
             yield shard, C.squeeze(s.anchor[k].tobytes() + s.digest[k].tobytes() + np.minimum(2, s.count[k]).astype(np.uint8).tobytes())
 
     kinds = staged(C.answered(C.ask_first(blocks, ask_kinds), _count_kinds, 1), "kinds")
-    # a reply's second half of bits says what goes on; all of its set bits bound that from above
+    # all bits that are set bound what goes on from above
     set_bits = F.expr("aggregate(transform(sequence(1, octet_length(data)), i -> bit_count(cast(conv(hex(substring(data, i, 1)), 16, 10) as int))), 0, (a, b) -> a + b)")
     going = kinds.agg(F.sum(set_bits).alias("n")).first()["n"] or 0
-    search_bits = C.shard_bits(going * (width + (width - GRAM) // 2), SHARD_BYTES)
+    search_bits = C.shard_bits(going * (width + (width - GRAM) // 4), SHARD_BYTES)
 
     def ask_search(block: C.Block, number: int, got: dict) -> pa.Table:
         s = _Segments(block, width)
-        _, send = _read_kinds(s, got, bits)
+        _, send, many = _read_kinds(s, got, bits)
         rows = []
-        for shard, k in s.by_shard(search_bits, np.flatnonzero(send)):
+        for shard, k in s.by_shard(search_bits, np.flatnonzero(send & ~many)):
             own = s.example[k]
             parts = [block.raw[a:b] for a, b in zip(s.lo[own].tolist(), (s.hi[own] + width).tolist(), strict=True)]
             lens = np.array([len(x) for x in parts], np.int32)
             rows.append((shard, number, C.squeeze(struct.pack("<q", len(parts)) + lens.tobytes() + b"".join(parts))))
+        pair, count, _ = _distinct(s.windows(np.flatnonzero(send & many))[1])
+        for shard, lo, hi in _sharded(pair, search_bits):  # single windows go to shards of negative numbers
+            rows.append((~shard, number, C.squeeze(pair[lo:hi].tobytes() + np.minimum(2, count[lo:hi]).astype(np.uint8).tobytes())))
         return pa.Table.from_batches([C._rows(rows, ("shard", "block", "data"), (pa.int64(), pa.int64(), pa.binary()))])
 
-    asks = C.with_replies(blocks, kinds, ask_search, C.ASK_SCHEMA)
-    windows = staged(C.answered(asks, lambda x: _search(x, width), 2), "windows")
+    asks = staged(C.with_replies(blocks, kinds, ask_search, C.ASK_SCHEMA), "asks")
+    searched = C.answered(asks.where("shard >= 0"), lambda x: _search(x, width), 2)
+    windows = staged(searched.unionByName(C.answered(asks.where("shard < 0"), _count_windows, 2)), "windows")
 
     def clean(block: C.Block, number: int, got: dict) -> pa.Table:
         s = _Segments(block, width)
-        twice, send = _read_kinds(s, got, bits)
-        hit = np.zeros(len(block.data), bool)
+        twice, send, many = _read_kinds(s, got, bits)
         whole = np.flatnonzero(twice[s.kind_of])
         edge = np.zeros(len(block.data) + 1, np.int32)
         np.add.at(edge, s.lo[whole], 1)
         np.add.at(edge, s.hi[whole] + 1, -1)
-        hit |= np.cumsum(edge[:-1]) > 0
-        for shard, k in s.by_shard(search_bits, np.flatnonzero(send)):
+        hit = np.cumsum(edge[:-1]) > 0
+        for shard, k in s.by_shard(search_bits, np.flatnonzero(send & ~many)):
             own = s.example[k]
             sizes = s.hi[own] - s.lo[own] + 1
             flags = np.unpackbits(np.frombuffer(got[2, shard], np.uint8), count=int(sizes.sum())).astype(bool)
             places = np.repeat(s.lo[own] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
             hit[places[flags]] = True
+        starts, digests = s.windows(np.flatnonzero(send & many))
+        pair, _, place = _distinct(digests)
+        again = np.zeros(len(pair), bool)
+        for shard, lo, hi in _sharded(pair, search_bits):
+            again[lo:hi] = np.unpackbits(np.frombuffer(got[2, ~shard], np.uint8), count=hi - lo).astype(bool)
+        hit[starts[again[place]]] = True
         gone = C.covered_from(hit, width)
         at = block.at
         sums = np.concatenate([[0], np.cumsum(gone)])

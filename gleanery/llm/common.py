@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 #: Stands for a null id inside arrays; it sorts after every id.
 NO_ID = np.iinfo(np.int64).max
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 BLOCK_SCHEMA = "block long, ids binary, lens binary, data binary"
 ASK_SCHEMA = "shard long, block long, data binary"
 REPLY_SCHEMA = "block long, kind int, shard long, data binary"

@@ -20,7 +20,7 @@ def classified(t: np.ndarray) -> np.ndarray:
     smaller = np.ones(n, bool)
     if n > 1:
         differs = t[:-1] != t[1:]
-        at = np.where(differs, np.arange(n - 1), n)
+        at = np.where(differs, np.arange(n - 1, dtype=np.int32), np.int32(n))
         at = np.minimum.accumulate(at[::-1])[::-1]
         smaller[:-1] = (t[:-1] < t[1:])[at]
     return smaller
@@ -29,7 +29,7 @@ def classified(t: np.ndarray) -> np.ndarray:
 def _induced(t: np.ndarray, smaller: np.ndarray, starts: np.ndarray, lms: np.ndarray) -> np.ndarray:
     """All suffixes in order, given the leftmost-smaller ones in theirs; starts are the buckets' and the end."""
     n, k = len(t), len(starts) - 1
-    sa = np.empty(n, np.int64)
+    sa = np.empty(n, np.int32)
     lms_by = lms[np.argsort(t[lms], kind="stable")]
     cuts = np.searchsorted(t[lms_by], np.arange(k + 1))
     head = starts[:-1].copy()
@@ -102,15 +102,16 @@ def suffix_array(t: np.ndarray, symbols: int) -> np.ndarray:
     """The order of all suffixes of t, whose values are below `symbols` and whose last one is a unique smallest 0."""
     n = len(t)
     if n == 1:
-        return np.zeros(1, np.int64)
+        return np.zeros(1, np.int32)
     smaller = classified(t)
-    lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
+    lms = (np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1).astype(np.int32)
     starts = np.concatenate([[0], np.cumsum(np.bincount(t, minlength=symbols))])
     sa = _induced(t, smaller, starts, lms)
-    place = np.full(n, -1, np.int64)
+    place = np.full(n, -1, np.int32)
     place[lms] = np.arange(len(lms))
     by_substring = sa[place[sa] >= 0]
-    length = np.ones(n, np.int64)
+    del sa
+    length = np.ones(n, np.int32)
     length[lms[:-1]] = np.diff(lms) + 1
     a, b = by_substring[:-1], by_substring[1:]
     same = np.flatnonzero(length[a] == length[b])
@@ -126,7 +127,7 @@ def suffix_array(t: np.ndarray, symbols: int) -> np.ndarray:
     count = int(names[-1]) + 1
     order = place[by_substring]
     if count < len(lms):
-        reduced = np.empty(len(lms), np.int64)
+        reduced = np.empty(len(lms), np.uint16 if count < 65536 else np.int32)  # 16 bits are sorted by radix
         reduced[order] = names
         order = suffix_array(reduced, count) if count <= RECURSE_SYMBOLS else _doubled(reduced)
     return _induced(t, smaller, starts, lms[order])
@@ -139,7 +140,7 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray, most: int, chunk: int = 64
     all chunks take their steps together, eight bytes at a time. sa may hold places beyond data (a last sentinel's).
     """
     n = len(data)
-    before = np.arange(n)
+    before = np.arange(n, dtype=np.int32)
     ok = (sa[1:] < n) & (sa[:-1] < n)
     before[sa[1:][ok]] = sa[:-1][ok]
     padded = np.concatenate([data, np.zeros(most + 16, np.uint8)])
@@ -173,7 +174,7 @@ SEPARATOR = 0xFF
 def repeated_starts(texts: list[bytes], width: int) -> list[np.ndarray]:
     """For each text, whether the `width` bytes from each place (as far as they fit) also start elsewhere in any of them."""
     joined = np.frombuffer(bytes([SEPARATOR]).join(texts), np.uint8)
-    t = np.append(joined.astype(np.int64) + 1, 0)
+    t = np.append(joined.astype(np.uint16) + np.uint16(1), np.uint16(0))
     sa = suffix_array(t, 258)
     before, common = common_prefixes(joined, sa, width)
     hit = common >= width
