@@ -39,8 +39,9 @@ RECORD_SCHEMA = "archive_id long, at long, record_type string, page_id long, tar
 
 def trained_dictionary(pages: DataFrame, id_column: str = "page_id", html_column: str = "html") -> bytes:
     """A dictionary from pages chosen by a hash of their ids; empty where there is too little to learn from."""
-    sample = pages.select(F.xxhash64(F.col(id_column).cast("long")).alias("h"), F.col(id_column).cast("long").alias("i"), F.substring(F.col(html_column), 1, SAMPLE_CHARS).alias("t"))
-    rows = sample.where("t is not null and t <> ''").orderBy("h", "i", "t").limit(SAMPLE_PAGES).collect()
+    rows = pages.select(F.col(id_column).cast("long").alias("i"), F.substring(F.col(html_column), 1, SAMPLE_CHARS).alias("t")).where("i is not null and t <> ''")
+    chosen = rows.select("i").distinct().orderBy(F.xxhash64("i"), "i").limit(SAMPLE_PAGES)
+    rows = rows.join(F.broadcast(chosen), "i").groupBy("i").agg(F.min("t").alias("t")).orderBy("i").collect()
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [r.t.encode() for r in rows]).as_bytes() if len(rows) >= 8 else b""
     except zstandard.ZstdError:
