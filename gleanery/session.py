@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def build_session(master: str = "local[*]", app: str = "gleanery", shuffle_partitions: int = 8, **extra: str) -> SparkSession:
     """A session as tests and the bench use it; a cluster brings its own settings."""
     builder = (
@@ -46,5 +49,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One input table, by any path that Spark's own readers open."""
+    """One input table, by any path that Spark's own readers open.
+
+    Rows can hold whole documents, so Arrow batches of the default 10,000 rows take much memory outside the heap; where the
+    session hasn't set a size, they are made smaller.
+    """
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, "2000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
