@@ -19,7 +19,6 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ from pyspark.sql import types as T
 
 from gleanery.llm import common as C
 
-WORDS_A_SHARD = 4_000_000
+WORDS_A_SHARD = 1_000_000
 BLOCK_WORDS, LEAST_BLOCKS = 256, 200
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -116,10 +115,26 @@ def mix_shard(rows: pa.Table, block: int, most: int, seed: int) -> list[list[tup
     return out
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 17, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, source, source_size, target, taken and spans (the runs of words taken, with times), and columns to keep."""
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 17, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
+    """doc_id, size, source, source_size, target, taken and spans: the runs of words taken, each with its times."""
+    dealt, block = _dealt(docs, weights, share, most, seed, id_column, text_column, source_column, ())
+    spans = T.ArrayType(T.StructType([T.StructField(x, T.LongType()) for x in ("start", "end", "times")]))
+    schema = T.StructType([*dealt.schema.fields, T.StructField("taken", T.LongType()), T.StructField("spans", spans)])
+
+    def run(rows: pa.Table) -> pa.Table:
+        got = mix_shard(rows, block, most, seed)
+        taken = pa.array([sum((b - a) * t for a, b, t in x) for x in got], pa.int64())
+        kind = pa.list_(pa.struct([(x, pa.int64()) for x in ("start", "end", "times")]))
+        return rows.append_column("taken", taken).append_column("spans", pa.array([[dict(zip(("start", "end", "times"), y, strict=True)) for y in x] for x in got], kind))
+
+    out = dealt.groupBy("shard").applyInArrow(run, schema)
+    return out.select(F.col("id").alias("doc_id"), "size", "source", "source_size", "target", "taken", "spans")
+
+
+def _dealt(docs: DataFrame, weights: tuple[int, ...], share: float, most: int, seed: int, id_column: str, text_column: str, source_column: str, keep: tuple[str, ...]) -> tuple[DataFrame, int]:
+    """Rows with their size, target and shard (and columns to keep, by place), and the block's size in words."""
     size = F.coalesce(F.regexp_count(F.col(text_column).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(source_column).cast("string").alias("source"), size.alias("size"), *(F.col(c).alias(f"kept_{c}") for c in keep))
+    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(source_column).cast("string").alias("source"), size.alias("size"), *(F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)))
     targets = source_targets(rows.select("source", "size"), weights, share, most)
     bounds = targets.agg(F.min(F.when(F.col("target") > 0, F.col("target"))).alias("least"), F.sum("source_size").alias("all")).first()
     least, total = bounds["least"] or 0.0, bounds["all"] or 0
@@ -131,17 +146,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float =
     order = F.xxhash64(F.lit(seed), "id")
     part = F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.greatest(F.lit(1), F.ceil(F.col("source_size") / WORDS_A_SHARD)))
     dealt = known.withColumns({"order": order, "shard": F.pmod(F.pmod(F.xxhash64(F.lit(seed), "source"), F.lit(shards)) + part, F.lit(shards))})
-    spans = T.ArrayType(T.StructType([T.StructField(x, T.LongType()) for x in ("start", "end", "times")]))
-    schema = T.StructType([*dealt.schema.fields, T.StructField("taken", T.LongType()), T.StructField("spans", spans)])
-
-    def run(rows: pa.Table) -> pa.Table:
-        got = mix_shard(rows, block, most, seed)
-        taken = pa.array([sum((b - a) * t for a, b, t in x) for x in got], pa.int64())
-        kind = pa.list_(pa.struct([(x, pa.int64()) for x in ("start", "end", "times")]))
-        return rows.append_column("taken", taken).append_column("spans", pa.array([[dict(zip(("start", "end", "times"), y, strict=True)) for y in x] for x in got], kind))
-
-    out = dealt.groupBy("shard").applyInArrow(run, schema)
-    return out.select(F.col("id").alias("doc_id"), "size", "source", "source_size", "target", "taken", "spans", *(F.col(f"kept_{c}").alias(f"kept_{c}") for c in keep))
+    return dealt, block
 
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -164,29 +169,26 @@ def taken_text(text: bytes, spans: list[tuple[int, int, int]], copy: int) -> byt
     return b"\n".join(text[words[a][0] : words[b - 1][1]] for a, b in runs)
 
 
-def mixed_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", length_column: str = "n_chars", **how) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 17, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", length_column: str = "n_chars") -> DataFrame:
     """The mix as rows of docs' columns: a row for each copy that takes any of a document, its text cut to the words taken."""
     columns = docs.columns
-    most = how.get("most", 2)
-    rows = mixed(docs, id_column=id_column, text_column=text_column, source_column=source_column, keep=tuple(columns), **how).where("taken > 0")
-    rows = rows.select(*(F.col(f"kept_{c}").alias(c) for c in columns), F.col("spans").alias("own_spans"))
+    dealt, block = _dealt(docs, weights, share, most, seed, id_column, text_column, source_column, tuple(columns))
     place = columns.index(text_column)
     length = columns.index(length_column) if length_column in columns else -1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                spans = [[(y["start"], y["end"], y["times"]) for y in x] for x in part.column(len(columns)).to_pylist()]
-                texts = part.column(place).cast(pa.binary()).to_pylist()
-                for copy in range(1, most + 1):
-                    got = [taken_text(t or b"", s, copy) for t, s in zip(texts, spans, strict=True)]
-                    has = [i for i, x in enumerate(got) if x]
-                    out = part.take(pa.array(has, pa.int64()))
-                    cols = [out.column(i) for i in range(len(columns))]
-                    cols[place] = pa.array([got[i] for i in has], pa.binary()).cast(pa.string())
-                    if length >= 0:
-                        cols[length] = pa.array([len(got[i].decode()) for i in has], pa.int64()).cast(cols[length].type)
-                    yield pa.RecordBatch.from_arrays(cols, names=columns)
-
-    return rows.mapInArrow(run, docs.schema)
+    def run(rows: pa.Table) -> pa.Table:
+        spans = mix_shard(rows, block, most, seed)
+        own = rows.select([f"kept_{i}" for i in range(len(columns))]).rename_columns(columns)
+        out = []
+        for copy in range(1, most + 1):
+            has = [i for i, x in enumerate(spans) if any(t >= copy for _, _, t in x)]
+            texts = (own[text_column][i].as_py() for i in has)
+            got = [taken_text(t.encode(), spans[i], copy) for i, t in zip(has, texts, strict=True)]
+            part = own.drop_columns([text_column]).take(pa.array(has, pa.int64())).add_column(place, own.schema.field(place), pa.array(got, pa.binary()).cast(own.schema.field(place).type))
+            if length >= 0:
+                kind = own.schema.field(length)
+                part = part.set_column(length, kind, pa.array([len(x.decode()) for x in got], pa.int64()).cast(kind.type))
+            out.append(part)
+        return pa.concat_tables(out)
+
+    return dealt.groupBy("shard").applyInArrow(run, docs.schema)
