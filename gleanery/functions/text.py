@@ -7,10 +7,12 @@ mean what they mean for any script. Nulls: every function here gives an empty st
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SPACE = r"[\s\x1c-\x1f]"
 
@@ -57,7 +59,7 @@ def _sub(c: Column, pattern: str, to: str = " ", flags: str = "U") -> Column:
     return F.regexp_replace(c, f"(?{flags}){pattern}", to)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
 
@@ -165,27 +167,41 @@ def words(c: Column | str) -> Column:
     return F.regexp_extract_all(canonical(c), F.lit(WORD), F.lit(0))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once: inside a lambda, a repeated expression would be computed for each element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def shingles_of(w: Column, k: int = 5) -> Column:
     """Distinct runs of k words; all words where there are fewer; none for no words."""
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - k + 1)), lambda i: F.array_join(F.slice(w, i, k), " "))
-    return F.when(F.size(w) > 0, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+    def runs(v: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(v) - k + 1)), lambda i: F.array_join(F.slice(v, i, k), " "))
+        return F.when(F.size(v) > 0, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
+
+    return _let(w, runs)
 
 
 def chunks(c: Column | str, size: int = 180, most: int = 24) -> Column:
     """Runs of `size` words that don't overlap, `most` of them; one empty run for no words."""
-    w = F.split(normalize_space(c), " ")
-    starts = F.sequence(F.lit(0), F.least(F.lit(most), F.greatest(F.lit(1), F.ceil(F.size(w) / size).cast("int"))) - 1)
-    return F.transform(starts, lambda i: F.array_join(F.slice(w, i * size + 1, size), " "))
+
+    def runs(w: Column) -> Column:
+        n = F.least(F.lit(most), F.greatest(F.lit(1), F.ceil(F.size(w) / size).cast("int")))
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice(w, i * size + 1, size), " "))
+
+    return _let(F.split(normalize_space(c), " "), runs)
 
 
 def word_windows(c: Column | str, size: int = 320, overlap: int = 60) -> Column:
     """Runs of `size` words that overlap, up to the one that reaches the end; none for no words."""
-    t = normalize_space(c)
-    w = F.split(t, " ")
     step = size - overlap
-    n = F.greatest(F.lit(1), F.ceil((F.size(w) - size) / step).cast("int") + 1)
-    runs = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice(w, i * step + 1, size), " "))
-    return F.when(t != "", runs).otherwise(F.array().cast("array<string>"))
+
+    def runs(w: Column) -> Column:
+        n = F.greatest(F.lit(1), F.ceil((F.size(w) - size) / step).cast("int") + 1)
+        each = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice(w, i * step + 1, size), " "))
+        return F.when((F.size(w) > 1) | (F.get(w, 0) != ""), each).otherwise(F.array().cast("array<string>"))
+
+    return _let(F.split(normalize_space(c), " "), runs)
 
 
 # Keys of listed objects.

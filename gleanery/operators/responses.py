@@ -28,7 +28,7 @@ def counted(text: Column | str) -> list[Column]:
 def passages(rows: DataFrame, key: str, text: str, window: int = 700, stride: int = 350, commenter: str = COMMENTER, act: str = ACT) -> DataFrame:
     """(key, windows, response_windows, response_density, offsets): windows with both a commenter and an act; the first 5 offsets."""
     t = F.coalesce(F.col(text), F.lit(""))
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(t) - window), F.lit(stride))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length("t") - window), F.lit(stride))
     cut = rows.select(F.col(key), t.alias("t")).select(key, "t", F.explode(starts).alias("at"))
     w = F.substring("t", F.col("at") + 1, F.lit(window))
     hit = w.rlike("(?iuU)" + commenter) & w.rlike("(?iuU)" + act)

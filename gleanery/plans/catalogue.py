@@ -1,11 +1,593 @@
-"""Every query of the engine by name, with its SQL twin where SQL can express it."""
+"""Every query of the engine by name, with its SQL twin where SQL can express it.
+
+The driver's tables stand in for a corpus: docket = source, id = doc_id, attachments = conversations (conv_id = doc_id, in order
+of turn), duplicateComments = n_chars % 7 (0: not populated), keys = urls, series numbers = labels.doc_id, two labellers =
+quality and 1 - toxic, vectors = embeddings. Rules that those tables never trigger run on short inline fixtures.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from gleanery.functions import minhash as M
+from gleanery.functions import text as T
+from gleanery.operators import coverage, embedding, evaluate, linkage, metrics, responses
+from gleanery.operators.components import connected_components
+from gleanery.plans import docket
+from gleanery.session import table
+from gleanery.sources import records
+
+#: For vectors of the driver's tables, whose cosines stay far below the ladder's own threshold.
+COSINE = 0.30
+JACCARD = docket.JACCARD
+SIG, BANDS, ROWS = 16, 8, 2
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
+
+
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents; a table in one file is read by one task, so it is dealt to all cores."""
+    docs = table(spark, sf, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores, "doc_id") if docs.rdd.getNumPartitions() < cores else docs
+
+
+def _values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def _sql_values(rows: list[tuple], names: str) -> str:
+    cell = lambda x: "null" if x is None else str(x) if isinstance(x, int | float) else "'" + x.replace("'", "''") + "'"
+    return "(values " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + f") v({names})"
+
+
+WS = r"[\s\v]+"
+CANON = rf"trim(regexp_replace(lower(coalesce({{}}, '')), '{WS}', ' ', 'g'))"
+SPACE_SQL = rf"trim(regexp_replace({{}}, '{WS}', ' ', 'g'))"
+KEYED = f"keyed as (select doc_id, source, text, n_chars, sha256({CANON.format('text')}) as k from documents), clustered as (select *, min(doc_id) over (partition by k) as cluster_id from keyed)"
+STATS = "count(*) as clusters, sum(n)::bigint as records, max(n) as largest_records, max(subs)::bigint as largest_submissions, count(*) filter (n = 1) as singletons, count(*) filter (n > 1) as multi"
+
+# The exact rung and what it says.
+
+
+@query(f"with {KEYED} select doc_id, k as exact_key, cluster_id, count(*) over (partition by k) as size from clustered")
+def exact_clusters(spark, sf):
+    rows = _docs(spark, sf).select("doc_id", T.exact_key("text").alias("exact_key"))
+    heads = rows.groupBy("exact_key").agg(F.min("doc_id").alias("cluster_id"), F.count("*").alias("size"))
+    return rows.join(heads, "exact_key").select("doc_id", "exact_key", "cluster_id", "size")
+
+
+@query(f"""with {KEYED}, per as (select source, k, count(*) as n, sum(n_chars % 7) as subs from keyed group by 1, 2), stats as (select source, {STATS} from per group by 1)
+select *, 'exact' as rung, records / clusters as collapse_vs_records, 100 * (1 - clusters / records) as extra_collapse_pct from stats""")
+def exact_ladder_by_source(spark, sf):
+    rows = _docs(spark, sf).select("source", T.exact_key("text").alias("cluster_id"), (F.col("n_chars") % 7).alias("dc"))
+    return metrics.ladder(metrics.cluster_stats(rows, ["source"], "dc"), "exact")
+
+
+VARIANTS = {
+    "as_is": ("text", lambda t: t),
+    "lower": ("lower(text)", lambda t: F.lower(t)),
+    "spaces": (SPACE_SQL.format("text"), lambda t: T.normalize_space(t)),
+    "canonical": (CANON.format("text"), lambda t: T.canonical(t)),
+    "letters": (f"regexp_replace({CANON.format('text')}, '[^a-z0-9 ]', '', 'g')", lambda t: F.regexp_replace(T.canonical(t), "[^a-z0-9 ]", "")),
+    "words_sorted_out": (f"regexp_replace({CANON.format('text')}, '[0-9]+', '#', 'g')", lambda t: F.regexp_replace(T.canonical(t), "[0-9]+", "#")),
+}
+
+
+@query("select " + ", ".join(f"count(*) - count(distinct {s}) as {n}" for n, (s, _) in VARIANTS.items()) + " from documents")
+def exact_sensitivity_variants(spark, sf):
+    """Redundant copies under six normalisations, counted in one pass."""
+    t = F.col("text")
+    return _docs(spark, sf).select(*(F.sha2(f(t).cast("binary"), 256).alias(n) for n, (_, f) in VARIANTS.items())).agg(*((F.count("*") - F.count_distinct(n)).alias(n) for n in VARIANTS))
+
+
+@query(f"""with {KEYED}, copies as (select length({CANON.format('text')}) as l, row_number() over (partition by k order by doc_id) as r from keyed)
+select case when l < 500 then 'under 500' when l < 2000 then '500 to 1999' else '2000 and over' end as band, count(*) as copies, sum(l)::bigint as chars from copies where r > 1 group by 1""")
+def excess_copy_lengths(spark, sf):
+    rows = _docs(spark, sf).select("doc_id", T.exact_key("text").alias("k"), F.length(T.canonical("text")).alias("l"))
+    extra = rows.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("doc_id"))).where("r > 1")
+    band = F.when(F.col("l") < 500, "under 500").when(F.col("l") < 2000, "500 to 1999").otherwise("2000 and over")
+    return extra.groupBy(band.alias("band")).agg(F.count("*").alias("copies"), F.sum("l").cast("long").alias("chars"))
+
+
+@query(f"""with {KEYED}, per as (select source, sum(n_chars) as n, count(*) / count(distinct k) as c from keyed group by 1),
+r as (select rank() over (order by n) + (count(*) over (partition by n) - 1) / 2.0 as rn, rank() over (order by c) + (count(*) over (partition by c) - 1) / 2.0 as rc from per)
+select round(corr(rn, rc), 6) as rho, count(*) as n from r""")
+def collapse_spearman(spark, sf):
+    """Rank correlation of a source's size in characters and its collapse; ties have mean ranks; null where one of them is constant."""
+    per = _docs(spark, sf).select("source", "n_chars", T.exact_key("text").alias("k")).groupBy("source").agg(F.sum("n_chars").alias("n"), (F.count("*") / F.count_distinct("k")).alias("c"))
+    mean = lambda c: F.rank().over(Window.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2.0
+    return per.select(mean("n").alias("rn"), mean("c").alias("rc")).agg(F.round(F.try_divide(F.covar_pop("rn", "rc"), F.stddev_pop("rn") * F.stddev_pop("rc")), 6).alias("rho"), F.count("*").alias("n"))
+
+
+# Which text stands for a record, and the funnel.
+
+JOINED = f"""a as (select conv_id, string_agg(coalesce(text, ''), ' ' order by turn) as joined from conversations group by 1),
+b as (select d.doc_id, d.source as docket, d.n_chars, case when d.doc_id % 5 = 0 then 'See attached' else d.text end as body, coalesce(joined, '') as joined from documents d left join a on conv_id = doc_id),
+picked as (select doc_id, docket, n_chars, case when doc_id % 5 <> 0 then {SPACE_SQL.format('body')} when joined <> '' then {SPACE_SQL.format('joined')} else '' end as text,
+  case when doc_id % 5 <> 0 then 'body' when joined <> '' then 'attachment' else 'none' end as source from b)"""
+
+
+def _corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """Every fifth body is replaced by a placeholder, so that its attachments, if any, stand for it."""
+    body = F.when(F.col("doc_id") % 5 == 0, F.lit("See attached")).otherwise(F.col("text"))
+    docs = _docs(spark, sf).select(F.col("doc_id").alias("id"), F.col("source").alias("docket"), body.alias("comment"), (F.col("n_chars") % 7).alias("duplicateComments"))
+    turns = table(spark, sf, "conversations").select(F.col("conv_id").alias("id"), F.format_string("%08d", "turn").alias("file"), "text")
+    return records.corpus(docs, turns, unicode=False).join(docs.select("id", "docket"), "id")
+
+
+@query(f"with {JOINED} select doc_id as id, text, source from picked")
+def assemble_left_join_concat(spark, sf):
+    return _corpus(spark, sf).select("id", "text", "source")
+
+
+@query(f"""with {JOINED} select docket, count(*) as records, count(*) filter (source = 'none') as no_text, 0::bigint as emptied, count(*) filter (source <> 'none') as usable from picked group by 1""")
+def funnel_counts(spark, sf):
+    return docket.funnel(_corpus(spark, sf), "docket")
+
+
+@query(f"""with {KEYED}, s as (select source, case when bool_or(n_chars % 7 > 0) then sum(case when n_chars % 7 > 0 then n_chars % 7 else 1 end) end::bigint as total, count(*) filter (n_chars % 7 > 1) as populated_records,
+  count(*) as records, bool_or(n_chars % 7 > 0) as field_populated, count(distinct k) as clusters from keyed group by 1)
+select *, total / records as official_collapse, records / clusters as additional_collapse, total / clusters as total_collapse, 1 - (records / clusters - 1) / greatest(1e-9, total / clusters - 1) as official_share from s""")
+def submissions_margin(spark, sf):
+    rows = _docs(spark, sf).select("source", (F.col("n_chars") % 7).alias("dc"), T.exact_key("text").alias("k"))
+    own = rows.groupBy("source").agg(*(c.alias(n) for n, c in metrics.submissions("dc").items()), F.count_distinct("k").alias("clusters"))
+    return metrics.margin(own)
+
+
+@query("""with l as (select length(text) as n, row_number() over (order by length(text)) - 1 as r, count(*) over () as c from documents where text <> '')
+select (select count(*) from documents) as records, (select count(*) from l) as usable, (select n from l where r = c // 2) as median_chars, (select sum(n_chars % 7)::bigint from documents) as submissions, (select count(*) from documents where n_chars % 7 > 1) as with_copies""")
+def corpus_summary_upper_median(spark, sf):
+    """The upper median by rank: no list of all lengths is gathered."""
+    docs = _docs(spark, sf).select(F.length("text").alias("n"), (F.col("n_chars") % 7).alias("dc"))
+    whole = docs.agg(F.count("*").alias("records"), F.count_if(F.col("n") > 0).alias("usable"), F.sum("dc").alias("submissions"), F.count_if(F.col("dc") > 1).alias("with_copies"))
+    by_length = docs.where("n > 0").groupBy("n").agg(F.count("*").alias("c"))
+    up_to = by_length.select("n", F.sum("c").over(Window.orderBy("n")).alias("up_to"))
+    found = up_to.join(F.broadcast(whole)).where(F.col("up_to") > F.floor(F.col("usable") / 2))
+    return found.groupBy("records", "usable", "submissions", "with_copies").agg(F.min("n").alias("median_chars")).select("records", "usable", "median_chars", "submissions", "with_copies")
+
+
+ENTITY_SQL = "regexp_replace(regexp_replace(html, '(?i)<br\\s*/?>', chr(10), 'g'), '<[^>]+>', ' ', 'g')"
+for _entity, _to in T.ENTITIES:
+    ENTITY_SQL = f"replace({ENTITY_SQL}, '{_entity}', '{_to.replace(chr(39), chr(39) * 2)}')"
+
+
+@query(f"select page_id, sha256({SPACE_SQL.format(ENTITY_SQL)}) as h, length({SPACE_SQL.format(ENTITY_SQL)}) as n from pages")
+def html_strip(spark, sf):
+    t = T.body_text("html")
+    return table(spark, sf, "pages").select("page_id", F.sha2(t.cast("binary"), 256).alias("h"), F.length(t).cast("long").alias("n"))
+
+
+BODIES = [
+    (1, "See attached", True, True), (2, "Please see the attached file(s).", True, True), (3, '"See attached letter"', True, False), (4, "<p>see attachment</p>", True, True), (5, "n/a", True, False),
+    (6, "", True, False), (7, None, True, False), (8, "I oppose this rule.", False, False), (9, "My letter is attached and I also think the limit is far too high for small shops.", False, False),
+    (10, "Acme County hereby submits the attached comments. Thank you.", False, True), (11, "Acme submits the attached data. The limit is wrong. It should be lower.", False, False),
+    (12, "See attached comments prepared for a broad group of schools and towns", False, True), (13, "none", True, False), (14, "Find enclosed copy of our study", False, True), (15, "test drive", False, False),
+]
+
+
+@query(f"select id, placeholder, pointer from {_sql_values([(a, b or '', str(c).lower() == 'true', d) for a, b, c, d in BODIES], 'id, body, placeholder, pointer')}")
+def placeholder_pointer_flags(spark, sf):
+    rows = _values(spark, [r[:2] for r in BODIES], "id long, body string")
+    return rows.select(F.col("id").cast("int").alias("id"), T.is_placeholder("body").alias("placeholder"), T.is_pointer("body").alias("pointer"))
+
+
+DEBRIS = [
+    (1, "From: a To: b Sent: c Subject: d Dear Administrator Lee, I object.", "Dear Administrator Lee, I object."),
+    (2, "From: a To: b Subject: d I object to it.", "From: a To: b Subject: d I object to it."),
+    (3, "Page 1 of 1 - 0123456789abcdef - Jo Doe - Town <![CDATA[ The limit is wrong. ]]>", "The limit is wrong."),
+    (4, "0123456789abcdef - Jo Doe - Town", ""),
+    (5, "The limit is wrong. ]]> Web file://host/Adlib/Work/1 4/4/2023", "The limit is wrong."),
+    (6, "<?xml version=\"1.0\"?><x><comment>Too high.</comment></x></fdms_submission>", "Too high."),
+    (7, "Write to me@host.org or http://host.org/a about Docket ID No. EPA-HQ-OAR-1", "Write to or about"),
+    (8, "Friday, January 27, 2023 10:58 AM A-AND-R-DOCKET We object.", "We object."),
+    (9, None, ""),
+]
+
+
+@query(f"select id, cleaned from {_sql_values(DEBRIS, 'id, raw, cleaned')}")
+def clean_rules(spark, sf):
+    return _values(spark, [r[:2] for r in DEBRIS], "id long, raw string").select(F.col("id").cast("int").alias("id"), T.clean("raw").alias("cleaned"))
+
+
+# The near rung.
+
+WORDS_SQL = f"regexp_extract_all({CANON.format('text')}, '[a-z0-9'']+')"
+SHINGLES_SQL = f"""w as (select doc_id, {WORDS_SQL} as w from documents),
+s as (select distinct doc_id, array_to_string(w[i : i + 4], ' ') as s from (select doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) as i from w where len(w) > 0))"""
+
+
+@query(f"with {SHINGLES_SQL} select doc_id, count(s) as shingles from documents left join s using (doc_id) group by 1")
+def shingle_counts(spark, sf):
+    return _docs(spark, sf).select("doc_id", F.size(T.shingles_of(T.words("text"))).cast("long").alias("shingles"))
+
+
+@query(f"""with {SHINGLES_SQL}, n as (select doc_id, count(*) as n from s group by 1),
+p as (select a.doc_id as i, b.doc_id as j, count(*) as shared from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2)
+select i, j, round(shared / (x.n + y.n - shared), 6) as jaccard from p join n x on x.doc_id = i join n y on y.doc_id = j where shared / (x.n + y.n - shared) >= {JACCARD}""")
+def near_pairs_exact_jaccard(spark, sf):
+    return M.jaccard_pairs(_docs(spark, sf), "doc_id", "text", JACCARD).withColumn("jaccard", F.round("jaccard", 6))
+
+
+SIG_SQL = f"""{SHINGLES_SQL}, h as (select doc_id, ('0x' || substr(md5(s), 1, 7))::bigint as h from s),
+sig as (select doc_id, [{", ".join(f"coalesce(min((h * {a} + {b}) % {M.MODULUS}), {M.MODULUS})" for a, b in M.coefficients(SIG))}] as sig from documents left join h using (doc_id) group by 1),
+band as (select doc_id, i as band, array_to_string(sig[i * {ROWS} + 1 : i * {ROWS} + {ROWS}], '-') as key from (select doc_id, sig, unnest(range({BANDS})) as i from sig)),
+size as (select band, key, count(*) as n, min(doc_id) as head from band group by 1, 2 having count(*) > 1),
+cand as (select distinct i, j from (select a.doc_id as i, b.doc_id as j from band a join band b on a.band = b.band and a.key = b.key and a.doc_id < b.doc_id join size on size.band = a.band and size.key = a.key and n <= 200
+  union all select head, doc_id from band join size using (band, key) where n > 200 and doc_id <> head)),
+scored as (select i, j, len(list_filter(list_zip(x.sig, y.sig), lambda z: z[1] = z[2])) / {SIG} as score from cand join sig x on x.doc_id = i join sig y on y.doc_id = j),
+near as (select * from scored where score >= {JACCARD})"""
+
+
+def _signed(spark, sf):
+    return M.portable_signatures(_docs(spark, sf), "doc_id", "text", SIG)
+
+
+@query(f"with {SIG_SQL} select doc_id as id, array_to_string(sig, ' ') as sig from sig")
+def minhash_portable_sigs(spark, sf):
+    return _signed(spark, sf).select("id", F.array_join(F.transform("sig", lambda x: x.cast("string")), " ").alias("sig"))
+
+
+@query()
+def minhash_exact_sigs(spark, sf):
+    return M.exact_signatures(_docs(spark, sf), "doc_id", "text")
+
+
+@query(f"with {SIG_SQL} select i, j from cand")
+def lsh_candidates(spark, sf):
+    return M.candidates(M.bands(_signed(spark, sf), BANDS, ROWS))
+
+
+def _near(spark, sf):
+    signed = docket.staged(_signed(spark, sf), "signed")
+    return signed, docket.staged(M.scored(M.candidates(M.bands(signed, BANDS, ROWS)), signed).where(F.col("score") >= JACCARD), "pairs")
+
+
+@query(f"with {SIG_SQL} select i, j, score from near")
+def near_pairs_minhash(spark, sf):
+    return _near(spark, sf)[1]
+
+
+@query(f"""with recursive {SIG_SQL}, e as (select i, j from near union select j, i from near), r as (select i as id, i as c from e union select e.j, r.c from r join e on e.i = r.id)
+select id, min(c) as component from r group by 1""")
+def near_components(spark, sf):
+    return connected_components(_near(spark, sf)[1], "i", "j").select(F.col("node").alias("id"), "component")
+
+
+def _near_clusters(spark, sf):
+    signed, pairs = _near(spark, sf)
+    keys = _docs(spark, sf).select(F.col("doc_id").alias("id"), T.exact_key("text").alias("same"))
+    return linkage.near_clusters(signed.join(keys, "id"), pairs, JACCARD)
+
+
+@query()
+def near_complete_clusters(spark, sf):
+    return _near_clusters(spark, sf)
+
+
+@query()
+def chain_diameter(spark, sf):
+    pairs = _near(spark, sf)[1]
+    found = connected_components(pairs, "i", "j").select(F.col("node").alias("id"), F.col("component").alias("cluster_id"))
+    return linkage.chain_diameters(found, pairs)
+
+
+# The semantic rung.
+
+
+def _vectors(spark, sf):
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+
+
+DOT_SQL = "p as (select a.vec_id as i, b.vec_id as j, list_inner_product(a.embedding::double[], b.embedding::double[]) as score from embeddings a join embeddings b on a.vec_id < b.vec_id)"
+
+
+@query(f"with {DOT_SQL} select i, j, round(score, 4) as score from p where score >= {COSINE}")
+def cosine_pairs(spark, sf):
+    return linkage.cosine_pairs(_vectors(spark, sf), COSINE).withColumn("score", F.round("score", 4))
+
+
+@query(f"""with {DOT_SQL}, b as (select i, j, score from p union all select j, i, score from p), r as (select *, row_number() over (partition by i order by score desc, j) as rank from b where score >= {COSINE})
+select i, j, rank from r where rank <= 5""")
+def cosine_topk(spark, sf):
+    pairs = linkage.cosine_pairs(_vectors(spark, sf), COSINE)
+    both = pairs.unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "score"))
+    rank = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("score"), "j"))
+    return both.select("i", "j", rank.cast("long").alias("rank")).where("rank <= 5")
+
+
+@query(f"""with recursive {DOT_SQL}, e as (select i, j from p where score >= {COSINE} union select j, i from p where score >= {COSINE}), r as (select i as id, i as c from e union select e.j, r.c from r join e on e.i = r.id)
+select id, min(c) as component from r group by 1""")
+def semantic_components(spark, sf):
+    return connected_components(linkage.cosine_pairs(_vectors(spark, sf), COSINE), "i", "j").select(F.col("node").alias("id"), "component")
+
+
+@query()
+def semantic_complete_clusters(spark, sf):
+    v = _vectors(spark, sf).withColumn("same", F.col("id").cast("string"))
+    return linkage.semantic_clusters(v, docket.staged(linkage.cosine_pairs(v, COSINE), "cosines"), COSINE)
+
+
+@query("""with e as (select label, i, avg(embedding[i]::double) as m from (select label, embedding, unnest(range(1, len(embedding) + 1)) as i from embeddings) group by 1, 2),
+n as (select label, sqrt(sum(m * m)) as l from e group by 1) select label, i - 1 as d, round(m / l, 6) as x from e join n using (label)""")
+def mean_pool(spark, sf):
+    pooled = embedding.mean_pooled(table(spark, sf, "embeddings"), "label", "embedding")
+    return pooled.select("label", F.posexplode("vec").alias("d", "x")).select("label", F.col("d").cast("long").alias("d"), F.round("x", 6).alias("x"))
+
+
+@query("select vec_id as id, len(embedding) as dims, round(list_sum(embedding::double[]), 4) as total from embeddings")
+def embedding_batch_contract(spark, sf):
+    """Vectors as a batch job's output lines, unordered, matched again by id."""
+    v = table(spark, sf, "embeddings")
+    out = F.struct(F.col("vec_id").cast("string").alias("recordId"), F.struct(F.col("embedding").cast("array<double>").alias("embedding")).alias("modelOutput"))
+    back = embedding.batch_output(v.select(F.to_json(out).alias("value")), v, "vec_id")
+    return back.select("id", F.size("vec").cast("long").alias("dims"), F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+@query("""select '{"recordId":"' || doc_id || '","modelInput":{"inputText":"' || lang || '","dimensions":1024,"normalize":true}}' as value from documents""")
+def embedding_batch_input(spark, sf):
+    return embedding.batch_input(_docs(spark, sf), "doc_id", "lang")
+
+
+# Coverage of a numbered series.
+
+
+@query("""with n as (select distinct doc_id as n from labels), g as (select n + 1 as first_missing, lead(n) over (order by n) - 1 as last_missing from n)
+select first_missing, last_missing, last_missing - first_missing + 1 as length from g where last_missing >= first_missing""")
+def id_gaps_islands(spark, sf):
+    return coverage.gaps(table(spark, sf, "labels"), "doc_id")
+
+
+@query("""with n as (select distinct doc_id as n from labels), g as (select lead(n) over (order by n) - n - 1 as l from n), h as (select coalesce(sum(l), 0)::bigint as holes, count(*) as runs, coalesce(max(l), 0) as longest, coalesce(sum(l) filter (l >= 5), 0)::bigint as in_runs from g where l > 0)
+select min(n) as lo, max(n) as hi, count(*) as present, any_value(holes) as holes, any_value(runs) as runs, any_value(longest) as longest, any_value(in_runs) as in_runs, count(*) / (count(*) + any_value(holes)) as share from n, h""")
+def id_density(spark, sf):
+    return coverage.density(table(spark, sf, "labels"), "doc_id")
+
+
+KEYS = [
+    (1, "raw-data/A/A-2020-0001/text-A-2020-0001/comments/A-2020-0001-0002.json", "A-2020-0001-0002", 0, 2), (2, "x/comments/A-2020-0001-0002(1).json", "A-2020-0001-0002", 1, 2), (3, "x/comments/A-2020-0001-0002(12).json", "A-2020-0001-0002", 12, 2),
+    (4, "x/A-2020-0001-0003(a).json", "A-2020-0001-0003(a)", 0, None), (5, "x/A-2020-0001.json", "A-2020-0001", 0, 1), (6, "A-2020-0001-0004.json", "A-2020-0001-0004", 0, 4), (7, None, "", 0, None),
+]
+
+
+@query(f"select id, comment_id, copy_rank, number from {_sql_values([(a, c, d, e) for a, _, c, d, e in KEYS], 'id, comment_id, copy_rank, number')}")
+def key_parsing(spark, sf):
+    rows = _values(spark, [r[:2] for r in KEYS], "id long, key string")
+    cid = T.comment_id("key")
+    return rows.select(F.col("id").cast("int").alias("id"), cid.alias("comment_id"), T.copy_rank("key").cast("int").alias("copy_rank"), T.sequence_number(cid).cast("int").alias("number"))
+
+
+URLS = "u as (select regexp_extract(url, '^[a-z]*://([^/?#]*)', 1) || '(' || (page_id % 3) || ')' as key, page_id from pages)"
+
+
+@query(f"""with {URLS}, i as (select regexp_replace(key, '\\(\\d+\\)$', '') as id, key, regexp_extract(key, '\\((\\d+)\\)$', 1)::bigint as rank from u)
+select id, key, rank from (select *, row_number() over (partition by id order by rank desc, key) as n from i) where n = 1""")
+def key_dedupe_latest_copy(spark, sf):
+    host = F.regexp_extract("url", "^[a-z]*://([^/?#]*)", 1)
+    return coverage.best_copies(table(spark, sf, "pages").select(F.concat(host, F.lit("("), (F.col("page_id") % 3).cast("string"), F.lit(")")).alias("key")))
+
+
+@query("""with e as (select case when contains(regexp_extract(url, '[^/]*$'), '.') then lower(regexp_extract(url, '[^./]*$')) else '(none)' end as ext from pages where not ends_with(url, '/'))
+select ext, count(*) as files from e group by 1 order by 2 desc, 1 limit 8""")
+def extension_topk(spark, sf):
+    return coverage.top_extensions(table(spark, sf, "pages"), "url")
+
+
+@query("""with f as (select doc_id, 1 + doc_id % 3 as files, bool_or(true) as x from documents group by 1, 2), t as (select doc_id, 1 as texts from labels group by 1), b as (select * from f full join t using (doc_id))
+select count(*) filter (files > 0) as with_binary, count(*) filter (texts > 0) as with_text, sum(files)::bigint as binary_files, sum(texts)::bigint as text_files, count(*) filter (texts is null) as unextracted,
+  count(*) filter (texts is null and doc_id % 2 = 1) as unextracted_without_pdf, count(*) filter (files is null) as text_without_binary from b""")
+def attachment_coverage(spark, sf):
+    """Keys made from ids: one to three files a document, a PDF among the even ones, a text for each labelled one."""
+    each = _docs(spark, sf).select("doc_id", F.explode(F.sequence(F.lit(0), (F.col("doc_id") % 3).cast("int"))).alias("k"))
+    kind = F.when((F.col("doc_id") % 2 == 0) & (F.col("k") == 0), "pdf").otherwise("docx")
+    binaries = each.select(F.format_string("d/A-2020-%d_attachment_%d.%s", "doc_id", "k", kind).alias("key"))
+    texts = table(spark, sf, "labels").select("doc_id").distinct().select(F.format_string("t/A-2020-%d_attachment_1_extracted.txt", "doc_id").alias("key"))
+    return coverage.attachment_coverage(binaries, texts)
+
+
+@query("""with d as (select source, count(*) as official from documents group by 1), m as (select source, count(*) as n from documents join labels using (doc_id) group by 1)
+select source, n, official, n / official as share, official - n as missing from m left join d using (source)""")
+def coverage_share(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "source")
+    official = docs.groupBy("source").agg(F.count("*").alias("official"))
+    mirror = docs.join(table(spark, sf, "labels"), "doc_id").groupBy("source").agg(F.count("*").alias("n"))
+    return coverage.mirror_share(mirror, official, "source")
+
+
+@query(f"""with {KEYED}, r as (select source, count(*) / count(distinct k) as collapse from keyed group by 1), c as (select source, count(l.doc_id) / count(*) as share from documents left join labels l using (doc_id) where source <> 'src0' group by 1)
+select source, collapse, coalesce(share, 1.0)::double as share, coalesce(share, 1.0) < 0.4 as partial from r left join c using (source)""")
+def report_join(spark, sf):
+    """Collapse beside coverage, 1 where a source has no coverage row, and whether it is too low to trust."""
+    docs = _docs(spark, sf)
+    r = docs.select("source", T.exact_key("text").alias("k")).groupBy("source").agg((F.count("*") / F.count_distinct("k")).alias("collapse"))
+    labels = table(spark, sf, "labels").select("doc_id", F.lit(1).alias("has"))
+    c = docs.where("source <> 'src0'").join(labels, "doc_id", "left").groupBy("source").agg((F.count("has") / F.count("*")).alias("share"))
+    return r.join(c, "source", "left").select("source", "collapse", F.coalesce("share", F.lit(1.0)).alias("share"), (F.coalesce("share", F.lit(1.0)) < 0.4).alias("partial"))
+
+
+PAGES_XML = [
+    (1, "<R><IsTruncated>true</IsTruncated><Key>a/1.json</Key><Key>a/2.json</Key><NextContinuationToken>t1</NextContinuationToken></R>", "a/1.json,a/2.json", "t1"),
+    (2, "<R><IsTruncated>false</IsTruncated><Key>a/3.txt</Key><NextContinuationToken>t2</NextContinuationToken></R>", "a/3.txt", None),
+    (3, "<R><IsTruncated>false</IsTruncated></R>", "", None),
+]
+
+
+@query(f"select keys, next from {_sql_values([r[2:] for r in PAGES_XML], 'keys, next')}")
+def listing_page_parse(spark, sf):
+    rows = records.parsed_pages(_values(spark, [r[:2] for r in PAGES_XML], "id long, xml string"))
+    return rows.select(F.array_join("keys", ",").alias("keys"), "next")
+
+
+@query("select count(*) as n from pages where starts_with(url, 'https://') and ends_with(url, '.html')")
+def listed_keys(spark, sf):
+    return records.listed(table(spark, sf, "pages"), "https://", ".html", "url").agg(F.count("*").alias("n"))
+
+
+# Labels, thresholds, samples.
+
+PAIRED = "l as (select doc_id, quality as a, 1 - toxic as b, n_chars / 1000.0 as score from labels join documents using (doc_id))"
+
+
+def _labels(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", (F.col("n_chars") / 1000.0).alias("score"))
+    return table(spark, sf, "labels").select("doc_id", F.col("quality").alias("a"), (1 - F.col("toxic")).alias("b")).join(docs, "doc_id")
+
+
+@query(f"""with {PAIRED}, c as (select count(*) filter (a = 1 and b = 1) as tp, count(*) filter (a = 0 and b = 1) as fp, count(*) filter (a = 1 and b = 0) as fn, count(*) filter (a = 0 and b = 0) as tn from l)
+select *, tp / (tp + fp) as precision, tp / (tp + fn) as recall, 2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)) as f1 from c""")
+def confusion_prf(spark, sf):
+    return evaluate.confusion(_labels(spark, sf), F.col("a") == 1, F.col("b") == 1)
+
+
+@query(f"""with {PAIRED}, t as (select count(*) as n, count(*) filter (a = b) as agree, sum(a) as sa, sum(b) as sb from l)
+select n, agree, round((agree / n - (sa * sb + (n - sa) * (n - sb)) / (n * n)) / (1 - (sa * sb + (n - sa) * (n - sb)) / (n * n)), 9) as kappa from t""")
+def kappa(spark, sf):
+    return evaluate.kappa(_labels(spark, sf), "a", "b").withColumn("kappa", F.round("kappa", 9))
+
+
+@query(f"with {PAIRED} select a, b, count(*) as n, a = b as same from l group by 1, 2")
+def agreement_report(spark, sf):
+    return _labels(spark, sf).groupBy("a", "b").agg(F.count("*").alias("n")).withColumn("same", F.col("a") == F.col("b"))
+
+
+REPEATS = 200
+
+
+@query(f"""with {PAIRED}, k as (select row_number() over (order by doc_id) - 1 as k, a, b, count(*) over () as n from l),
+d as (select r, ('0x' || substr(md5('3:' || r || ':' || p), 1, 7))::bigint % (select any_value(n) from k) as k from range({REPEATS}) x(r), (select k as p from k)),
+s as (select r, any_value(n) as n, count(*) filter (a = b) as agree, sum(a) as sa, sum(b) as sb from d join k using (k) group by 1),
+v as (select case when sa * sb + (n - sa) * (n - sb) = n * n then 1.0 else (agree * n - (sa * sb + (n - sa) * (n - sb))) / (n * n - (sa * sb + (n - sa) * (n - sb)))::double end as v from s),
+o as (select v, row_number() over (order by v) - 1 as i from v)
+select round((select v from o where i = {int(0.025 * REPEATS)}), 9) as low, round((select v from o where i = {int(0.975 * REPEATS)}), 9) as high""")
+def bootstrap_kappa_ci(spark, sf):
+    return evaluate.bootstrap_kappa(_labels(spark, sf), "doc_id", "a", "b", REPEATS).select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
+
+
+CURVE = f"{PAIRED}, c as (select score, count(*) filter (a = 1) as p, count(*) as c from l group by 1), r as (select score, sum(p) over (order by score desc) as tp, sum(c) over (order by score desc) as n from c)"
+
+
+@query(f"with {CURVE} select min(score) filter (tp / n >= 0.9)::double as threshold from r")
+def threshold_selection(spark, sf):
+    return evaluate.select_threshold(_labels(spark, sf), "score", F.col("a") == 1, 0.9).select(F.col("threshold").cast("double"))
+
+
+@query(f"""with {CURVE}, t as (select coalesce(max(score) filter (a <> 1), 0.0)::double as top_negative from l), s as (select min(score) filter (tp / n >= 0.9)::double as selected from r)
+select top_negative, selected, selected - top_negative as width, (select count(*) from l where a = 1 and score::double > top_negative) as positives from t, s""")
+def admissible_range(spark, sf):
+    rows = _labels(spark, sf).withColumn("score", F.col("score").cast("double"))
+    return evaluate.admissible_range(rows, "score", F.col("a") == 1, 0.9)
+
+
+BAND_SQL = "case " + " ".join(f"when score >= {lo} and score < {hi} then '{lo:.2f}-{hi:.2f}'" for lo, hi in zip(evaluate.SCORE_CUTS, evaluate.SCORE_CUTS[1:], strict=False)) + " end"
+
+
+@query(f"""with {SIG_SQL}, b as (select i, j, score, {BAND_SQL} as band from scored), r as (select *, row_number() over (partition by band order by md5('11:' || i || ':' || j)) as rank, count(*) over (partition by band) as population from b where band is not null)
+select i, j, band, population from r where rank <= 20""")
+def stratified_pair_sample(spark, sf):
+    signed = _signed(spark, sf)
+    pairs = M.scored(M.candidates(M.bands(signed, BANDS, ROWS)), signed).withColumn("band", evaluate.score_band(F.col("score"))).where("band is not null")
+    order = F.md5(F.concat_ws(":", F.lit("11"), F.col("i").cast("string"), F.col("j").cast("string")).cast("binary"))
+    return evaluate.stratified(pairs, "band", order, 20).select("i", "j", "band", "population")
+
+
+@query(f"""with {KEYED}, c as (select cluster_id, count(*) as size from clustered group by 1), b as (select *, case when size < 2 then null when size <= 3 then '2-3' when size <= 10 then '4-10' when size <= 50 then '11-50' when size <= 500 then '51-500' else '501-max' end as band from c),
+r as (select *, row_number() over (partition by band order by md5('17:' || cluster_id)) as rank, count(*) over (partition by band) as population from b where band is not null) select cluster_id, size, band, population from r where rank <= 6""")
+def stratified_cluster_sample(spark, sf):
+    return _cluster_sample(spark, sf).select("cluster_id", "size", "band", "population")
+
+
+def _cluster_sample(spark, sf):
+    sizes = exact_clusters(spark, sf).groupBy("cluster_id").agg(F.count("*").alias("size")).withColumn("band", evaluate.size_band(F.col("size"))).where("band is not null")
+    return evaluate.stratified(sizes, "band", F.md5(F.concat_ws(":", F.lit("17"), F.col("cluster_id").cast("string")).cast("binary")), 6)
+
+
+@query()
+def cluster_labelling_tasks(spark, sf):
+    members = exact_clusters(spark, sf).join(_docs(spark, sf).select("doc_id", "text"), "doc_id").select("cluster_id", F.col("doc_id").alias("id"), "text")
+    return records.cluster_tasks(_cluster_sample(spark, sf), members)
+
+
+@query()
+def pair_labelling_tasks(spark, sf):
+    signed = _signed(spark, sf)
+    pairs = M.scored(M.candidates(M.bands(signed, BANDS, ROWS)), signed).withColumn("band", evaluate.score_band(F.col("score"))).where("band is not null")
+    sample = evaluate.stratified(pairs, "band", F.md5(F.concat_ws(":", F.lit("11"), "i", "j").cast("binary")), 20).select("i", "j", "band", "score")
+    return records.pair_tasks(sample, _docs(spark, sf).select(F.col("doc_id").alias("id"), "text"))
+
+
+# Windows over long texts.
+
+COMMENTER, ACT = "the", "and"
+
+
+@query("""with w as (select doc_id, unnest(range(0, greatest(0, length(text) - 700) + 1, 350)) as o, text from documents), h as (select doc_id, o, regexp_matches(substr(text, o + 1, 700), '(?i)\\bof\\b') and regexp_matches(substr(text, o + 1, 700), '(?i)\\bwith\\b') as hit from w)
+select doc_id, count(*) as windows, count(*) filter (hit) as response_windows, array_to_string((list(o order by o) filter (hit))[1:5], ' ') as offsets, round(count(*) filter (hit) / count(*), 6) as response_density from h group by 1""")
+def response_windows(spark, sf):
+    out = responses.passages(_docs(spark, sf), "doc_id", "text", commenter=r"\bof\b", act=r"\bwith\b")
+    joined = F.array_join(F.transform("offsets", lambda x: x.cast("string")), " ")
+    return out.select("doc_id", "windows", "response_windows", F.when(F.size("offsets") > 0, joined).alias("offsets"), F.round("response_density", 6).alias("response_density"))
+
+
+RULES = [
+    (1, "Public Comments\nComment: too high.\nResponse: the agency disagrees.\nSome commenters said so; one commenter did not.", 114, 1, 1, 2, 1),
+    (2, "II. Response to Comments:\nAgency Response: adopted.\nA. Summary of Comments and Responses", 88, 1, 0, 0, 2),
+    (3, "Nothing here.", 13, 0, 0, 0, 0), (4, None, 0, 0, 0, 0, 0),
+]
+
+
+@query(f"select * from {_sql_values([(r[0], *r[2:]) for r in RULES], 'id, chars, comment_response_pairs, comment_markers, commenter_mentions, response_headings')}")
+def response_stats(spark, sf):
+    rows = _values(spark, [r[:2] for r in RULES], "id int, text string").select("id", *responses.counted("text"))
+    return rows.select("id", *(F.col(c).cast("int").alias(c) for c in rows.columns[1:]))
+
+
+SPLIT = f"w as (select doc_id, string_split({SPACE_SQL.format('text')}, ' ') as w from documents)"
+
+
+@query(f"""with {SPLIT}, i as (select doc_id, w, unnest(range(greatest(1, ceil((len(w) - 320) / 260.0)::int + 1))) as i from w)
+select doc_id, i, sha256(array_to_string(w[i * 260 + 1 : i * 260 + 320], ' ')) as h from i""")
+def word_windows(spark, sf):
+    rows = _docs(spark, sf).select("doc_id", F.posexplode(T.word_windows("text")).alias("i", "t"))
+    return rows.select("doc_id", F.col("i").cast("long").alias("i"), F.sha2(F.col("t").cast("binary"), 256).alias("h"))
+
+
+@query(f"""with {SPLIT}, i as (select doc_id, w, unnest(range(least(24, greatest(1, ceil(len(w) / 180.0)::int)))) as i from w) select doc_id, i, sha256(array_to_string(w[i * 180 + 1 : i * 180 + 180], ' ')) as h from i""")
+def chunks(spark, sf):
+    rows = _docs(spark, sf).select("doc_id", F.posexplode(T.chunks("text")).alias("i", "t"))
+    return rows.select("doc_id", F.col("i").cast("long").alias("i"), F.sha2(F.col("t").cast("binary"), 256).alias("h"))
+
+
+# All of it together.
+
 
-def queries():
-    return {}
+@query()
+def docket_ladder(spark, sf):
+    corpus = docket.staged(_corpus(spark, sf), "corpus")
+    return docket.run(corpus, "docket", _vectors(spark, sf), cosine=COSINE, permutations=32)
 
 
-def oracle_sql():
-    return {}
+@query()
+def docket_ladder_json(spark, sf):
+    rows = docket_ladder(spark, sf)
+    return rows.select("docket", F.to_json(F.struct(*rows.columns)).alias("summary"))
