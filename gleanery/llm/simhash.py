@@ -246,8 +246,9 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
                 yield pa.RecordBatch.from_arrays([pa.array(key), *rest], names=["key", "node", *names[2:]])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(batches))
-        if len(rows):
+        got = list(batches)
+        if got:
+            rows = pa.Table.from_batches(got)
             fp = np.stack([np.asarray(rows[c]) for c in names[2:]], axis=1).view(np.uint64)
             node = np.asarray(rows["node"])
             a, b = bucket_links(np.asarray(rows["key"]), fp, near)
@@ -266,7 +267,7 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs, one for each group of near copies, all columns as they were."""
-    kept = similar_groups(docs, id_column, text_column, width, similarity).where("keep").select(F.col("doc_id").alias("kept_id"), F.col("sha").alias("kept_sha")).distinct()
-    marked = docs.withColumn("own_sha", F.sha2(F.coalesce(F.col(text_column).cast("string"), F.lit("")).cast("binary"), 256))
-    on = marked[id_column].cast("long").eqNullSafe(kept["kept_id"]) & (marked["own_sha"] == kept["kept_sha"])
-    return marked.join(kept, on, "left_semi").dropDuplicates([id_column, "own_sha"]).drop("own_sha")
+    kept = similar_groups(docs, id_column, text_column, width, similarity).where("keep").select(F.col("doc_id").alias("__kept_id"), F.col("sha").alias("__kept_sha")).distinct()
+    marked = docs.withColumn("__own_sha", F.sha2(F.coalesce(F.col(text_column).cast("string"), F.lit("")).cast("binary"), 256))
+    on = marked[id_column].cast("long").eqNullSafe(kept["__kept_id"]) & (marked["__own_sha"] == kept["__kept_sha"])
+    return marked.join(kept, on, "left_semi").dropDuplicates([id_column, "__own_sha"]).drop("__own_sha")
