@@ -11,7 +11,8 @@ from gleanery.streaming import exact
 
 
 def one(spark, column, **values):
-    return spark.createDataFrame([tuple(values.values())], list(values)).select(column.alias("x")).first().x
+    schema = ", ".join(f"{k} {'array<string>' if isinstance(v, list) else 'string'}" for k, v in values.items())
+    return spark.createDataFrame([tuple(values.values())], schema).select(column.alias("x")).first().x
 
 
 def brute_linkage(d, below):
