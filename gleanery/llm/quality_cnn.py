@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from gleanery.llm import common as C
 
 DIMS, WIDTH, STRIDE, FILTERS, CHUNK = 6, 8, 4, 32, 512
-FIT_ROWS, CROP, EPOCHS, BATCH = 700, 2048, 8, 50
+FIT_ROWS, CROP, STEPS, BATCH = 700, 2048, 336, 50
 #: Positions convolved at once, a multiple of a chunk's.
 STEP = CHUNK // STRIDE
 RUN = 512 * STEP
@@ -83,16 +83,16 @@ class Network:
         weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
         m = {k: np.zeros_like(v) for k, v in self.w.items()}
         v2 = {k: np.zeros_like(v) for k, v in self.w.items()}
-        t = 0
-        for epoch in range(EPOCHS):
-            for rows in np.array_split(r.permutation(len(texts)), max(1, len(texts) // BATCH)):
-                grads = self.gradients([texts[i] for i in rows], labels[rows], weight[rows])
-                t += 1
-                rate = 0.01 * 0.8**epoch
-                for k, g in grads.items():
-                    m[k] += 0.1 * (g - m[k])
-                    v2[k] += 0.01 * (g * g - v2[k])
-                    self.w[k] -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v2[k] / (1 - 0.99**t)) + 1e-7)
+        order = np.zeros(0, np.int64)
+        for t in range(1, STEPS + 1):  # as many steps for few rows as for many
+            if not len(order):
+                order = r.permutation(len(texts))
+            rows, order = order[:BATCH], order[BATCH:]
+            rate = 0.01 * 0.8 ** (8 * t // STEPS)
+            for k, g in self.gradients([texts[i] for i in rows], labels[rows], weight[rows]).items():
+                m[k] += 0.1 * (g - m[k])
+                v2[k] += 0.01 * (g * g - v2[k])
+                self.w[k] -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v2[k] / (1 - 0.99**t)) + 1e-7)
         return self
 
     def gradients(self, texts: list[bytes], y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
