@@ -189,40 +189,89 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 # Groups by similarity: what differs in a fifth of its shingles has fingerprints too far apart for a pigeonhole on 64 bits.
 
 WORDS = 4
-WIDE_SCHEMA = "doc_id long, sha string, k0 long, k1 long, " + ", ".join(f"w{i} long" for i in range(WORDS))
+WIDE_SCHEMA = "doc_id long, sha string, shingles array<int>, k0 long, k1 long, " + ", ".join(f"w{i} long" for i in range(WORDS))
+#: Texts whose rows leave Python together.
+ROWS_OUT = 256
 
 
-def wide_print(text: bytes, width: int, seed: int = 42) -> list[int]:
-    """128 SimHash bits of the distinct words, then 64 * WORDS bits of the distinct shingles of `width` words."""
+def wide_print(text: bytes, width: int, seed: int = 42) -> tuple[list[int], np.ndarray]:
+    """128 SimHash bits of the distinct words, then 64 * WORDS bits of the distinct shingles of `width` words; and those shingles' hashes."""
     words = text.lower().split()
     single = np.unique(shingle_hashes(sorted(set(words)), 1, seed))
     runs = np.unique(shingle_hashes(words, width, seed))
     out = [majority(C.mixed(single + np.uint64(i))) for i in range(2)]
-    return out + [majority(C.mixed(runs + np.uint64(i))) for i in range(WORDS)]
+    return out + [majority(C.mixed(runs + np.uint64(i))) for i in range(WORDS)], runs
 
 
-def distance_at(similarity: float, bits: int = 64 * WORDS) -> int:
-    """The expected number of differing bits between two sets of equal size and that Jaccard similarity, and half a deviation."""
+def distance_at(similarity: float, deviations: float, bits: int = 64 * WORDS) -> int:
+    """The expected number of differing bits between two sets of equal size and that Jaccard similarity, and some deviations."""
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * share + 0.5 * np.sqrt(bits * share * (1 - share)))
+    return int(bits * share + deviations * np.sqrt(bits * share * (1 - share)))
+
+
+def _verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The links whose two nodes' sets of shingles are similar indeed."""
+    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    own = staged(sets.join(ends, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    left = own.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    right = own.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    small, large = F.least(F.size("x"), F.size("y")), F.greatest(F.size("x"), F.size("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    sized = links.select("a", "b").join(left, "a").join(right, "b").where(small >= large * similarity)
+    return sized.where(both >= (F.size("x") + F.size("y") - both) * similarity).select("a", "b")
+
+
+def _rooted(links: DataFrame, links_of_roots: DataFrame) -> DataFrame:
+    """links with the roots (ra, rb) of their ends renewed by links between roots; those within one root go."""
+    found = connected_components(links_of_roots, "ra", "rb")
+    for side in ("ra", "rb"):
+        one = found.select(F.col("node").alias(side), F.col("component").alias("to"))
+        links = links.join(one, side, "left").withColumn(side, F.coalesce("to", side)).drop("to")
+    return links.where("ra <> rb").select("a", "b", "d", "ra", "rb")
+
+
+def _true_links(links: DataFrame, sets: DataFrame, similarity: float, sure: int) -> DataFrame:
+    """From links (a, b, d), d bits apart, those that hold: up to `sure` bits as they are, the others by their sets of shingles.
+
+    Only links between what isn't joined yet are verified: first the nearest of each root, and after joining by what held, all that
+    still lead from one root to another.
+    """
+    near = links.where(F.col("d") <= sure).select("a", "b")
+    unsure = links.where(F.col("d") > sure).withColumns({"ra": F.col("a"), "rb": F.col("b")})
+    unsure = staged(_rooted(unsure, near.toDF("ra", "rb")), "unsure")
+    nearest = F.min(F.struct("d", "a", "b", "ra", "rb")).alias("e")
+    picked = unsure.groupBy("ra").agg(nearest).select("e.*").unionByName(unsure.groupBy("rb").agg(nearest).select("e.*")).distinct()
+    picked = staged(picked.select("a", "b", "d", "ra", "rb"), "picked")
+    held = staged(_verified(picked, sets, similarity), "held")
+    rest = unsure.join(picked.select("a", "b"), ["a", "b"], "left_anti")
+    rest = staged(_rooted(rest, picked.join(held, ["a", "b"]).select("ra", "rb")), "rest")
+    return near.unionByName(held).unionByName(_verified(rest, sets, similarity))
 
 
 def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, similarity: float = 0.8, recall: float = 0.99) -> DataFrame:
-    """(doc_id, sha, component_id, keep): groups linked by about `similarity` of their shingles; keep marks one text of each.
+    """(doc_id, sha, component_id, keep): groups linked by `similarity` of their shingles; keep marks one text of each.
 
     sha is the text's SHA-256 (null: empty). Tables of sampled bits of the words' fingerprint deal documents to buckets; two texts
-    that share 9 of 10 words meet in one with probability `recall`. In buckets, wide fingerprints of the shingles estimate the similarity.
+    that share 9 of 10 words meet in one with probability `recall`. In buckets, wide fingerprints of the shingles estimate the similarity:
+    three deviations within the limit links, up to two and a half beyond it is verified on the sets of shingles (32 bits of each hash).
     Kept is the smallest doc_id (nulls last, then by sha).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, at = C.utf8_of(batch.column(1))
-            raw, at = data.tobytes(), at.tolist()
-            texts = [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
-            prints = np.array([wide_print(x, width) for x in texts], np.uint64).reshape(-1, 2 + WORDS)
-            cols = [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in prints.T]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string()), *cols], names=[x.split()[0] for x in WIDE_SCHEMA.split(", ")])
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS_OUT):
+                batch = whole.slice(start, ROWS_OUT)
+                data, at = C.utf8_of(batch.column(1))
+                raw, at = data.tobytes(), at.tolist()
+                texts = [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+                both = [wide_print(x, width) for x in texts]
+                prints = np.array([x[0] for x in both], np.uint64).reshape(-1, 2 + WORDS)
+                sets = [np.unique(x[1].astype(np.uint32)) for x in both]
+                at = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+                sets = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets).view(np.int32)))
+                cols = [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in prints.T]
+                sha = pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0), sha, sets, *cols], names=[x.split()[0] for x in WIDE_SCHEMA.split(", ")])
 
     names = ["k0", "k1", *(f"w{i}" for i in range(WORDS))]
     prints = staged(docs.select(F.col(id_column).cast("long"), F.col(text_column).cast("string")).mapInArrow(run, WIDE_SCHEMA).withColumn("node", F.xxhash64(*names)), "prints")
@@ -231,7 +280,7 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
     n = nodes.count()
     k = max(8, int(np.ceil(np.log2(max(2, n)))) + 6)
     tables = int(np.ceil(np.log(1 - recall) / np.log(1 - 0.9**k)))
-    near = distance_at(similarity)
+    sure, loose = distance_at(similarity, -3), distance_at(similarity, 2.5)
     parts = max(12, -(-n * tables // 300_000))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,14 +299,17 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
         if got:
             rows = pa.Table.from_batches(got)
             fp = np.stack([np.asarray(rows[c]) for c in names[2:]], axis=1).view(np.uint64)
-            node = np.asarray(rows["node"])
-            a, b = bucket_links(np.asarray(rows["key"]), fp, near)
-            yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+            key, node = np.asarray(rows["key"]), np.asarray(rows["node"])
+            # large buckets are walked: once by sure links, so that no sure one hangs on one that may not hold
+            a, b = (np.concatenate(x) for x in zip(bucket_links(key, fp, sure), bucket_links(key, fp, loose), strict=True))
+            d = np.bitwise_count(fp[a] ^ fp[b]).sum(axis=1, dtype=np.int64)
+            out = np.unique(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), d]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["a", "b", "d"])
 
     wide = ", ".join(f"{x} long" for x in names[2:])
     dealt = nodes.select("node", *names).mapInArrow(deal, f"key long, node long, {wide}")
-    links = dealt.repartition(parts, "key").mapInArrow(link, "a long, b long")
-    found = connected_components(links, "a", "b")
+    links = staged(dealt.repartition(parts, "key").mapInArrow(link, "a long, b long, d long").distinct(), "links")
+    found = connected_components(_true_links(links, prints.select("node", "shingles"), similarity, sure), "a", "b")
     rooted = nodes.join(found.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("node", "first", F.coalesce("component", "node").alias("root"))
     heads = rooted.groupBy("root").agg(F.min("first").alias("head"))
     named = rooted.join(heads, "root").select("node", "head")

@@ -124,3 +124,35 @@ def test_one_of_each_near_copy(odd, none):
     assert ids[3] == 1 and not ids[4] and not ids[5] and ids[8] == 1 and ids[2] == 1
     assert max(n for i, n in ids.items() if i is not None) == 1
     assert simhash.one_of_each(none).count() == 0
+
+
+def shingles_of(text, width=5):
+    w = text.lower().split()
+    return {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))}
+
+
+def test_groups_are_those_of_exact_similarity(spark):
+    draw = np.random.default_rng(11)
+    pool = np.array([f"w{i}" for i in range(3000)])
+    rows = []
+    for base in range(60):  # each text and two copies with some changed words: similar to anything from 0.6 to 1
+        words = draw.choice(pool, 300)
+        rows.append(words)
+        for _ in range(2):
+            other = words.copy()
+            other[draw.choice(300, int(draw.integers(1, 16)), replace=False)] = "changed"
+            rows.append(other)
+    texts = [" ".join(w) for w in rows]
+    sets = [shingles_of(t) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+    like = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    root = list(range(len(texts)))
+    for _ in range(3):
+        for i in range(len(texts)):
+            for j in range(i - i % 3, i - i % 3 + 3):
+                if like(i, j) >= 0.8:
+                    root[i] = root[j] = min(root[i], root[j])
+    assert any(0.7 < like(i, i + 1) < 0.8 for i in range(0, 180, 3)) and any(0.8 <= like(i, i + 1) < 0.85 for i in range(0, 180, 3))
+    assert sum(got[i] != root[i] for i in got) <= 2  # a candidate may be missed, one in a hundred
+    assert all(root[got[i]] == root[i] for i in got)  # and none is joined that shouldn't be
