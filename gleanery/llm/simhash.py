@@ -211,7 +211,8 @@ def distance_at(similarity: float, deviations: float, bits: int = 64 * WORDS) ->
 
 def _verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The links whose two nodes' sets of shingles are similar indeed."""
-    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    # written, so that its measured size decides whether all sets must be shuffled to find these
+    ends = staged(links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct(), "ends")
     own = staged(sets.join(ends, "node", "left_semi").dropDuplicates(["node"]), "sets")
     left = own.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = own.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
