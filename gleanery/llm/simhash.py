@@ -320,7 +320,16 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs, one for each group of near copies, all columns as they were."""
-    kept = similar_groups(docs, id_column, text_column, width, similarity).where("keep").select(F.col("doc_id").alias("__kept_id"), F.col("sha").alias("__kept_sha")).distinct()
+    keep = similar_groups(docs, id_column, text_column, width, similarity).where("keep")
+    kept = staged(keep.groupBy(F.col("doc_id").alias("__kept_id"), F.col("sha").alias("__kept_sha")).agg(F.count("*").alias("__n")), "kept")
     marked = docs.withColumn("__own_sha", F.sha2(F.coalesce(F.col(text_column).cast("string"), F.lit("")).cast("binary"), 256))
-    on = marked[id_column].cast("long").eqNullSafe(kept["__kept_id"]) & (marked["__own_sha"] == kept["__kept_sha"])
-    return marked.join(kept, on, "left_semi").dropDuplicates([id_column, "__own_sha"]).drop("__own_sha")
+
+    def chosen(some: DataFrame) -> DataFrame:
+        on = marked[id_column].cast("long").eqNullSafe(some["__kept_id"]) & (marked["__own_sha"] == some["__kept_sha"])
+        return marked.join(some.hint("merge"), on, "left_semi")
+
+    # only rows that repeat an id and a text need a second shuffle of the texts
+    once, repeated = chosen(kept.where("__n = 1")), kept.where("__n > 1")
+    if not repeated.isEmpty():
+        once = once.unionByName(chosen(repeated).dropDuplicates([id_column, "__own_sha"]))
+    return once.drop("__own_sha")
