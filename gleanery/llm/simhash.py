@@ -189,18 +189,51 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 # Groups by similarity: what differs in a fifth of its shingles has fingerprints too far apart for a pigeonhole on 64 bits.
 
 WORDS = 4
-WIDE_SCHEMA = "doc_id long, sha string, shingles array<int>, k0 long, k1 long, " + ", ".join(f"w{i} long" for i in range(WORDS))
+WIDE_SCHEMA = "doc_id long, sha string, node long, shingles array<int>, prefix array<long>, " + ", ".join(f"w{i} long" for i in range(WORDS))
 #: Texts whose rows leave Python together.
 ROWS_OUT = 256
+#: Texts in the sample that says which shingles are common, and the most of them that are told apart.
+SAMPLE, COMMON = 5_000, 500_000
+#: Sets smaller than this have too few shingles for the deviations of their fingerprints to be known.
+FEW = 64
 
 
-def wide_print(text: bytes, width: int, seed: int = 42) -> tuple[list[int], np.ndarray]:
-    """128 SimHash bits of the distinct words, then 64 * WORDS bits of the distinct shingles of `width` words; and those shingles' hashes."""
-    words = text.lower().split()
-    single = np.unique(shingle_hashes(sorted(set(words)), 1, seed))
-    runs = np.unique(shingle_hashes(words, width, seed))
-    out = [majority(C.mixed(single + np.uint64(i))) for i in range(2)]
-    return out + [majority(C.mixed(runs + np.uint64(i))) for i in range(WORDS)], runs
+def wide_print(runs: np.ndarray) -> list[int]:
+    """64 * WORDS SimHash bits of distinct shingles."""
+    return [majority(C.mixed(runs + np.uint64(i))) for i in range(WORDS)]
+
+
+def prefix_of(runs: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """As many of the rarest shingles that any set of that similarity shares one of them, in the prefix of its own.
+
+    That holds with any order that is the same for all sets; `common` (sorted hashes, counts in the sample) only puts the frequent last.
+    """
+    hashes, counts = common
+    often = np.zeros(len(runs), np.int64)
+    if len(hashes):
+        at = np.minimum(np.searchsorted(hashes, runs), len(hashes) - 1)
+        often = np.where(hashes[at] == runs, counts[at], 0)
+    keep = len(runs) - int(np.ceil(similarity * len(runs) - 1e-9)) + 1
+    return runs[np.lexsort((runs, often))[:keep]]
+
+
+def common_shingles(docs: DataFrame, id_column: str, text_column: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes that stand in several texts of a bounded sample, sorted, and in how many."""
+    every = max(1, docs.count() // SAMPLE)
+    text = F.col(text_column).cast("string")
+    some = docs.where(F.pmod(F.xxhash64(F.col(id_column).cast("long"), text), F.lit(every)) == 0).select(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = C.utf8_of(batch.column(0))
+            raw, at = data.tobytes(), at.tolist()
+            for a, b in zip(at, at[1:], strict=False):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(raw[a:b].lower().split(), width, 42)).view(np.int64))], names=["s"])
+
+    often = some.mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "s").limit(COMMON).toArrow()
+    hashes = np.asarray(often["s"].combine_chunks()).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], np.asarray(often["n"].combine_chunks())[order]
 
 
 def distance_at(similarity: float, deviations: float, bits: int = 64 * WORDS) -> int:
@@ -209,6 +242,30 @@ def distance_at(similarity: float, deviations: float, bits: int = 64 * WORDS) ->
     return int(bits * share + deviations * np.sqrt(bits * share * (1 - share)))
 
 
+def _lists(each: list[np.ndarray]) -> pa.ListArray:
+    at = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(each)))
+
+
+def _bucket_candidates(key: np.ndarray, n: np.ndarray, fp: np.ndarray, many: np.ndarray, similarity: float, sure: int, loose: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (a, b, d) of rows that share a key and may be similar, by sizes and fingerprints d bits apart; large buckets are walked.
+
+    Sets that may meet one under FEW are compared without their fingerprints, at a distance that is never sure.
+    """
+    out = [np.zeros((3, 0), np.int64)]
+    wide = np.flatnonzero(n >= FEW)
+    for limit in (sure, loose):
+        a, b = (wide[x] for x in bucket_links(key[wide], fp[wide], limit))
+        out.append(np.stack([a, b, np.bitwise_count(fp[a] ^ fp[b]).sum(axis=1, dtype=np.int64)]))
+    few = np.flatnonzero(n * similarity < FEW)
+    a, b = (few[x] for x in bucket_links(key[few], np.zeros_like(fp[few]), 0))
+    short = (n[a] < FEW) | (n[b] < FEW)
+    out.append(np.stack([a[short], b[short], np.full(int(short.sum()), 64 * WORDS, np.int64)]))
+    a, b, d = np.concatenate(out, axis=1)
+    near = np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-9
+    return a[near], b[near], d[near]
+
+
 def _verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The links whose two nodes' sets of shingles are similar indeed."""
     # written, so that its measured size decides whether all sets must be shuffled to find these
@@ -218,8 +275,8 @@ def _verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     right = own.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     small, large = F.least(F.size("x"), F.size("y")), F.greatest(F.size("x"), F.size("y"))
     both = F.size(F.array_intersect("x", "y"))
-    sized = links.select("a", "b").join(left, "a").join(right, "b").where(small >= large * similarity)
-    return sized.where(both >= (F.size("x") + F.size("y") - both) * similarity).select("a", "b")
+    sized = links.select("a", "b").join(left, "a").join(right, "b").where(small >= large * similarity - 1e-9)
+    return sized.where(both >= (F.size("x") + F.size("y") - both) * similarity - 1e-9).select("a", "b")
 
 
 def _rooted(links: DataFrame, links_of_roots: DataFrame) -> DataFrame:
@@ -249,14 +306,16 @@ def _true_links(links: DataFrame, sets: DataFrame, similarity: float, sure: int)
     return near.unionByName(held).unionByName(_verified(rest, sets, similarity))
 
 
-def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, similarity: float = 0.8, recall: float = 0.99) -> DataFrame:
+def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, sha, component_id, keep): groups linked by `similarity` of their shingles; keep marks one text of each.
 
-    sha is the text's SHA-256 (null: empty). Tables of sampled bits of the words' fingerprint deal documents to buckets; two texts
-    that share 9 of 10 words meet in one with probability `recall`. In buckets, wide fingerprints of the shingles estimate the similarity:
-    three deviations within the limit links, up to two and a half beyond it is verified on the sets of shingles (32 bits of each hash).
+    sha is the text's SHA-256 (null: empty). Candidates share one of their rarest shingles (prefix_of), which loses none. Fingerprints
+    of the shingles then estimate the similarity: three deviations within the limit links, six beyond it discards (but never sets
+    under FEW), and what lies between is verified on the sets of shingles (32 bits of each hash).
     Kept is the smallest doc_id (nulls last, then by sha).
     """
+    spark = docs.sparkSession
+    common = spark.sparkContext.broadcast(common_shingles(docs, id_column, text_column, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -265,51 +324,51 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
                 data, at = C.utf8_of(batch.column(1))
                 raw, at = data.tobytes(), at.tolist()
                 texts = [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
-                both = [wide_print(x, width) for x in texts]
-                prints = np.array([x[0] for x in both], np.uint64).reshape(-1, 2 + WORDS)
-                sets = [np.unique(x[1].astype(np.uint32)) for x in both]
-                at = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-                sets = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets).view(np.int32)))
+                runs = [np.unique(shingle_hashes(x.lower().split(), width, 42)) for x in texts]
+                prints = np.array([wide_print(x) for x in runs], np.uint64).reshape(-1, WORDS)
+                node = pa.array(np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in runs], np.uint64).view(np.int64))
+                sets = _lists([np.unique(x.astype(np.uint32)).view(np.int32) for x in runs])
+                prefix = _lists([prefix_of(x, similarity, common.value).view(np.int64) for x in runs])
                 cols = [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in prints.T]
                 sha = pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0), sha, sets, *cols], names=[x.split()[0] for x in WIDE_SCHEMA.split(", ")])
+                yield pa.RecordBatch.from_arrays([batch.column(0), sha, node, sets, prefix, *cols], names=[x.split()[0] for x in WIDE_SCHEMA.split(", ")])
 
-    names = ["k0", "k1", *(f"w{i}" for i in range(WORDS))]
-    prints = staged(docs.select(F.col(id_column).cast("long"), F.col(text_column).cast("string")).mapInArrow(run, WIDE_SCHEMA).withColumn("node", F.xxhash64(*names)), "prints")
+    names = [f"w{i}" for i in range(WORDS)]
+    prints = staged(docs.select(F.col(id_column).cast("long"), F.col(text_column).cast("string")).mapInArrow(run, WIDE_SCHEMA), "prints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "sha")).alias("first")
-    nodes = staged(prints.groupBy("node", *names).agg(first), "nodes")
-    n = nodes.count()
-    k = max(8, int(np.ceil(np.log2(max(2, n)))) + 6)
-    tables = int(np.ceil(np.log(1 - recall) / np.log(1 - 0.9**k)))
-    sure, loose = distance_at(similarity, -3), distance_at(similarity, 2.5)
-    parts = max(12, -(-n * tables // 300_000))
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pick = np.random.default_rng(3)
-        places = [pick.permutation(128)[:k] for _ in range(tables)]
-        worth = 1 << np.arange(k, dtype=np.int64)
-        for batch in batches:
-            bits = np.unpackbits(np.stack([np.asarray(batch.column(c)) for c in (1, 2)], axis=1).view(np.uint8), axis=1, bitorder="little")
-            rest = [batch.column(0), *(batch.column(c) for c in range(3, 3 + WORDS))]
-            for t, at in enumerate(places):
-                key = bits[:, at].astype(np.int64) @ worth + (t << k)
-                yield pa.RecordBatch.from_arrays([pa.array(key), *rest], names=["key", "node", *names[2:]])
+    nodes = staged(prints.groupBy("node", F.size("shingles").cast("long").alias("count"), *names).agg(first), "nodes")
+    sure, loose = distance_at(similarity, -3), distance_at(similarity, 6)
+    entries = prints.agg(F.sum(F.size("prefix"))).first()[0] or 0
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [np.stack([np.asarray(x.column(0)), np.asarray(x.column(1))]) for x in batches]
+        if got:
+            key, node = np.concatenate(got, axis=1)
+            order = np.lexsort((node, key))
+            key, node = key[order], node[order]
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])  # copies have one node
+            key, node = key[new], node[new]
+            cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            sizes = np.diff(np.append(cuts, len(key)))
+            many = np.repeat(sizes, sizes)
+            some = many > 1
+            yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (key, node, many)], names=["key", "node", "many"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)
         if got:
             rows = pa.Table.from_batches(got)
-            fp = np.stack([np.asarray(rows[c]) for c in names[2:]], axis=1).view(np.uint64)
-            key, node = np.asarray(rows["key"]), np.asarray(rows["node"])
-            # large buckets are walked: once by sure links, so that no sure one hangs on one that may not hold
-            a, b = (np.concatenate(x) for x in zip(bucket_links(key, fp, sure), bucket_links(key, fp, loose), strict=True))
-            d = np.bitwise_count(fp[a] ^ fp[b]).sum(axis=1, dtype=np.int64)
+            fp = np.stack([np.asarray(rows[c]) for c in names], axis=1).view(np.uint64)
+            key, node, n, many = (np.asarray(rows[c]) for c in ("key", "node", "n", "many"))
+            a, b, d = _bucket_candidates(key, n, fp, many, similarity, sure, loose)
             out = np.unique(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), d]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["a", "b", "d"])
 
-    wide = ", ".join(f"{x} long" for x in names[2:])
-    dealt = nodes.select("node", *names).mapInArrow(deal, f"key long, node long, {wide}")
-    links = staged(dealt.repartition(parts, "key").mapInArrow(link, "a long, b long, d long").distinct(), "links")
+    dealt = prints.select(F.explode("prefix").alias("key"), "node").repartition(max(12, -(-entries // 400_000)), "key")
+    met = staged(dealt.mapInArrow(shared, "key long, node long, many long"), "met")
+    told = met.join(nodes.select("node", F.col("count").alias("n"), *names), "node")
+    links = told.repartition(max(12, -(-met.count() // 150_000)), "key").mapInArrow(link, "a long, b long, d long").distinct()
+    links = staged(links, "links")
     found = connected_components(_true_links(links, prints.select("node", "shingles"), similarity, sure), "a", "b")
     rooted = nodes.join(found.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("node", "first", F.coalesce("component", "node").alias("root"))
     heads = rooted.groupBy("root").agg(F.min("first").alias("head"))

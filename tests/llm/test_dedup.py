@@ -156,3 +156,25 @@ def test_groups_are_those_of_exact_similarity(spark):
     assert any(0.7 < like(i, i + 1) < 0.8 for i in range(0, 180, 3)) and any(0.8 <= like(i, i + 1) < 0.85 for i in range(0, 180, 3))
     assert sum(got[i] != root[i] for i in got) <= 2  # a candidate may be missed, one in a hundred
     assert all(root[got[i]] == root[i] for i in got)  # and none is joined that shouldn't be
+
+
+def test_appended_and_replaced_blocks_meet_at_any_size(spark):
+    draw = np.random.default_rng(21)
+    pool = np.array([f"w{i}" for i in range(20_000)])
+    for n in (40, 400):  # pairs: a tail appended, one block replaced, few words; similar to 0.8 and little more
+        rows = []
+        for k in range(n):
+            words = draw.choice(pool, 30 if k % 5 == 0 else 400)
+            other = words.copy()
+            if k % 2:
+                other = np.concatenate([words, draw.choice(pool, len(words) // 5)])
+            else:
+                other[10 : 10 + len(words) // 18] = "changed"
+            rows += [words, other]
+        texts = [" ".join(w) for w in rows]
+        sets = [shingles_of(t) for t in texts]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+        near = [len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1]) for i in range(0, 2 * n, 2)]
+        assert sum(near) > n / 2
+        assert [got[i + 1] == i for i in range(0, 2 * n, 2)] == near
