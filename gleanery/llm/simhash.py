@@ -196,6 +196,8 @@ ROWS_OUT = 256
 SAMPLE, COMMON = 5_000, 500_000
 #: Sets smaller than this have too few shingles for the deviations of their fingerprints to be known.
 FEW = 64
+#: Shingles in a block of the nodes of large buckets.
+BLOCK_SHINGLES = 2_000_000
 
 
 def wide_print(runs: np.ndarray) -> list[int]:
@@ -247,16 +249,15 @@ def _lists(each: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(each)))
 
 
-def _bucket_candidates(key: np.ndarray, n: np.ndarray, fp: np.ndarray, many: np.ndarray, similarity: float, sure: int, loose: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (a, b, d) of rows that share a key and may be similar, by sizes and fingerprints d bits apart; large buckets are walked.
+def _bucket_candidates(key: np.ndarray, n: np.ndarray, fp: np.ndarray, similarity: float, loose: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (a, b, d) of rows of buckets up to SMALL that may be similar, by sizes and fingerprints d bits apart.
 
-    Sets that may meet one under FEW are compared without their fingerprints, at a distance that is never sure.
+    Sets that may meet one under FEW are compared without their fingerprints.
     """
     out = [np.zeros((3, 0), np.int64)]
     wide = np.flatnonzero(n >= FEW)
-    for limit in (sure, loose):
-        a, b = (wide[x] for x in bucket_links(key[wide], fp[wide], limit))
-        out.append(np.stack([a, b, np.bitwise_count(fp[a] ^ fp[b]).sum(axis=1, dtype=np.int64)]))
+    a, b = (wide[x] for x in bucket_links(key[wide], fp[wide], loose))
+    out.append(np.stack([a, b, np.bitwise_count(fp[a] ^ fp[b]).sum(axis=1, dtype=np.int64)]))
     few = np.flatnonzero(n * similarity < FEW)
     a, b = (few[x] for x in bucket_links(key[few], np.zeros_like(fp[few]), 0))
     short = (n[a] < FEW) | (n[b] < FEW)
@@ -268,11 +269,8 @@ def _bucket_candidates(key: np.ndarray, n: np.ndarray, fp: np.ndarray, many: np.
 
 def _verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The links whose two nodes' sets of shingles are similar indeed."""
-    # written, so that its measured size decides whether all sets must be shuffled to find these
-    ends = staged(links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct(), "ends")
-    own = staged(sets.join(ends, "node", "left_semi").dropDuplicates(["node"]), "sets")
-    left = own.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    right = own.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     small, large = F.least(F.size("x"), F.size("y")), F.greatest(F.size("x"), F.size("y"))
     both = F.size(F.array_intersect("x", "y"))
     sized = links.select("a", "b").join(left, "a").join(right, "b").where(small >= large * similarity - 1e-9)
@@ -288,30 +286,85 @@ def _rooted(links: DataFrame, links_of_roots: DataFrame) -> DataFrame:
     return links.where("ra <> rb").select("a", "b", "d", "ra", "rb")
 
 
-def _true_links(links: DataFrame, sets: DataFrame, similarity: float, sure: int) -> DataFrame:
-    """From links (a, b, d), d bits apart, those that hold: up to `sure` bits as they are, the others by their sets of shingles.
+def _true_links(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """From links (a, b, d), d bits apart, true ones that join all that the true ones join, by the sets of shingles.
 
-    Only links between what isn't joined yet are verified: first the nearest of each root, and after joining by what held, all that
-    still lead from one root to another.
+    First the nearest of each node are verified, and after joining by what held, all that still lead from one root to another.
     """
-    near = links.where(F.col("d") <= sure).select("a", "b")
-    unsure = links.where(F.col("d") > sure).withColumns({"ra": F.col("a"), "rb": F.col("b")})
-    unsure = staged(_rooted(unsure, near.toDF("ra", "rb")), "unsure")
+    links = staged(links.withColumns({"ra": F.col("a"), "rb": F.col("b")}), "unsure")
     nearest = F.min(F.struct("d", "a", "b", "ra", "rb")).alias("e")
-    picked = unsure.groupBy("ra").agg(nearest).select("e.*").unionByName(unsure.groupBy("rb").agg(nearest).select("e.*")).distinct()
+    picked = links.groupBy("ra").agg(nearest).select("e.*").unionByName(links.groupBy("rb").agg(nearest).select("e.*")).distinct()
     picked = staged(picked.select("a", "b", "d", "ra", "rb"), "picked")
     held = staged(_verified(picked, sets, similarity), "held")
-    rest = unsure.join(picked.select("a", "b"), ["a", "b"], "left_anti")
+    rest = links.join(picked.select("a", "b"), ["a", "b"], "left_anti")
     rest = staged(_rooted(rest, picked.join(held, ["a", "b"]).select("ra", "rb")), "rest")
-    return near.unionByName(held).unionByName(_verified(rest, sets, similarity))
+    return held.unionByName(_verified(rest, sets, similarity))
+
+
+def block_links(node: np.ndarray, root: np.ndarray, fp: np.ndarray, sets: list[np.ndarray], similarity: float, loose: int) -> list[tuple[int, int]]:
+    """Links that join all nodes that true links join; nodes of one root count as joined. Each is verified before a node is left out."""
+    n = np.array([len(x) for x in sets], np.int64)
+    at = np.concatenate([[0], np.cumsum(n)])
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    marked = np.zeros(int(codes.max(initial=0)) + 1, bool)
+    links, rest = [], np.arange(len(node))
+    while len(rest):
+        queue = rest[root[rest] == root[rest[0]]].tolist()
+        rest = rest[root[rest] != root[rest[0]]]
+        while queue and len(rest):
+            a = queue.pop()
+            near = np.minimum(n[a], n[rest]) >= similarity * np.maximum(n[a], n[rest]) - 1e-9
+            far = np.bitwise_count(fp[rest] ^ fp[a]).sum(axis=1, dtype=np.int64) > loose
+            some = rest[near & ((n[a] < FEW) | (n[rest] < FEW) | ~far) & (n[rest] > 0)]
+            if not len(some):
+                continue
+            ends = np.cumsum(n[some])
+            marked[codes[at[a] : at[a + 1]]] = True
+            both = np.add.reduceat(marked[codes[np.repeat(at[some] - ends + n[some], n[some]) + np.arange(ends[-1])]], ends - n[some], dtype=np.int64)
+            marked[codes[at[a] : at[a + 1]]] = False
+            held = some[both >= (n[a] + n[some] - both) * similarity - 1e-9]
+            links += [(int(node[a]), int(node[b])) for b in held]
+            more = np.isin(root[rest], root[held])
+            queue += rest[more].tolist()
+            rest = rest[~more]
+    return links
+
+
+def _settled(found: DataFrame, met: DataFrame, sets: DataFrame, similarity: float, loose: int) -> DataFrame:
+    """Further links, found and verified among the nodes of large buckets that aren't all of one root.
+
+    Nodes that share such buckets form a cluster; it is dealt in blocks of about BLOCK_SHINGLES shingles and each two blocks meet in a
+    task, so that no bucket's size bounds what is found, nor a task's work grows with it.
+    """
+    roots = found.select(F.col("node").alias("at"), "component")
+    large = met.where(F.col("many") > SMALL).select("key", "node")
+    large = large.join(roots, F.col("node") == F.col("at"), "left").select("key", "node", F.coalesce("component", "node").alias("root"))
+    open_keys = large.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.min("node").alias("head")).where("least <> most").select("key", "head")
+    large = staged(large.join(open_keys, "key").select("head", "node", "root").distinct(), "large")
+    cluster = connected_components(large, "head", "node").toDF("at", "cluster")
+    members = large.select("node", "root").distinct().join(cluster, F.col("node") == F.col("at")).select("node", "root", "cluster")
+    members = staged(members.join(sets, "node"), "members")
+    blocks = members.groupBy("cluster").agg(F.ceil(F.sum(F.size("shingles")) / BLOCK_SHINGLES).cast("long").alias("blocks"))
+    dealt = members.join(blocks, "cluster").withColumn("blocks", F.greatest("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("block", "other", "blocks")
+
+    def run(rows: pa.Table) -> pa.Table:
+        node, root = np.asarray(rows["node"]), np.asarray(rows["root"])
+        fp = np.stack([np.asarray(rows[f"w{i}"]) for i in range(WORDS)], axis=1).view(np.uint64)
+        sets = [np.asarray(x.values) for x in rows["shingles"]]
+        got = np.array(block_links(node, root, fp, sets, similarity, loose), np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(got[:, 0]), "b": pa.array(got[:, 1])})
+
+    return dealt.groupBy("cluster", "lo", "hi").applyInArrow(run, "a long, b long")
 
 
 def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, sha, component_id, keep): groups linked by `similarity` of their shingles; keep marks one text of each.
 
     sha is the text's SHA-256 (null: empty). Candidates share one of their rarest shingles (prefix_of), which loses none. Fingerprints
-    of the shingles then estimate the similarity: three deviations within the limit links, six beyond it discards (but never sets
-    under FEW), and what lies between is verified on the sets of shingles (32 bits of each hash).
+    of the shingles then estimate the similarity: six deviations beyond the limit discards (but never sets under FEW), and each other
+    link is verified on the sets of shingles (32 bits of each hash): pairs of small buckets in joins, large ones by _settled().
     Kept is the smallest doc_id (nulls last, then by sha).
     """
     spark = docs.sparkSession
@@ -337,7 +390,7 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
     prints = staged(docs.select(F.col(id_column).cast("long"), F.col(text_column).cast("string")).mapInArrow(run, WIDE_SCHEMA), "prints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "sha")).alias("first")
     nodes = staged(prints.groupBy("node", F.size("shingles").cast("long").alias("count"), *names).agg(first), "nodes")
-    sure, loose = distance_at(similarity, -3), distance_at(similarity, 6)
+    loose = distance_at(similarity, 6)
     entries = prints.agg(F.sum(F.size("prefix"))).first()[0] or 0
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,17 +412,23 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
         if got:
             rows = pa.Table.from_batches(got)
             fp = np.stack([np.asarray(rows[c]) for c in names], axis=1).view(np.uint64)
-            key, node, n, many = (np.asarray(rows[c]) for c in ("key", "node", "n", "many"))
-            a, b, d = _bucket_candidates(key, n, fp, many, similarity, sure, loose)
+            key, node, n = (np.asarray(rows[c]) for c in ("key", "node", "n"))
+            a, b, d = _bucket_candidates(key, n, fp, similarity, loose)
             out = np.unique(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), d]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["a", "b", "d"])
 
     dealt = prints.select(F.explode("prefix").alias("key"), "node").repartition(max(12, -(-entries // 400_000)), "key")
     met = staged(dealt.mapInArrow(shared, "key long, node long, many long"), "met")
-    told = met.join(nodes.select("node", F.col("count").alias("n"), *names), "node")
+    told = met.where(F.col("many") <= SMALL).join(nodes.select("node", F.col("count").alias("n"), *names), "node")
     links = told.repartition(max(12, -(-met.count() // 150_000)), "key").mapInArrow(link, "a long, b long, d long").distinct()
     links = staged(links, "links")
-    found = connected_components(_true_links(links, prints.select("node", "shingles"), similarity, sure), "a", "b")
+    # written, so that its measured size decides whether all sets must be shuffled, once, to find these
+    ends = staged(links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).unionByName(met.where(F.col("many") > SMALL).select("node")).distinct(), "ends")
+    sets = staged(prints.select("node", "shingles", *names).join(ends, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    true = staged(_true_links(links, sets, similarity), "true")
+    found = connected_components(true, "a", "b")
+    if not met.where(F.col("many") > SMALL).isEmpty():
+        found = connected_components(true.unionByName(_settled(found, met, sets, similarity, loose)), "a", "b")
     rooted = nodes.join(found.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("node", "first", F.coalesce("component", "node").alias("root"))
     heads = rooted.groupBy("root").agg(F.min("first").alias("head"))
     named = rooted.join(heads, "root").select("node", "head")

@@ -178,3 +178,26 @@ def test_appended_and_replaced_blocks_meet_at_any_size(spark):
         near = [len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1]) for i in range(0, 2 * n, 2)]
         assert sum(near) > n / 2
         assert [got[i + 1] == i for i in range(0, 2 * n, 2)] == near
+
+
+def test_large_groups_of_near_copies_are_those_of_exact_similarity(spark, monkeypatch):
+    draw = np.random.default_rng(31)
+    pool = np.array([f"w{i}" for i in range(5000)])
+    words = draw.choice(pool, 300)
+    rows = []
+    for _ in range(250):
+        other = words.copy()
+        at = draw.choice(300, int(draw.integers(2, 9)), replace=False)
+        other[at] = draw.choice(pool, len(at))
+        rows.append(other)
+    texts = [" ".join(w) for w in rows]
+    sets = [shingles_of(t) for t in texts]
+    near = np.array([[len(x & y) >= 0.8 * len(x | y) for y in sets] for x in sets])
+    root = np.arange(len(sets))
+    for _ in range(len(sets)):
+        root = np.where(near, root[None, :], len(sets)).min(axis=1)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for shingles in (2_000_000, 30_000):
+        monkeypatch.setattr(simhash, "BLOCK_SHINGLES", shingles)
+        got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+        assert 10 < len(set(root)) < 240 and [got[i] for i in range(250)] == root.tolist()
