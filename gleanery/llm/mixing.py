@@ -8,7 +8,8 @@ quotient (target / (2 * given + 1)), none beyond `most` times the blocks that it
 each of its blocks quota // blocks times and the rest of the quota from blocks in a seeded order. So a word is taken at most
 `most` times, all that is decided depends on ids, sizes and the seed, and a shard's work is bounded at any size of source.
 
-The block's size is the largest power of two up to BLOCK_WORDS with LEAST_BLOCKS blocks in the smallest target, at least 1.
+The block's size is BLOCK_WORDS whatever the sources. A source whose target has fewer than LEAST_BLOCKS blocks, where whole ones would be
+too coarse, is settled to the word: of the last block in its seeded order only the first words are taken.
 
 Defined results: null and empty texts have size 0 and nothing is taken of them. A null id is dealt like a value of its own.
 Repeated rows are documents of their own. A source of size 0 has target 0. Extra columns are ignored (or kept, see mixed()).
@@ -16,6 +17,7 @@ Repeated rows are documents of their own. A source of size 0 has target 0. Extra
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import re
 import zlib
@@ -83,6 +85,25 @@ def _times(n_blocks: int, quota: int, seed: list[int]) -> np.ndarray:
     return times
 
 
+def _times_to_the_word(total: int, block: int, words: int, seed: list[int]) -> tuple[list[int], list[int]]:
+    """Where runs of words start, and how often each is taken, for `words` words in all: whole blocks and the start of one."""
+    n = -(-total // block)
+    times = np.full(n, words // total, np.int64)
+    rest, part = words % total, None
+    for b in np.random.default_rng(seed).permutation(n).tolist():
+        own = min(total, (b + 1) * block) - b * block
+        if rest < own:
+            part = (b, rest) if rest else None
+            break
+        times[b] += 1
+        rest -= own
+    starts, often = [b * block for b in range(n)], times.tolist()
+    if part:
+        starts.insert(part[0] + 1, part[0] * block + part[1])
+        often.insert(part[0], often[part[0]] + 1)
+    return starts, often
+
+
 def mix_shard(rows: pa.Table, block: int, most: int, seed: int) -> list[list[tuple[int, int, int]]]:
     """For one shard's rows (source, order, id, size, source_size, target), each row's runs of words taken: (start, end, times)."""
     out: list[list] = [[] for _ in range(len(rows))]
@@ -103,26 +124,31 @@ def mix_shard(rows: pa.Table, block: int, most: int, seed: int) -> list[list[tup
     targets, blocks = np.array([x[2] for x in spans]), np.array([x[3] for x in spans])
     quotas = apportion(targets, most * blocks, round(float(targets.sum()) / block))
     shard = rows["shard"][0].as_py()
-    for (name, at, _, n), quota in zip(spans, quotas.tolist(), strict=True):
-        if not quota:
-            continue
-        times = _times(n, quota, [seed, shard, int(name[0]), zlib.crc32(name[1].encode())])
+    for (name, at, target, n), quota in zip(spans, quotas.tolist(), strict=True):
+        own_seed = [seed, shard, int(name[0]), zlib.crc32(name[1].encode())]
         starts = np.concatenate([[0], np.cumsum(sizes[at])]).tolist()
+        if float(rows["target"][int(at[0])].as_py()) < LEAST_BLOCKS * block:
+            cuts_at, times = _times_to_the_word(starts[-1], block, min(round(target), most * starts[-1]), own_seed)
+        else:
+            cuts_at, times = [b * block for b in range(n)], _times(n, quota, own_seed).tolist()
+        ends = [*cuts_at[1:], starts[-1]]
         for row, lo, hi in zip(at.tolist(), starts, starts[1:], strict=False):
-            for b in range(lo // block, -(-hi // block) if hi > lo else 0):
+            b = bisect.bisect_right(cuts_at, lo) - 1
+            while lo < hi and b < len(ends) and cuts_at[b] < hi:
                 if times[b]:
-                    out[row].append((max(lo, b * block) - lo, min(hi, (b + 1) * block) - lo, int(times[b])))
+                    out[row].append((max(lo, cuts_at[b]) - lo, min(hi, ends[b]) - lo, times[b]))
+                b += 1
     return out
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 17, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
     """doc_id, size, source, source_size, target, taken and spans: the runs of words taken, each with its times."""
-    dealt, block = _dealt(docs, weights, share, most, seed, id_column, text_column, source_column, ())
+    dealt = _dealt(docs, weights, share, most, seed, id_column, text_column, source_column, ())
     spans = T.ArrayType(T.StructType([T.StructField(x, T.LongType()) for x in ("start", "end", "times")]))
     schema = T.StructType([*dealt.schema.fields, T.StructField("taken", T.LongType()), T.StructField("spans", spans)])
 
     def run(rows: pa.Table) -> pa.Table:
-        got = mix_shard(rows, block, most, seed)
+        got = mix_shard(rows, BLOCK_WORDS, most, seed)
         taken = pa.array([sum((b - a) * t for a, b, t in x) for x in got], pa.int64())
         kind = pa.list_(pa.struct([(x, pa.int64()) for x in ("start", "end", "times")]))
         return rows.append_column("taken", taken).append_column("spans", pa.array([[dict(zip(("start", "end", "times"), y, strict=True)) for y in x] for x in got], kind))
@@ -131,22 +157,18 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float =
     return out.select(F.col("id").alias("doc_id"), "size", "source", "source_size", "target", "taken", "spans")
 
 
-def _dealt(docs: DataFrame, weights: tuple[int, ...], share: float, most: int, seed: int, id_column: str, text_column: str, source_column: str, keep: tuple[str, ...]) -> tuple[DataFrame, int]:
-    """Rows with their size, target and shard (and columns to keep, by place), and the block's size in words."""
+def _dealt(docs: DataFrame, weights: tuple[int, ...], share: float, most: int, seed: int, id_column: str, text_column: str, source_column: str, keep: tuple[str, ...]) -> DataFrame:
+    """Rows with their size, target and shard (and columns to keep, by place)."""
     size = F.coalesce(F.regexp_count(F.col(text_column).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(source_column).cast("string").alias("source"), size.alias("size"), *(F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)))
     targets = source_targets(rows.select("source", "size"), weights, share, most)
-    bounds = targets.agg(F.min(F.when(F.col("target") > 0, F.col("target"))).alias("least"), F.sum("source_size").alias("all")).first()
-    least, total = bounds["least"] or 0.0, bounds["all"] or 0
-    block = 1
-    while block < BLOCK_WORDS and 2 * block * LEAST_BLOCKS <= least:
-        block *= 2
+    total = targets.agg(F.sum("source_size")).first()[0] or 0
     shards = max(1, -(-total // WORDS_A_SHARD))
     known = rows.join(targets.withColumnRenamed("source", "named"), F.col("source").eqNullSafe(F.col("named"))).drop("named")
     order = F.xxhash64(F.lit(seed), "id")
     part = F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.greatest(F.lit(1), F.ceil(F.col("source_size") / WORDS_A_SHARD)))
     dealt = known.withColumns({"order": order, "shard": F.pmod(F.pmod(F.xxhash64(F.lit(seed), "source"), F.lit(shards)) + part, F.lit(shards))})
-    return dealt, block
+    return dealt
 
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -172,12 +194,12 @@ def taken_text(text: bytes, spans: list[tuple[int, int, int]], copy: int) -> byt
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 17, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", length_column: str = "n_chars") -> DataFrame:
     """The mix as rows of docs' columns: a row for each copy that takes any of a document, its text cut to the words taken."""
     columns = docs.columns
-    dealt, block = _dealt(docs, weights, share, most, seed, id_column, text_column, source_column, tuple(columns))
+    dealt = _dealt(docs, weights, share, most, seed, id_column, text_column, source_column, tuple(columns))
     place = columns.index(text_column)
     length = columns.index(length_column) if length_column in columns else -1
 
     def run(rows: pa.Table) -> pa.Table:
-        spans = mix_shard(rows, block, most, seed)
+        spans = mix_shard(rows, BLOCK_WORDS, most, seed)
         own = rows.select([f"kept_{i}" for i in range(len(columns))]).rename_columns(columns)
         out = []
         for copy in range(1, most + 1):

@@ -53,6 +53,20 @@ def test_mix_is_near_its_targets(spark, sf, odd, none):
     assert whole.columns == odd.columns and whole.count() > 0 and mixing.mixed_documents(none).count() == 0
 
 
+def test_small_source_leaves_the_others_in_long_runs(spark):
+    text = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    docs = [(k, text(k, 3000), "large") for k in range(40)] + [(100, text(100, 15), "tiny"), (101, text(101, 700), "small"), (102, text(102, 5000), "zero")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    got = mixing.mixed(df).collect()
+    taken, target = {}, {}
+    for r in got:
+        taken[r.source], target[r.source] = taken.get(r.source, 0) + r.taken, r.target
+        assert r.taken <= 2 * r.size and len(r.spans) <= r.size / 256 + 3  # not cut into words
+        assert sum(s.end - s.start < 256 and 0 < s.start and s.end < r.size for s in r.spans) <= 2
+    assert all(abs(taken[k] - target[k]) <= 1 for k in ("tiny", "small", "zero")) and taken["large"] == pytest.approx(target["large"], rel=0.01)
+    assert sum(len(r.text.split()) for r in mixing.mixed_documents(df).collect()) == sum(taken.values())
+
+
 def test_urls(spark):
     pages = [(1, "HTTP://A.Example.NET/en/x?q", '<a href="https://b.example.com/z">'), (2, "https://net", None), (3, "https://x.net/", ""), (4, None, None), (5, "no scheme", ""), (6, "//x.net/", ""), (7, "https://b.example.com/fr#t", '<a HREF=//x.net/>'), (7, "https://b.example.com/fr#t", ""), (8, "https://l.org/fr/", "")]
     df = spark.createDataFrame([(*p, "z") for p in pages], "page_id long, url string, html string, host string")
