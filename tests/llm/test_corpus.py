@@ -100,6 +100,20 @@ def test_leaks_are_found_and_clean_documents_left(spark, sf):
     assert decontamination.contaminated(docs.limit(0), bench).count() == 0 and decontamination.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_quotes_across_cuts_are_found(spark):
+    draw = np.random.default_rng(14)
+    text = lambda k, n: [f"{k}v{j}" for j in draw.integers(0, 5000, n)]
+    quotes = [(59, 10, 50), (70, 11, 59), (96, 15, 81), (96, 19, 53), (96, 31, 65), (144, 63, 129), (144, 67, 101), (59, 0, 22), (48, 5, 39)]
+    items = [text(f"i{k}", n) for k, (n, _, _) in enumerate(quotes)]
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    docs = [(k, " ".join(text("d", 100 + 13 * k) + items[k][a:b] + text("d", 150))) for k, (_, a, b) in enumerate(quotes)]
+    docs += [(100 + k, " ".join(text("d", 90) + x[20:32] + text("d", 90))) for k, x in enumerate(items)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for pieces in (decontamination.BLOCK_PIECES, 4):
+        got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(df, bench, block_pieces=pieces).collect()}
+        assert got == {(k, k) for k in range(len(quotes))}
+
+
 def test_lcs():
     draw = np.random.default_rng(6)
     for _ in range(50):
