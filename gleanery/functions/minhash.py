@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,12 +61,15 @@ class ExactHasher:
 def exact_signatures(docs: DataFrame, id_column: str, text_column: str, n: int = 128, seed: int = 17, k: int = 5) -> DataFrame:
     """(id, sig) with the unsigned 64-bit values' bit patterns as signed longs."""
 
-    @F.pandas_udf("array<long>")
-    def sign(column: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = ExactHasher(n, seed)
-        return column.map(lambda s: hasher.signature(s).view(np.int64))
+        for batch in batches:
+            signed = [hasher.signature(x).view(np.int64) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed, pa.list_(pa.int64()))], names=["id", "sig"])
 
-    return docs.select(F.col(id_column).alias("id"), sign(T.shingles_of(T.words(F.col(text_column)), k)).alias("sig"))
+    # a step of its own: as a function of a column that holds a lambda it would be moved into the lambda's plan and fail
+    sets = docs.select(F.col(id_column).cast("long").alias("id"), T.shingles_of(T.words(F.col(text_column)), k).alias("shingles"))
+    return sets.mapInArrow(run, "id long, sig array<long>")
 
 
 def agreement(a: Column, b: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.session import staged
+from gleanery.session import dropped, staged
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -40,7 +40,8 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     for _ in range(max_rounds):
         if not before[0]:
             break
-        now = staged(_small_star(_large_star(now)), "edges")
+        last, now = now, staged(_small_star(_large_star(now)), "edges")
+        dropped(last)
         after = _digest(now)
         if after == before:
             break

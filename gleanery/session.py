@@ -32,11 +32,15 @@ def build_session(master: str = "local[*]", app: str = "gleanery", shuffle_parti
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may do without (a temporary folder then)."""
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
-    set_to = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gleanery-")
+    set_to = spark.conf.get("spark.checkpoint.dir", None)
+    if not set_to:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir isn't set: driver and executors share no folder")
+        set_to = tempfile.mkdtemp(prefix="gleanery-")
     spark.sparkContext.setCheckpointDir(set_to)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -46,7 +50,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables of staged() that nothing will read any more: what was made of them is itself staged or collected."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._staged_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
