@@ -192,3 +192,44 @@ def covered_from(starts: np.ndarray, width: int) -> np.ndarray:
     sums = np.concatenate([[0], np.cumsum(starts, dtype=np.int64)])
     i = np.arange(len(starts))
     return sums[i + 1] > sums[np.maximum(0, i + 1 - width)]
+
+
+def joined_spreading(rows: DataFrame, named: DataFrame, key: str, counts: str = "n", how: str = "inner", share: int = 1000) -> DataFrame:
+    """rows.join(named, key), where no key's rows meet in one task however many there are.
+
+    named has one row a key, with the number of its rows in `counts` (dropped). Keys with over one in `share` of all rows, of which there
+    are fewer than `share`, are broadcast; the others are joined as the optimiser likes. Both are staged or cheap: they are read twice.
+    """
+    total = named.agg(F.sum(counts)).first()[0] or 0
+    is_hot = F.col(counts) * share > total
+    hot = named.where(is_hot).drop(counts).withColumn("__hot", F.lit(True))
+    marked = rows.join(F.broadcast(hot), key, "left")
+    values = [c for c in named.columns if c not in (key, counts)]
+    first = marked.where("__hot").select(*rows.columns, *values)
+    rest = marked.where("__hot is null").select(*rows.columns).join(named.where(~is_hot).drop(counts), key, how)
+    return first.unionByName(rest.select(*rows.columns, *values))
+
+
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def majorities(h: np.ndarray, starts: np.ndarray, words: int = 1) -> np.ndarray:
+    """For each run h[starts[i]:starts[i + 1]] (the last one to the end, none empty), 64 * words bits that over half of its hashes have.
+
+    The first 64 are the hashes' own, further ones those of hashes derived from them. Eight bits are counted in the eight
+    bytes of one number, over at most 255 hashes at a time.
+    """
+    sizes = np.diff(np.append(starts, len(h)))
+    pieces = -(-sizes // 255)
+    first = np.cumsum(pieces) - pieces
+    cuts = np.repeat(starts - 255 * first, pieces) + 255 * np.arange(pieces.sum())
+    out = np.empty((len(starts), words), np.uint64)
+    for w in range(words):
+        each = np.ascontiguousarray(mixed(h + np.uint64(w)) if w else h).view(np.uint8).reshape(-1, 8)
+        bits = np.empty((len(starts), 8), np.uint8)
+        for b in range(8):
+            lanes = np.add.reduceat(_LANES[each[:, b]], cuts).view(np.uint8).reshape(-1, 8).astype(np.int64)
+            counts = np.add.reduceat(lanes, first, axis=0)
+            bits[:, b] = np.packbits(2 * counts > sizes[:, None], axis=1, bitorder="little")[:, 0]
+        out[:, w] = bits.view(np.uint64)[:, 0]
+    return out

@@ -26,11 +26,15 @@ from pyspark.sql import functions as F
 
 from gleanery.llm import common as C
 from gleanery.operators.components import connected_components
-from gleanery.session import staged
+from gleanery.session import dropped, staged
 
 PIVOTS = 16
 #: Buckets up to this size are compared pair by pair, larger ones walked.
 SMALL = 48
+#: Buckets of over this size are dealt again by further bits.
+LARGE = 4096
+#: Texts whose rows leave Python together.
+ROWS_OUT = 256
 FP_SCHEMA = "doc_id long, fp long"
 
 
@@ -39,9 +43,6 @@ def pivots(n: int = PIVOTS, words: int = 1) -> np.ndarray:
     return C.mixed(np.arange(1, n * words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(n, words)
 
 
-_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
-
-
 def shingle_hashes(words: list[bytes], width: int, seed: int) -> np.ndarray:
     """XXH64 of each run of `width` words, or of the whole sequence where it is shorter; none for no words."""
     if not words:
@@ -55,30 +56,28 @@ def shingle_hashes(words: list[bytes], width: int, seed: int) -> np.ndarray:
     return np.array([xx(line[s:e], seed) for s, e in zip(starts, ends[width - 1 :].tolist(), strict=True)], np.uint64)
 
 
-def majority(h: np.ndarray) -> int:
-    """The 64 bits that are set in over half of the hashes."""
-    each = h.view(np.uint8).reshape(-1, 8)
-    if len(h) < 64:
-        counts = np.unpackbits(each, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    else:
-        counts = np.concatenate([np.bincount(each[:, i], minlength=256) @ _BITS for i in range(8)])
-    return int(np.packbits(2 * counts > len(h), bitorder="little").view(np.uint64)[0])
-
-
-def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
-    """SimHash over the XXH64 of all shingles of `width` words; a bit is 1 if set in over half of them."""
-    return majority(shingle_hashes(text.lower().split(), width, seed))
+def fingerprint_of(texts: list[bytes], width: int = 4, seed: int = 42) -> np.ndarray:
+    """SimHash of each text over the XXH64 of all shingles of `width` words; a bit is 1 if set in over half of them."""
+    hashes = [shingle_hashes(x.lower().split(), width, seed) for x in texts]
+    out = np.zeros(len(texts), np.uint64)
+    some = [i for i, h in enumerate(hashes) if len(h)]
+    if some:
+        sizes = np.array([len(hashes[i]) for i in some])
+        out[some] = C.majorities(np.concatenate([hashes[i] for i in some]), np.cumsum(sizes) - sizes)[:, 0]
+    return out
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, fp): the whole text's fingerprint as a signed 64-bit number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, at = C.utf8_of(batch.column(1))
-            raw, at = data.tobytes(), at.tolist()
-            out = np.array([fingerprint(raw[a:b], width, seed) for a, b in zip(at, at[1:], strict=False)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS_OUT):
+                batch = whole.slice(start, ROWS_OUT)
+                data, at = C.utf8_of(batch.column(1))
+                raw, at = data.tobytes(), at.tolist()
+                out = fingerprint_of([raw[a:b] for a, b in zip(at, at[1:], strict=False)], width, seed)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
 
     return docs.select(F.col(id_column).cast("long"), F.col(text_column).cast("string")).mapInArrow(run, FP_SCHEMA)
 
@@ -144,24 +143,54 @@ def bucket_links(key: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.nda
     return order[np.concatenate(a)], order[np.concatenate(b)]
 
 
+def finer_keys(fp: np.ndarray, key: np.ndarray, runs: list[tuple[int, int]], distance: int) -> np.ndarray:
+    """For fingerprints that agree outside `runs`, a key for each choice of two of distance + 2 pieces of the bits there (rows: choices)."""
+    dense, bits = np.zeros(len(fp), np.uint64), 0
+    for shift, width in runs:
+        dense = dense << np.uint64(width) | fp >> np.uint64(shift) & np.uint64((1 << width) - 1)
+        bits += width
+    cuts = [bits * i // (distance + 2) for i in range(distance + 3)]
+    pieces = [dense >> np.uint64(a) & np.uint64((1 << b - a) - 1) for a, b in itertools.pairwise(cuts)]
+    choices = itertools.combinations(range(distance + 2), 2)
+    return np.stack([C.mixed(C.mixed(key + np.uint64(k + 1) * np.uint64(0x9E3779B97F4A7C15)) ^ (pieces[i] << np.uint64(32) | pieces[j])) for k, (i, j) in enumerate(choices)])
+
+
 def fingerprint_links(distinct: DataFrame, distance: int = 4, blocks: int | None = None, rows_a_task: int = 400_000) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) that differ in at most `distance` bits.
 
     With blocks = distance + 2, keys have about 21 bits in 15 tables, enough for some 10 million fingerprints at a few in a
-    bucket; each further block adds bits (distance + 3: 27 bits, 35 tables) and is taken as the count grows.
+    bucket; each further block adds bits (distance + 3: 27 bits, 35 tables) and is taken as the count grows. Buckets of over
+    LARGE fingerprints are dealt again by the bits that their key leaves out, a pigeonhole of the same kind, before anything is compared.
     """
     n = distinct.count()
     blocks = blocks or distance + (2 if n < 20_000_000 else 3 if n < 2_000_000_000 else 4)
-    tables = list(itertools.combinations(runs_of_bits(blocks), blocks - distance))
+    all_runs = runs_of_bits(blocks)
+    tables = list(itertools.combinations(all_runs, blocks - distance))
 
     def key(number: int, runs) -> F.Column:
         out = F.lit(number).cast("long")
         for shift, width in runs:
             part = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
             out = F.shiftleft(out, width).bitwiseOR(part)
-        return out
+        return F.struct(F.lit(number).alias("number"), out.alias("key"))
 
-    dealt = distinct.select("fp", F.explode(F.array(*(key(k, runs) for k, runs in enumerate(tables)))).alias("key"))
+    dealt = distinct.select("fp", F.explode(F.array(*(key(k, runs) for k, runs in enumerate(tables)))).alias("k")).select("fp", "k.number", "k.key")
+    crowded = staged(dealt.groupBy("number", "key").agg(F.count("*").alias("n")).where(F.col("n") > LARGE).select("number", "key"), "crowded")
+    many = crowded.count()
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, number, keys = (np.asarray(batch.column(k)) for k in range(3))
+            for t in np.unique(number).tolist():
+                own = number == t
+                left = [x for x in all_runs if x not in tables[t]]
+                for row in finer_keys(fp[own].view(np.uint64), C.mixed(keys[own].view(np.uint64) + np.uint64(t)), left, distance):
+                    yield pa.RecordBatch.from_arrays([pa.array(fp[own]), pa.array(row.view(np.int64))], names=["fp", "key"])
+
+    out = dealt.select("fp", "key")
+    if many:
+        finer = dealt.join(crowded, ["number", "key"], "left_semi").mapInArrow(again, "fp long, key long")
+        out = dealt.join(crowded, ["number", "key"], "left_anti").select("fp", "key").unionByName(finer)
     parts = max(12, -(-n * len(tables) // rows_a_task))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,71 +200,66 @@ def fingerprint_links(distinct: DataFrame, distance: int = 4, blocks: int | None
             a, b = bucket_links(keys, fp.view(np.uint64)[:, None], distance)
             yield pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], names=["a", "b"])
 
-    return dealt.repartition(parts, "key").mapInArrow(run, "a long, b long")
+    return out.repartition(parts, "key").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 4, seed: int = 42, distance: int = 4) -> DataFrame:
     """One row a document: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable by links)."""
     prints = staged(fingerprints(docs, id_column, text_column, width, seed), "fingerprints")
-    distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
     links = fingerprint_links(distinct.select("fp"), distance)
     found = connected_components(links, "a", "b")
-    rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    heads = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(heads, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    linked = staged(distinct.join(found, distinct["fp"] == found["node"]).select("fp", "least", "n", F.col("component").alias("root")), "linked")
+    heads = staged(linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members")), "heads")
+    of_linked = C.joined_spreading(linked, heads, "root", "members").select("fp", "component_id", "n")
+    alone = distinct.join(found, distinct["fp"] == found["node"], "left_anti").select("fp", F.col("least").alias("component_id"), "n")
+    named = staged(of_linked.unionByName(alone), "named")
+    return C.joined_spreading(prints, named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 # Groups by similarity: what differs in a fifth of its shingles has fingerprints too far apart for a pigeonhole on 64 bits.
 
-WORDS = 4
-WIDE_SCHEMA = "doc_id long, sha string, node long, shingles array<int>, prefix array<long>, " + ", ".join(f"w{i} long" for i in range(WORDS))
-#: Texts whose rows leave Python together.
-ROWS_OUT = 256
-#: Texts in the sample that says which shingles are common, and the most of them that are told apart.
-SAMPLE, COMMON = 5_000, 500_000
+WORDS = 2
+#: Candidates agree in all ROWS least hashes of one of BANDS: 0.9996 of the pairs of similarity 0.8 do, and more of nearer ones.
+BANDS, ROWS = 20, 5
+NAMES = [f"w{i}" for i in range(WORDS)]
+WIDE_SCHEMA = "doc_id long, sha binary, node long, shingles array<int>, keys array<long>, " + ", ".join(f"{x} long" for x in NAMES)
+#: Bytes of text that are hashed together.
+TEXT_BYTES = 1 << 20
 #: Sets smaller than this have too few shingles for the deviations of their fingerprints to be known.
 FEW = 64
 #: Shingles in a block of the nodes of large buckets.
 BLOCK_SHINGLES = 2_000_000
-
-
-def wide_print(runs: np.ndarray) -> list[int]:
-    """64 * WORDS SimHash bits of distinct shingles."""
-    return [majority(C.mixed(runs + np.uint64(i))) for i in range(WORDS)]
-
-
-def prefix_of(runs: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """As many of the rarest shingles that any set of that similarity shares one of them, in the prefix of its own.
-
-    That holds with any order that is the same for all sets; `common` (sorted hashes, counts in the sample) only puts the frequent last.
-    """
-    hashes, counts = common
-    often = np.zeros(len(runs), np.int64)
-    if len(hashes):
-        at = np.minimum(np.searchsorted(hashes, runs), len(hashes) - 1)
-        often = np.where(hashes[at] == runs, counts[at], 0)
-    keep = len(runs) - int(np.ceil(similarity * len(runs) - 1e-9)) + 1
-    return runs[np.lexsort((runs, often))[:keep]]
-
-
-def common_shingles(docs: DataFrame, id_column: str, text_column: str, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes that stand in several texts of a bounded sample, sorted, and in how many."""
-    every = max(1, docs.count() // SAMPLE)
-    text = F.col(text_column).cast("string")
-    some = docs.where(F.pmod(F.xxhash64(F.col(id_column).cast("long"), text), F.lit(every)) == 0).select(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, at = C.utf8_of(batch.column(0))
-            raw, at = data.tobytes(), at.tolist()
-            for a, b in zip(at, at[1:], strict=False):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(raw[a:b].lower().split(), width, 42)).view(np.int64))], names=["s"])
-
-    often = some.mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "s").limit(COMMON).toArrow()
-    hashes = np.asarray(often["s"].combine_chunks()).view(np.uint64)
-    order = np.argsort(hashes)
-    return hashes[order], np.asarray(often["n"].combine_chunks())[order]
+BASE = 0xA0761D6478BD642F
+_FACTORS = C.mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB)) | np.uint64(1)
+
+
+def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
+    """Each text's distinct shingles of `width` words (lower case, ASCII white space between) as sorted 64-bit hashes."""
+    words = [x.lower().split() for x in texts]
+    line = b" ".join([b" ".join(w) for w in words if w])
+    n = np.array([len(w) for w in words], np.int64)
+    data = np.frombuffer(line, np.uint8)
+    gaps = np.flatnonzero(data == 32)
+    start, end = np.concatenate([[0], gaps + 1]), np.append(gaps, len(data))
+    each = np.where(n > 0, np.maximum(1, n - width + 1), 0)
+    first = np.cumsum(n) - n
+    at = np.concatenate([[0], np.cumsum(each)])
+    from_word = np.repeat(first - at[:-1], each) + np.arange(at[-1])
+    to_word = np.minimum(from_word + width, np.repeat(first + n, each)) - 1
+    hashes = C.span_hash(C.prefix_hash(data, BASE), start[from_word], end[to_word], BASE) if at[-1] else np.zeros(0, np.uint64)
+    return [np.unique(hashes[a:b]) for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
+
+
+def band_keys(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each run of h, BANDS keys made of ROWS least values each (of the hashes times a factor)."""
+    out = np.empty((len(starts), BANDS), np.uint64)
+    for b in range(BANDS):
+        key = np.full(len(starts), b + 1, np.uint64)
+        for f in _FACTORS[b * ROWS : (b + 1) * ROWS]:
+            key = C.mixed(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(h * f, starts))
+        out[:, b] = key
+    return out
 
 
 def distance_at(similarity: float, deviations: float, bits: int = 64 * WORDS) -> int:
@@ -279,7 +303,7 @@ def _verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 def _rooted(links: DataFrame, links_of_roots: DataFrame) -> DataFrame:
     """links with the roots (ra, rb) of their ends renewed by links between roots; those within one root go."""
-    found = connected_components(links_of_roots, "ra", "rb")
+    found = staged(connected_components(links_of_roots, "ra", "rb"), "renewed")
     for side in ("ra", "rb"):
         one = found.select(F.col("node").alias(side), F.col("component").alias("to"))
         links = links.join(one, side, "left").withColumn(side, F.coalesce("to", side)).drop("to")
@@ -291,7 +315,7 @@ def _true_links(links: DataFrame, sets: DataFrame, similarity: float) -> DataFra
 
     First the nearest of each node are verified, and after joining by what held, all that still lead from one root to another.
     """
-    links = staged(links.withColumns({"ra": F.col("a"), "rb": F.col("b")}), "unsure")
+    links = links.withColumns({"ra": F.col("a"), "rb": F.col("b")})
     nearest = F.min(F.struct("d", "a", "b", "ra", "rb")).alias("e")
     picked = links.groupBy("ra").agg(nearest).select("e.*").unionByName(links.groupBy("rb").agg(nearest).select("e.*")).distinct()
     picked = staged(picked.select("a", "b", "d", "ra", "rb"), "picked")
@@ -359,95 +383,134 @@ def _settled(found: DataFrame, met: DataFrame, sets: DataFrame, similarity: floa
     return dealt.groupBy("cluster", "lo", "hi").applyInArrow(run, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, sha, component_id, keep): groups linked by `similarity` of their shingles; keep marks one text of each.
-
-    sha is the text's SHA-256 (null: empty). Candidates share one of their rarest shingles (prefix_of), which loses none. Fingerprints
-    of the shingles then estimate the similarity: six deviations beyond the limit discards (but never sets under FEW), and each other
-    link is verified on the sets of shingles (32 bits of each hash): pairs of small buckets in joins, large ones by _settled().
-    Kept is the smallest doc_id (nulls last, then by sha).
-    """
-    spark = docs.sparkSession
-    common = spark.sparkContext.broadcast(common_shingles(docs, id_column, text_column, width))
+def _prints(docs: DataFrame, id_column: str, text_column: str, width: int) -> DataFrame:
+    """WIDE_SCHEMA: each document's node (one for each set of shingles), set, keys and fingerprint."""
+
+    def rows(ids: pa.Array, texts: list[bytes]) -> pa.RecordBatch:
+        sets = shingle_sets(texts, width)
+        some = [i for i, x in enumerate(sets) if len(x)]
+        prints, keys = np.zeros((len(texts), WORDS), np.uint64), [np.zeros(0, np.uint64)] * len(texts)
+        if some:
+            h, sizes = np.concatenate([sets[i] for i in some]), np.array([len(sets[i]) for i in some])
+            starts = np.cumsum(sizes) - sizes
+            prints[some] = C.majorities(h, starts, WORDS)
+            for i, k in zip(some, band_keys(h, starts), strict=True):
+                keys[i] = k
+        node = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64)
+        cols = [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in (node, *prints.T)]
+        sha = pa.array([hashlib.sha256(x).digest() for x in texts], pa.binary())
+        short = _lists([np.unique(x.astype(np.uint32)).view(np.int32) for x in sets])
+        return pa.RecordBatch.from_arrays([ids, sha, cols[0], short, _lists([x.view(np.int64) for x in keys]), *cols[1:]], names=[x.split()[0] for x in WIDE_SCHEMA.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, ROWS_OUT):
-                batch = whole.slice(start, ROWS_OUT)
-                data, at = C.utf8_of(batch.column(1))
-                raw, at = data.tobytes(), at.tolist()
-                texts = [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
-                runs = [np.unique(shingle_hashes(x.lower().split(), width, 42)) for x in texts]
-                prints = np.array([wide_print(x) for x in runs], np.uint64).reshape(-1, WORDS)
-                node = pa.array(np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in runs], np.uint64).view(np.int64))
-                sets = _lists([np.unique(x.astype(np.uint32)).view(np.int32) for x in runs])
-                prefix = _lists([prefix_of(x, similarity, common.value).view(np.int64) for x in runs])
-                cols = [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in prints.T]
-                sha = pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0), sha, node, sets, prefix, *cols], names=[x.split()[0] for x in WIDE_SCHEMA.split(", ")])
-
-    names = [f"w{i}" for i in range(WORDS)]
-    prints = staged(docs.select(F.col(id_column).cast("long"), F.col(text_column).cast("string")).mapInArrow(run, WIDE_SCHEMA), "prints")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "sha")).alias("first")
-    nodes = staged(prints.groupBy("node", F.size("shingles").cast("long").alias("count"), *names).agg(first), "nodes")
-    loose = distance_at(similarity, 6)
-    entries = prints.agg(F.sum(F.size("prefix"))).first()[0] or 0
+        for batch in batches:
+            data, at = C.utf8_of(batch.column(1))
+            raw, lo = data.tobytes(), 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, min(lo + ROWS_OUT, int(np.searchsorted(at, at[lo] + TEXT_BYTES, side="right")) - 1))
+                yield rows(batch.column(0).slice(lo, hi - lo), [raw[a:b] for a, b in zip(at[lo:hi].tolist(), at[lo + 1 : hi + 1].tolist(), strict=True)])
+                lo = hi
 
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [np.stack([np.asarray(x.column(0)), np.asarray(x.column(1))]) for x in batches]
-        if got:
-            key, node = np.concatenate(got, axis=1)
-            order = np.lexsort((node, key))
-            key, node = key[order], node[order]
-            new = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])  # copies have one node
-            key, node = key[new], node[new]
-            cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            sizes = np.diff(np.append(cuts, len(key)))
-            many = np.repeat(sizes, sizes)
-            some = many > 1
-            yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (key, node, many)], names=["key", "node", "many"])
+    return docs.select(F.col(id_column).cast("long"), F.col(text_column).cast("string")).mapInArrow(run, WIDE_SCHEMA)
+
+
+def _met(nodes: DataFrame) -> DataFrame:
+    """(key, node, many, pivot): the nodes of every key that several have, how many do, and the one with most copies."""
+    dealt = nodes.select(F.explode("keys").alias("key"), "node", "copies")
+    pivot = F.max_by("node", F.struct("copies", "node")).alias("pivot")
+    shared = dealt.groupBy("key").agg(F.count("*").alias("many"), pivot).where("many > 1")
+    return dealt.join(shared, "key").select("key", "node", "many", "pivot")
+
+
+def _grouped(prints: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """(node, root) of all nodes that are linked to another."""
+    known = nodes.select("node", F.col("count").alias("n"), *NAMES)
+    loose = distance_at(similarity, 6)
+    met = staged(_met(nodes), "met")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)
         if got:
             rows = pa.Table.from_batches(got)
-            fp = np.stack([np.asarray(rows[c]) for c in names], axis=1).view(np.uint64)
+            fp = np.stack([np.asarray(rows[c]) for c in NAMES], axis=1).view(np.uint64)
             key, node, n = (np.asarray(rows[c]) for c in ("key", "node", "n"))
             a, b, d = _bucket_candidates(key, n, fp, similarity, loose)
             out = np.unique(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), d]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["a", "b", "d"])
 
-    dealt = prints.select(F.explode("prefix").alias("key"), "node").repartition(max(12, -(-entries // 400_000)), "key")
-    met = staged(dealt.mapInArrow(shared, "key long, node long, many long"), "met")
-    told = met.where(F.col("many") <= SMALL).join(nodes.select("node", F.col("count").alias("n"), *names), "node")
-    links = told.repartition(max(12, -(-met.count() // 150_000)), "key").mapInArrow(link, "a long, b long, d long").distinct()
-    links = staged(links, "links")
+    told = met.where(F.col("many") <= SMALL).select("key", "node").join(known, "node")
+    pairs = told.repartition(max(12, -(-met.count() // 150_000)), "key").mapInArrow(link, "a long, b long, d long")
+    # members of larger buckets first meet their bucket's pivot alone
+    star = met.where((F.col("many") > SMALL) & (F.col("node") != F.col("pivot"))).select("node", "pivot").distinct()
+    other = known.select(F.col("node").alias("pivot"), F.col("n").alias("m"), *(F.col(x).alias(f"p{x}") for x in NAMES))
+    star = star.join(known, "node").join(other, "pivot")
+    bits = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"p{x}"))) for x in NAMES), F.lit(0))
+    few = (F.col("n") < FEW) | (F.col("m") < FEW)
+    star = star.withColumn("d", F.when(few, 64 * WORDS).otherwise(bits).cast("long")).where(few | (F.col("d") <= loose)).where(F.least("n", "m") >= F.greatest("n", "m") * similarity - 1e-9)
+    links = staged(pairs.unionByName(star.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"), "d")).distinct(), "links")
     # written, so that its measured size decides whether all sets must be shuffled, once, to find these
     ends = staged(links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).unionByName(met.where(F.col("many") > SMALL).select("node")).distinct(), "ends")
-    sets = staged(prints.select("node", "shingles", *names).join(ends, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    sets = staged(prints.select("node", "shingles", *NAMES).join(ends, "node", "left_semi").dropDuplicates(["node"]), "sets")
     true = staged(_true_links(links, sets, similarity), "true")
+    dropped(links, ends)
     found = connected_components(true, "a", "b")
     if not met.where(F.col("many") > SMALL).isEmpty():
-        found = connected_components(true.unionByName(_settled(found, met, sets, similarity, loose)), "a", "b")
-    rooted = nodes.join(found.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("node", "first", F.coalesce("component", "node").alias("root"))
-    heads = rooted.groupBy("root").agg(F.min("first").alias("head"))
-    named = rooted.join(heads, "root").select("node", "head")
+        found = connected_components(staged(true.unionByName(_settled(found, met, sets, similarity, loose)), "true"), "a", "b")
+    found = staged(found.toDF("node", "root"), "roots")
+    dropped(met, sets)
+    return found
+
+
+def _read(docs: DataFrame, id_column: str, text_column: str, width: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """prints; nodes; (node, root) of the linked ones; (root, head, members): the first document of each group of linked nodes."""
+    prints = staged(_prints(docs, id_column, text_column, width), "prints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "sha")).alias("first")
+    keys = [F.first(x).alias(x) for x in (*NAMES, "keys")]
+    nodes = staged(prints.groupBy("node").agg(first, F.count("*").alias("copies"), F.first(F.size("shingles").cast("long")).alias("count"), *keys), "nodes")
+    found = _grouped(prints, nodes, similarity)
+    heads = staged(nodes.select("node", "first").join(found, "node").groupBy("root").agg(F.min("first").alias("head"), F.count("*").alias("members")), "heads")
+    return prints, nodes, found, heads
+
+
+def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, sha, component_id, keep): groups linked by `similarity` of their shingles; keep marks one text of each.
+
+    sha is the text's SHA-256 (null: empty). Candidates agree in a band of their shingles' least hashes; fingerprints of the shingles,
+    compared through pivot tables, then estimate the similarity: six deviations beyond the limit discards (but never sets under
+    FEW), and each other link is verified on the sets of shingles (32 bits of each hash): pairs of small buckets in joins, large ones
+    with their pivot and then by _settled(). Kept is the smallest doc_id (nulls last, then by sha).
+    """
+    prints, nodes, found, heads = _read(docs, id_column, text_column, width, similarity)
+    linked = C.joined_spreading(found, heads, "root", "members").select("node", "head").join(nodes.select("node", "copies"), "node")
+    alone = nodes.join(found, "node", "left_anti").select("node", F.col("first").alias("head"), "copies")
+    named = staged(linked.unionByName(alone), "named")
     same = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("sha") == F.col("head.sha"))
-    return prints.join(named, "node").select("doc_id", "sha", F.col("head.doc_id").alias("component_id"), same.alias("keep"))
+    return C.joined_spreading(prints, named, "node", "copies").select("doc_id", "sha", F.col("head.doc_id").alias("component_id"), same.alias("keep"))
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs, one for each group of near copies, all columns as they were."""
-    keep = similar_groups(docs, id_column, text_column, width, similarity).where("keep")
-    kept = staged(keep.groupBy(F.col("doc_id").alias("__kept_id"), F.col("sha").alias("__kept_sha")).agg(F.count("*").alias("__n")), "kept")
-    marked = docs.withColumn("__own_sha", F.sha2(F.coalesce(F.col(text_column).cast("string"), F.lit("")).cast("binary"), 256))
+    """The rows of docs, one for each group of near copies, all columns as they were.
 
-    def chosen(some: DataFrame) -> DataFrame:
+    A null or empty text is a copy of each other one without words. Of rows equal in id and text the least one stays, by the JSON of
+    their columns.
+    """
+    prints, nodes, found, heads = _read(docs, id_column, text_column, width, similarity)
+    chosen = heads.select("head").unionByName(nodes.join(found, "node", "left_anti").select(F.col("first").alias("head")))
+    each = prints.groupBy("doc_id", "sha").agg(F.count("*").alias("__n")).where("__n > 1")
+    chosen = chosen.select(F.col("head.doc_id").alias("__kept_id"), F.col("head.sha").alias("__kept_sha"))
+    twice = (each["doc_id"].eqNullSafe(chosen["__kept_id"])) & (each["sha"] == chosen["__kept_sha"])
+    kept = staged(chosen.join(each, twice, "left").select("__kept_id", "__kept_sha", F.coalesce("__n", F.lit(1)).alias("__n")), "kept")
+    dropped(prints, nodes, found, heads)
+    marked = docs.withColumn("__own_sha", F.unhex(F.sha2(F.coalesce(F.col(text_column).cast("string"), F.lit("")).cast("binary"), 256)))
+
+    def chosen_of(some: DataFrame) -> DataFrame:
         on = marked[id_column].cast("long").eqNullSafe(some["__kept_id"]) & (marked["__own_sha"] == some["__kept_sha"])
-        return marked.join(some.hint("merge"), on, "left_semi")
+        return marked.join(some, on, "left_semi")
 
-    # only rows that repeat an id and a text need a second shuffle of the texts
-    once, repeated = chosen(kept.where("__n = 1")), kept.where("__n > 1")
+    # only rows that repeat an id and a text need a second look
+    once, repeated = chosen_of(kept.where("__n = 1")).drop("__own_sha"), kept.where("__n > 1")
     if not repeated.isEmpty():
-        once = once.unionByName(chosen(repeated).dropDuplicates([id_column, "__own_sha"]))
-    return once.drop("__own_sha")
+        row = F.struct(*(F.col(c) for c in docs.columns))
+        least = chosen_of(repeated).groupBy(F.col(id_column).alias("__i"), "__own_sha").agg(F.min_by(row, F.to_json(row)).alias("r")).select("r.*")
+        once = once.unionByName(least)
+    return once
