@@ -5,12 +5,12 @@ window of `width` bytes picks an anchor: of its runs of GRAM bytes, the one of l
 on the window's bytes alone, so equal windows pick equal anchors, and the windows of a document that pick one place are
 consecutive. Those in which at least half of the bytes beside the anchor stand before it make one segment, the others another;
 all windows of a segment share the anchor and that half, which is the segment's key. So each window belongs to one segment,
-and equal windows to segments of equal keys. Round 1 counts, for each key, its segments' digests: a key that stands once has
-no repeat; a segment that stands twice repeats as a whole; where segments of one key differ, one of each kind goes on.
+and equal windows to segments of equal keys. Round 1 counts the kinds of segments by digest, and for each key whether it has several:
+a segment that stands twice repeats as a whole; where segments of one key differ, one of each kind goes on. A block asks once a key.
 Round 2 deals those by key to shards of about SHARD_BYTES, where a suffix array by induced sorting and the permuted common
 prefixes say for each window if it stands twice in the shard. Two windows of a shard never are the same place, so a repeat
 there is a repeat in the corpus, and no repeat is missed. A key of more than MANY kinds (a passage that countless documents
-quote) would make its shard grow with the corpus: its windows are dealt singly, by digest, and counted, which is as exact.
+quote) would make its shard grow with the corpus: its windows are dealt singly, by digest, and sorted by it, which is as exact.
 
 Defined results: a null or empty text has no bytes and one empty hash. Texts shorter than `width` are kept whole. Repeated rows
 repeat each other. Null ids are kept. Extra columns are ignored. An empty table gives no rows.
@@ -36,6 +36,8 @@ BASE = 0xD6E8FEB86659FD93
 ASK_BYTES = 32 << 20
 SHARD_BYTES = 3 << 19
 MANY = 256
+#: Tasks that search, at most; each takes one shard after another.
+MOST_TASKS = 20_000
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 DIGEST_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -84,6 +86,19 @@ class _Segments:
         self.anchor, self.digest = h[new], p[new]
         self.count = np.diff(np.append(np.flatnonzero(new), len(order)))
         self.example = order[new]
+        first = np.concatenate([[True], self.anchor[1:] != self.anchor[:-1]])[: len(self.anchor)]
+        self.keys, self.key_of = self.anchor[first], np.cumsum(first) - 1
+
+    def questions(self, bits: int) -> Iterator[tuple[int, bytes]]:
+        """To shards by key: the keys, each one's least and greatest digest and its kinds, up to 255; to shards by digest: the kinds."""
+        kinds = np.bincount(self.key_of, minlength=len(self.keys))
+        at = np.cumsum(kinds) - kinds  # a key's kinds are sorted by digest
+        least, most = (self.digest[at, 0], self.digest[at + kinds - 1, 0]) if len(at) else (np.zeros(0, np.uint64),) * 2
+        for shard, k in _by_shard(self.keys, bits):
+            several = k[kinds[k] > 1]
+            yield shard, C.squeeze(struct.pack("<q", len(k)) + self.keys[k].tobytes() + least[k].tobytes() + np.minimum(255, kinds[k]).astype(np.uint8).tobytes() + most[several].tobytes())
+        for shard, k in _by_shard(self.digest[:, 0], bits):
+            yield ~shard, C.squeeze(self.digest[k].tobytes() + np.minimum(2, self.count[k]).astype(np.uint8).tobytes())
 
     def by_shard(self, bits: int, which: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """Shard and those of the kinds `which` (ascending, so by anchor) that fall there."""
@@ -128,23 +143,44 @@ def _over(values: np.ndarray, new: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, np.flatnonzero(new))[np.cumsum(new) - 1]
 
 
+def _count_keys(asks: list[bytes]) -> list[bytes]:
+    """For each block's keys: whether segments of several kinds have it, and whether MANY may (the blocks' kinds added up)."""
+    keys, least, most, counts, sizes = [], [], [], [], []
+    for x in asks:
+        raw = C.expand(x)
+        n = struct.unpack_from("<q", raw)[0]
+        keys.append(np.frombuffer(raw, np.uint64, n, offset=8))
+        least.append(np.frombuffer(raw, np.uint64, n, offset=8 + 8 * n))
+        counts.append(np.frombuffer(raw, np.uint8, n, offset=8 + 16 * n))
+        top = least[-1].copy()
+        top[counts[-1] > 1] = np.frombuffer(raw, np.uint64, offset=8 + 17 * n)
+        most.append(top)
+        sizes.append(n)
+    key = np.concatenate(keys)
+    order = np.argsort(key, kind="stable")
+    new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+    at, group = np.flatnonzero(new), np.cumsum(new) - 1
+    flags = np.empty((2, len(order)), bool)
+    flags[0, order] = (np.minimum.reduceat(np.concatenate(least)[order], at) != np.maximum.reduceat(np.concatenate(most)[order], at))[group]
+    flags[1, order] = (np.add.reduceat(np.concatenate(counts)[order].astype(np.int64), at) > MANY)[group]
+    return [np.packbits(x, axis=1).tobytes() for x in np.split(flags, np.cumsum(sizes)[:-1], axis=1)]
+
+
 def _count_kinds(asks: list[bytes]) -> list[bytes]:
-    """For each block's kinds of segments: whether it stands twice, whether this block sends it on, whether its key has MANY."""
-    keys, pairs, counts, sizes = [], [], [], []
+    """For each block's kinds of segments: whether it stands twice, and whether this block is the first that has it."""
+    pairs, counts, sizes = [], [], []
     for x in asks:
         raw = C.expand(x)
-        n = len(raw) // 25
-        keys.append(np.frombuffer(raw, np.uint64, n))
-        pairs.append(np.frombuffer(raw, np.uint64, 2 * n, offset=8 * n).reshape(-1, 2))
-        counts.append(np.frombuffer(raw, np.uint8, n, offset=24 * n))
+        n = len(raw) // 17
+        pairs.append(np.frombuffer(raw, np.uint64, 2 * n).reshape(-1, 2))
+        counts.append(np.frombuffer(raw, np.uint8, n, offset=16 * n))
         sizes.append(n)
-    order, new_key, new_kind = _grouped(np.concatenate(keys), np.concatenate(pairs))
-    kinds = _over(new_kind.astype(np.int64), new_key)
-    flags = np.empty((3, len(order)), bool)
-    flags[0, order] = _over(np.concatenate(counts)[order].astype(np.int64), new_kind) > 1
-    flags[1, order] = new_kind & (kinds > 1)  # the sort is stable, so the first of a kind is the smallest block's
-    flags[2, order] = kinds > MANY
-    return [np.packbits(x.ravel()).tobytes() for x in np.split(flags, np.cumsum(sizes)[:-1], axis=1)]
+    pair = np.concatenate(pairs)
+    order, _, new = _grouped(np.zeros(len(pair), np.int8), pair)
+    flags = np.empty((2, len(order)), bool)
+    flags[0, order] = _over(np.concatenate(counts)[order].astype(np.int64), new) > 1
+    flags[1, order] = new  # the sort is stable, so the first of a kind is the smallest block's
+    return [np.packbits(x, axis=1).tobytes() for x in np.split(flags, np.cumsum(sizes)[:-1], axis=1)]
 
 
 def _count_windows(asks: list[bytes]) -> list[bytes]:
@@ -180,12 +216,31 @@ def _search(asks: list[bytes], width: int) -> list[bytes]:
     return out
 
 
-def _read_kinds(segments: _Segments, got: dict, bits: int) -> np.ndarray:
-    """Of each kind: stands twice, goes on, has a key of MANY kinds."""
-    flags = np.zeros((3, len(segments.anchor)), bool)
-    for shard, k in segments.by_shard(bits, np.arange(len(segments.anchor))):
-        flags[:, k] = np.unpackbits(np.frombuffer(got[1, shard], np.uint8), count=3 * len(k)).astype(bool).reshape(3, -1)
-    return flags
+def _flags(data: bytes, n: int) -> np.ndarray:
+    """Two rows of n flags as the counting steps pack them."""
+    return np.unpackbits(np.frombuffer(data, np.uint8).reshape(2, -1), axis=1, count=n).astype(bool)
+
+
+def _read_kinds(segments: _Segments, got: dict, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each kind: stands twice, goes on to the search (once from all blocks), has a key of MANY kinds."""
+    several = np.zeros((2, len(segments.keys)), bool)
+    for shard, k in _by_shard(segments.keys, bits):
+        several[:, k] = _flags(got[1, shard], len(k))
+    own = np.zeros((2, len(segments.anchor)), bool)
+    for shard, k in _by_shard(segments.digest[:, 0], bits):
+        own[:, k] = _flags(got[1, ~shard], len(k))
+    several = several[:, segments.key_of]
+    return own[0], own[1] & several[0], several[1]
+
+
+def _by_shard(values: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Shard and the places of the values that fall there by their first bits."""
+    shard = (values >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(values), np.int64)
+    order = np.argsort(shard, kind="stable")
+    cuts = np.flatnonzero(np.diff(shard[order])) + 1
+    for lo, hi in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(order)]]), strict=True):
+        if hi > lo:
+            yield int(shard[order[lo]]), order[lo:hi]
 
 
 def _distinct(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -209,21 +264,18 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     Columns: doc_id, n_bytes, n_removed, n_spans and the kept bytes (digest: their SHA-256 in their place).
     """
-    blocks = C.packed(docs, id_column, text_column)
-    bits = C.shard_bits(C.text_bytes(docs, text_column), ASK_BYTES)
-
-    def ask_kinds(block: C.Block) -> Iterator[tuple[int, bytes]]:
-        s = _Segments(block, width)
-        for shard, k in s.by_shard(bits, np.arange(len(s.anchor))):
-            yield shard, C.squeeze(s.anchor[k].tobytes() + s.digest[k].tobytes() + np.minimum(2, s.count[k]).astype(np.uint8).tobytes())
-
-    kinds = staged(C.answered(C.ask_first(blocks, ask_kinds), _count_kinds, 1), "kinds")
-    # all bits that are set bound what goes on from above
-    set_bits = F.expr("aggregate(transform(sequence(1, octet_length(data)), i -> bit_count(cast(conv(hex(substring(data, i, 1)), 16, 10) as int))), 0, (a, b) -> a + b)")
-    going = kinds.agg(F.sum(set_bits).alias("n")).first()["n"] or 0
+    total = C.text_bytes(docs, text_column)
+    blocks = C.blocks_of(docs, id_column, text_column, total)
+    bits = C.shard_bits(total, ASK_BYTES)
+
+    asks = staged(C.ask_first(blocks, lambda block: _Segments(block, width).questions(bits)), "questions")
+    kinds = staged(C.answered(asks.where("shard >= 0"), _count_keys, 1).unionByName(C.answered(asks.where("shard < 0"), _count_kinds, 1)), "kinds")
+    # the second half of a kind shard's answers marks what is first of its kind, of which no more than that goes on
+    set_bits = F.expr("aggregate(transform(sequence(octet_length(data) div 2 + 1, octet_length(data)), i -> bit_count(cast(conv(hex(substring(data, i, 1)), 16, 10) as int))), 0, (a, b) -> a + b)")
+    going = kinds.where("shard < 0").agg(F.sum(set_bits).alias("n")).first()["n"] or 0
     search_bits = C.shard_bits(going * (width + (width - GRAM) // 4), SHARD_BYTES)
 
-    def ask_search(block: C.Block, number: int, got: dict) -> pa.Table:
+    def ask_search(block: C.Block, number: tuple[int, int], got: dict) -> pa.Table:
         s = _Segments(block, width)
         _, send, many = _read_kinds(s, got, bits)
         rows = []
@@ -231,17 +283,17 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
             own = s.example[k]
             parts = [block.raw[a:b] for a, b in zip(s.lo[own].tolist(), (s.hi[own] + width).tolist(), strict=True)]
             lens = np.array([len(x) for x in parts], np.int32)
-            rows.append((shard, number, C.squeeze(struct.pack("<q", len(parts)) + lens.tobytes() + b"".join(parts))))
+            rows.append((shard, *number, C.squeeze(struct.pack("<q", len(parts)) + lens.tobytes() + b"".join(parts))))
         pair, count, _ = _distinct(s.windows(np.flatnonzero(send & many))[1])
         for shard, lo, hi in _sharded(pair, search_bits):  # single windows go to shards of negative numbers
-            rows.append((~shard, number, C.squeeze(pair[lo:hi].tobytes() + np.minimum(2, count[lo:hi]).astype(np.uint8).tobytes())))
-        return pa.Table.from_batches([C._rows(rows, ("shard", "block", "data"), (pa.int64(), pa.int64(), pa.binary()))])
+            rows.append((~shard, *number, C.squeeze(pair[lo:hi].tobytes() + np.minimum(2, count[lo:hi]).astype(np.uint8).tobytes())))
+        return pa.Table.from_batches([C.asked(rows)])
 
     asks = staged(C.with_replies(blocks, kinds, ask_search, C.ASK_SCHEMA), "asks")
-    searched = C.answered(asks.where("shard >= 0"), lambda x: _search(x, width), 2)
+    searched = C.answered(asks.where("shard >= 0"), lambda x: _search(x, width), 2, min(MOST_TASKS, max(1, (1 << search_bits) // 8)))
     windows = staged(searched.unionByName(C.answered(asks.where("shard < 0"), _count_windows, 2)), "windows")
 
-    def clean(block: C.Block, number: int, got: dict) -> pa.Table:
+    def clean(block: C.Block, number: tuple[int, int], got: dict) -> pa.Table:
         s = _Segments(block, width)
         twice, send, many = _read_kinds(s, got, bits)
         whole = np.flatnonzero(twice[s.kind_of])

@@ -5,11 +5,13 @@ plan. Documents are packed into blocks of a few MB (one row each, compressed). A
 space it sends one row holding all of its keys there, already reduced within the block. A shard *answers* each block with
 a few bits a key, in the block's own order, and the block, rebuilt from the input, reads them off. So a key that a third
 of all documents share costs one entry a block and not one a document; no shard holds more than one entry a block and key;
-and what travels back is bits. Blocks meet their answers in a cogroup on the block's number, which is spread evenly.
+and what travels back is bits. The blocks are written once, as a table bucketed by the scan task that made them, so that they never move
+again and their numbers hold whatever is lost or run twice: only questions and answers are shuffled.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,15 +19,19 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanery.session import shared_dir
+
 #: Stands for a null id inside arrays; it sorts after every id.
 NO_ID = np.iinfo(np.int64).max
 BLOCK_BYTES = 1 << 20
-BLOCK_SCHEMA = "block long, ids binary, lens binary, data binary"
-ASK_SCHEMA = "shard long, block long, data binary"
-REPLY_SCHEMA = "block long, kind int, shard long, data binary"
+#: Text that a bucket of blocks holds, about, and the most buckets (Spark's own limit is 100,000).
+BUCKET_BYTES, MOST_BUCKETS = 4 << 20, 50_000
+BLOCK_SCHEMA = "slot long, block long, ids binary, lens binary, data binary"
+ASK_SCHEMA = "shard long, slot long, block long, data binary"
+REPLY_SCHEMA = "slot long, block long, kind int, shard long, data binary"
 
 
 def utf8_of(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -52,16 +58,37 @@ def squeeze(data: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(data)
 
 
+def planes(x: np.ndarray) -> bytes:
+    """The numbers' first bytes, then their second bytes and so on: small numbers then compress well."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def from_planes(data: bytes, kind, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * np.dtype(kind).itemsize).reshape(-1, n).T).view(kind).ravel()
+
+
 def expand(data: bytes, limit: int = 1 << 31) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data, max_output_size=limit)
 
 
-def packed(docs: DataFrame, id_column: str, text_column: str, prepare: Callable[[bytes], bytes] | None = None) -> DataFrame:
-    """Documents as blocks of about BLOCK_BYTES, in the order in which the scan yields them, which reruns repeat.
+def even_slots(spark: SparkSession, n: int) -> np.ndarray:
+    """For each of n buckets a number that Spark's hash puts there."""
+    each = spark.range(24 * n).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("b")).agg(F.min("id").alias("id")).collect()
+    out = np.arange(n)
+    for r in each:
+        out[r.b] = r.id
+    return out
+
+
+def blocks_of(docs: DataFrame, id_column: str, text_column: str, total: int, prepare: Callable[[bytes], bytes] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Documents as stored blocks of about block_bytes, bucketed by slot. total: bytes of text, which sets the number of buckets.
 
     prepare turns one text's bytes into what the block holds of it. One text is never split, so a block holds at least
-    one document and at most BLOCK_BYTES besides its last.
+    one document and at most block_bytes besides its last. A scan task's blocks have one slot and so lie in one file.
     """
+    spark = docs.sparkSession
+    n = max(1, min(MOST_BUCKETS, -(-total // BUCKET_BYTES)))
+    slots = even_slots(spark, n)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
@@ -70,9 +97,10 @@ def packed(docs: DataFrame, id_column: str, text_column: str, prepare: Callable[
         def row():
             nonlocal number, ids, parts, size
             lens = np.array([len(x) for x in parts], np.int64)
-            out = [[(part << 33) + number], [np.array(ids, np.int64).tobytes()], [lens.tobytes()], [squeeze(b"".join(parts))]]
+            numbers = [[int(slots[part % n])], [(part << 33) + number]]
+            out = [[np.array(ids, np.int64).tobytes()], [lens.tobytes()], [squeeze(b"".join(parts))]]
             number, ids, parts, size = number + 1, [], [], 0
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(x, pa.binary()) for x in out[1:])], names=["block", "ids", "lens", "data"])
+            return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in numbers), *(pa.array(x, pa.binary()) for x in out)], names=["slot", "block", "ids", "lens", "data"])
 
         for batch in batches:
             data, at = utf8_of(batch.column(1))
@@ -82,13 +110,16 @@ def packed(docs: DataFrame, id_column: str, text_column: str, prepare: Callable[
                 parts.append(prepare(text) if prepare else text)
                 ids.append(doc)
                 size += len(parts[-1])
-                if size >= BLOCK_BYTES:
+                if size >= block_bytes:
                     yield row()
         if ids:
             yield row()
 
     two = docs.select(F.col(id_column).cast("long").alias("i"), F.col(text_column).cast("string").alias("t"))
-    return two.mapInArrow(pack, BLOCK_SCHEMA)
+    name = f"blocks_{uuid.uuid4().hex}"
+    two.mapInArrow(pack, BLOCK_SCHEMA).write.format("parquet").option("path", f"{shared_dir(spark)}/{name}").bucketBy(n, "slot").saveAsTable(name)
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")  # rows dealt by slot are dealt by (slot, block) too
+    return spark.table(name)
 
 
 class Block:
@@ -106,10 +137,9 @@ def ask_first(blocks: DataFrame, ask: Callable[[Block], Iterator[tuple[int, byte
 
     def run(batches):
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(4)]
-            for block, ids, lens, data in zip(*cols, strict=True):
-                rows = list(ask(Block(ids, lens, data)))
-                yield _rows([(s, block, d) for s, d in rows], ("shard", "block", "data"), (pa.int64(), pa.int64(), pa.binary()))
+            for slot, block, *parts in zip(*(batch.column(i) for i in range(5)), strict=True):
+                rows = [(s, slot.as_py(), block.as_py(), d) for s, d in ask(Block(*(x.as_py() for x in parts)))]
+                yield asked(rows)
 
     return blocks.mapInArrow(run, ASK_SCHEMA)
 
@@ -119,27 +149,31 @@ def _rows(rows: list[tuple], names, kinds) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=list(names))
 
 
-def with_replies(blocks: DataFrame, replies: DataFrame, use: Callable[[Block, int, dict], pa.Table], schema: str) -> DataFrame:
-    """use(block, number, replies by (kind, shard)) for every block, those without replies included."""
+def asked(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    return _rows(rows, ("shard", "slot", "block", "data"), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))
+
+
+def with_replies(blocks: DataFrame, replies: DataFrame, use: Callable[[Block, tuple[int, int], dict], pa.Table], schema: str) -> DataFrame:
+    """use(block, (slot, number), replies by (kind, shard)) for every block, those without replies included."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         got = {(k, s): d for k, s, d in zip(right["kind"].to_pylist(), right["shard"].to_pylist(), right["data"].to_pylist(), strict=True)}
-        out = [use(Block(a, b, c), n, got) for n, a, b, c in zip(*(left[x].to_pylist() for x in ("block", "ids", "lens", "data")), strict=True)]
+        out = [use(Block(a, b, c), (m, n), got) for m, n, a, b, c in zip(*(left[x].to_pylist() for x in ("slot", "block", "ids", "lens", "data")), strict=True)]
         return pa.concat_tables(out)
 
-    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, schema)
+    return blocks.groupBy("slot", "block").cogroup(replies.groupBy("slot", "block")).applyInArrow(run, schema)
 
 
-def answered(asks: DataFrame, answer: Callable[[list[bytes]], list[bytes]], kind: int) -> DataFrame:
-    """answer(all blocks' questions of a shard) gives a reply to each, in order."""
+def answered(asks: DataFrame, answer: Callable[[list[bytes]], list[bytes]], kind: int, tasks: int | None = None) -> DataFrame:
+    """answer(all blocks' questions of a shard) gives a reply to each, in order; tasks, if given, holds whatever the questions' size."""
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("block")
         out = answer(rows["data"].to_pylist())
         n = len(out)
-        return pa.table({"block": rows["block"], "kind": pa.array([kind] * n, pa.int32()), "shard": rows["shard"], "data": pa.array(out, pa.binary())})
+        return pa.table({"slot": rows["slot"], "block": rows["block"], "kind": pa.array([kind] * n, pa.int32()), "shard": rows["shard"], "data": pa.array(out, pa.binary())})
 
-    return asks.groupBy("shard").applyInArrow(run, REPLY_SCHEMA)
+    return (asks.repartition(tasks, "shard") if tasks else asks).groupBy("shard").applyInArrow(run, REPLY_SCHEMA)
 
 
 def shard_bits(total: int, per_shard: int) -> int:

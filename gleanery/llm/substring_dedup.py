@@ -1,10 +1,11 @@
 """Substring dedup by words: a count-min prefilter, then exact grouping of what may repeat.
 
-Pass 1: each block sketches its windows of `width` words, and shards of the hash space merge the blocks' sketches into
-count-min tables (two rows, counts added, the lesser taken). A count is never too low, so a window whose estimate is 1 stands
-once and is settled. Pass 2: only windows estimated repeated are sent on, as SHA-256 digests (128 bits of it) of their words
-with the block's smallest document; the shard groups them exactly. The number of shards follows the input, so a table's load,
-and with it the share of windows passed on in vain, is the same at any size.
+Pass 1: each block (a few MB of one partition's texts) makes a count-min sketch of its windows of `width` words: two rows of
+counters, dealt by hash in shards, of which it sends the cells that aren't zero with their counts. A shard adds the blocks'
+sketches up and tells each block which of its cells now exceed 1. A window's estimate is the lesser of its two counters, never too low, so
+where either is 1 the window stands once and is settled. Pass 2: only windows estimated repeated are sent on, as SHA-256 digests (128 bits of it)
+of their words with the block's smallest document; the shard groups them exactly. The number of shards follows the input, so a
+table's load, and with it the share of windows passed on in vain, is the same at any size.
 
 Defined results: a null or empty text has no words. Equal ids are not smaller than each other, so repeated rows of one id
 keep their words. A null id counts as larger than every other. Extra columns are ignored. An empty table gives no rows.
@@ -13,6 +14,7 @@ keep their words. A null id counts as larger than every other. Extra columns are
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +30,8 @@ DIGEST_SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 #: Windows of a shard; its two sketch rows have four cells for each.
 WINDOWS_A_SHARD = 1 << 22
 CELL_BITS = 24
+#: Text of a block: the larger, the closer the cells of its sketch lie and the fewer bits each takes.
+BLOCK_BYTES = 4 << 20
 
 
 def words_of(text: bytes) -> bytes:
@@ -64,24 +68,40 @@ class _Words:
                 yield int(shard[lo]), self.order[lo:hi], key[lo:hi]
 
 
-def _cells(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    other = (keys * np.uint64(0x9E3779B1)) & np.uint64(0xFFFFFFFF)
-    return (keys >> np.uint64(32 - CELL_BITS)).astype(np.int64), (other >> np.uint64(32 - CELL_BITS)).astype(np.int64)
+def _cells(keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each row of a sketch the cells that these keys count in, ascending, each key's place among them, and the counts."""
+    for factor in (1, 0x9E3779B1):
+        cell = ((keys * np.uint64(factor) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - CELL_BITS)).astype(np.uint32)
+        yield np.unique(cell, return_inverse=True, return_counts=True)
+
+
+def _sketch(keys: np.ndarray) -> bytes:
+    """One block's counters of a shard: for each row how many aren't zero, the gaps between them and their counts, up to 255."""
+    out = b""
+    for cells, _, counts in _cells(keys):
+        out += struct.pack("<q", len(cells)) + C.planes(np.diff(cells, prepend=np.uint32(0))) + np.minimum(255, counts).astype(np.uint8).tobytes()
+    return C.squeeze(out)
 
 
 def _merge_sketches(asks: list[bytes]) -> list[bytes]:
-    """Adds up the blocks' sketches of a shard and says, for each of a block's windows, if the estimate exceeds 1."""
-    keys = [np.cumsum(np.frombuffer(C.expand(x), np.uint32), dtype=np.uint64) for x in asks]
-    tables = [np.zeros(1 << CELL_BITS, np.uint8) for _ in range(2)]
-    for row, table in enumerate(tables):
-        for k in keys:
-            cells, counts = np.unique(_cells(k)[row], return_counts=True)
-            table[cells] = np.minimum(255, table[cells] + np.minimum(counts, 200).astype(np.int64)).astype(np.uint8)
-    out = []
-    for k in keys:
-        one, two = _cells(k)
-        out.append(np.packbits(np.minimum(tables[0][one], tables[1][two]) > 1).tobytes())
-    return out
+    """Adds up the blocks' sketches of a shard and says, for each counter that a block sent, if the sum exceeds 1."""
+    sketches = []
+    for x in asks:
+        raw, at, rows = C.expand(x), 0, []
+        for _ in range(2):
+            n = struct.unpack_from("<q", raw, at)[0]
+            cells = np.cumsum(C.from_planes(raw[at + 8 : at + 8 + 4 * n], np.uint32, n), dtype=np.int64)
+            rows.append((cells, np.frombuffer(raw, np.uint8, n, offset=at + 8 + 4 * n)))
+            at += 8 + 5 * n
+        sketches.append(rows)
+    over = [[], []]
+    for row in range(2):
+        table = np.zeros(1 << CELL_BITS, np.uint8)
+        for rows in sketches:
+            cells, counts = rows[row]
+            table[cells] = np.minimum(255, table[cells].astype(np.uint16) + counts).astype(np.uint8)
+        over[row] = [np.packbits(table[rows[row][0]] > 1).tobytes() for rows in sketches]
+    return [a + b for a, b in zip(*over, strict=True)]
 
 
 def _group_exactly(asks: list[bytes]) -> list[bytes]:
@@ -91,7 +111,7 @@ def _group_exactly(asks: list[bytes]) -> list[bytes]:
         raw = C.expand(x)
         n = len(raw) // 24
         digests.append(np.frombuffer(raw, np.dtype("V16"), n))
-        docs.append(np.frombuffer(raw, np.int64, n, offset=16 * n))
+        docs.append(C.from_planes(raw[16 * n :], np.int64, n))
         sizes.append(n)
     pair = np.concatenate(digests).view(np.uint64).reshape(-1, 2)
     doc = np.concatenate(docs)
@@ -108,8 +128,13 @@ def _group_exactly(asks: list[bytes]) -> list[bytes]:
 def _repeated(words: _Words, got: dict, bits: int) -> np.ndarray:
     """Windows that the merged sketches estimate repeated, in order of the words."""
     flag = np.zeros(len(words.window), bool)
-    for shard, windows, _ in words.by_shard(bits):
-        flag[windows] = np.unpackbits(np.frombuffer(got[1, shard], np.uint8), count=len(windows)).astype(bool)
+    for shard, windows, keys in words.by_shard(bits):
+        reply, at, own = got[1, shard], 0, np.ones(len(windows), bool)
+        for cells, place, _ in _cells(keys):
+            size = -(-len(cells) // 8)
+            own &= np.unpackbits(np.frombuffer(reply, np.uint8, size, offset=at), count=len(cells)).astype(bool)[place]
+            at += size
+        flag[windows] = own
     return np.flatnonzero(flag)
 
 
@@ -143,26 +168,25 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     Columns: doc_id, n_words, n_removed and the kept words joined by one space (digest: their SHA-256 in its place).
     """
-    spark = docs.sparkSession
-    bits = C.shard_bits(C.text_bytes(docs, text_column) // 6, WINDOWS_A_SHARD)
-    blocks = C.packed(docs, id_column, text_column, words_of)
+    total = C.text_bytes(docs, text_column)
+    bits = C.shard_bits(total // 6, WINDOWS_A_SHARD)
+    blocks = C.blocks_of(docs, id_column, text_column, total, words_of, BLOCK_BYTES)
 
     def sketch(block: C.Block) -> Iterator[tuple[int, bytes]]:
         for shard, _, keys in _Words(block, width).by_shard(bits):
-            yield shard, C.squeeze(np.diff(keys, prepend=np.uint64(0)).astype(np.uint32).tobytes())
+            yield shard, _sketch(keys)
 
     estimates = staged(C.answered(C.ask_first(blocks, sketch), _merge_sketches, 1), "estimates")
 
-    def ask(block: C.Block, number: int, got: dict) -> pa.Table:
+    def ask(block: C.Block, number: tuple[int, int], got: dict) -> pa.Table:
         words = _Words(block, width)
         pair, doc, _ = _digests(block, words, _repeated(words, got, bits))
-        rows = [(s, number, C.squeeze(pair[lo:hi].tobytes() + doc[lo:hi].tobytes())) for s, lo, hi in _cut(pair, bits)]
-        return pa.Table.from_batches([C._rows(rows, ("shard", "block", "data"), (pa.int64(), pa.int64(), pa.binary()))])
+        return pa.Table.from_batches([C.asked([(s, *number, C.squeeze(pair[lo:hi].tobytes() + C.planes(doc[lo:hi]))) for s, lo, hi in _cut(pair, bits)])])
 
     asks = C.with_replies(blocks, estimates, ask, C.ASK_SCHEMA)
     exact = staged(C.answered(asks, _group_exactly, 2), "repeats")
 
-    def clean(block: C.Block, number: int, got: dict) -> pa.Table:
+    def clean(block: C.Block, number: tuple[int, int], got: dict) -> pa.Table:
         words = _Words(block, width)
         windows = _repeated(words, got, bits)
         pair, doc, place = _digests(block, words, windows)

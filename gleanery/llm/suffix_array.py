@@ -3,15 +3,16 @@
 Induced sorting visits one bucket of a first symbol after the other. What a bucket holds at that point is handled as one
 array step (a wave): the suffixes one place before its members go to the ends of their own buckets, in the members' order.
 Members that such a step adds to the bucket itself are the next wave, so the number of steps is the number of symbols plus
-the longest run of one symbol, and the work is linear in the text.
+the longest run of one symbol, and the work is linear in the text. Reduced strings, whose buckets hold a few members each, are induced by the
+same two passes one suffix after another, since an array step would cost more than a bucket's members.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Reduced strings of more symbols than this are sorted by doubling ranks: a step for each bucket would cost more than it sorts.
-RECURSE_SYMBOLS = 2048
+#: Members of a bucket, on average, from which on buckets are taken as arrays.
+WAVE = 64
 
 
 def classified(t: np.ndarray) -> np.ndarray:
@@ -29,6 +30,8 @@ def classified(t: np.ndarray) -> np.ndarray:
 def _induced(t: np.ndarray, smaller: np.ndarray, starts: np.ndarray, lms: np.ndarray) -> np.ndarray:
     """All suffixes in order, given the leftmost-smaller ones in theirs; starts are the buckets' and the end."""
     n, k = len(t), len(starts) - 1
+    if n < WAVE * k:
+        return _induced_singly(t, smaller, starts, lms)
     sa = np.empty(n, np.int32)
     lms_by = lms[np.argsort(t[lms], kind="stable")]
     cuts = np.searchsorted(t[lms_by], np.arange(k + 1))
@@ -82,20 +85,29 @@ def _induced(t: np.ndarray, smaller: np.ndarray, starts: np.ndarray, lms: np.nda
     return sa
 
 
-def _doubled(t: np.ndarray) -> np.ndarray:
-    """The suffix array by doubling ranks, for strings of many symbols."""
-    rank, step, n = t.astype(np.int64), 1, len(t)
-    while True:
-        second = np.zeros(n, np.int64)
-        second[: max(0, n - step)] = rank[step:] + 1
-        key = rank * (n + 2) + second
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate([[False], key[order[1:]] != key[order[:-1]]])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
-        if rank[order[-1]] == n - 1:
-            return order
-        step *= 2
+def _induced_singly(t: np.ndarray, smaller: np.ndarray, starts: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """The same for many small buckets: leftmost-smaller ones to their buckets' ends, then a pass forward and one back."""
+    symbols, kept, sa = t.tolist(), smaller.tolist(), [-1] * len(t)
+    tail = starts[1:].tolist()
+    for i in lms[::-1].tolist():
+        c = symbols[i]
+        tail[c] -= 1
+        sa[tail[c]] = i
+    head = starts[:-1].tolist()
+    for i in sa:
+        if i > 0 and not kept[i - 1]:
+            c = symbols[i - 1]
+            sa[head[c]] = i - 1
+            head[c] += 1
+    tail = starts[1:].tolist()
+    for k in range(len(sa) - 1, -1, -1):
+        i = sa[k]
+        if i > 0 and kept[i - 1]:
+            c = symbols[i - 1]
+            tail[c] -= 1
+            sa[tail[c]] = i - 1
+    sa[0] = len(sa) - 1
+    return np.array(sa, np.int32)
 
 
 def suffix_array(t: np.ndarray, symbols: int) -> np.ndarray:
@@ -129,7 +141,7 @@ def suffix_array(t: np.ndarray, symbols: int) -> np.ndarray:
     if count < len(lms):
         reduced = np.empty(len(lms), np.uint16 if count < 65536 else np.int32)  # 16 bits are sorted by radix
         reduced[order] = names
-        order = suffix_array(reduced, count) if count <= RECURSE_SYMBOLS else _doubled(reduced)
+        order = suffix_array(reduced, count)
     return _induced(t, smaller, starts, lms[order])
 
 

@@ -68,9 +68,9 @@ def test_bytes_with_keys_of_many_kinds(odd, monkeypatch):
     same(byte_dedup.remove_repeats(odd, digest=True), bytes_left(odd))
 
 
-@pytest.mark.parametrize("symbols", [0, 2048])
-def test_suffix_array(symbols, monkeypatch):
-    monkeypatch.setattr(suffix_array, "RECURSE_SYMBOLS", symbols)
+@pytest.mark.parametrize("wave", [0, 64, 1 << 30])
+def test_suffix_array(wave, monkeypatch):
+    monkeypatch.setattr(suffix_array, "WAVE", wave)
     draw = np.random.default_rng(3)
     for _ in range(150):
         k = int(draw.integers(1, 5))
