@@ -229,19 +229,26 @@ def covered_from(starts: np.ndarray, width: int) -> np.ndarray:
 
 
 def joined_spreading(rows: DataFrame, named: DataFrame, key: str, counts: str = "n", how: str = "inner", share: int = 1000) -> DataFrame:
-    """rows.join(named, key), where no key's rows meet in one task however many there are.
+    """rows joined with named (inner or left), where no key's rows meet in one task however many there are.
 
-    named has one row a key, with the number of its rows in `counts` (dropped). Keys with over one in `share` of all rows, of which there
-    are fewer than `share`, are broadcast; the others are joined as the optimiser likes. Both are staged or cheap: they are read twice.
+    named has one row a key, with the number of its rows in `counts` (dropped), and is staged. Keys with over one in `share` of all those rows, of
+    which there are fewer than `share`, are broadcast; the others are joined as the optimiser likes, for which the rows of broadcast
+    keys, already served, get keys of their own.
     """
     total = named.agg(F.sum(counts)).first()[0] or 0
     is_hot = F.col(counts) * share > total
-    hot = named.where(is_hot).drop(counts).withColumn("__hot", F.lit(True))
-    marked = rows.join(F.broadcast(hot), key, "left")
     values = [c for c in named.columns if c not in (key, counts)]
-    first = marked.where("__hot").select(*rows.columns, *values)
-    rest = marked.where("__hot is null").select(*rows.columns).join(named.where(~is_hot).drop(counts), key, how)
-    return first.unionByName(rest.select(*rows.columns, *values))
+    side = lambda df, mark: df.select(F.col(key).alias(f"__{mark}"), F.struct(*values).alias(f"__{mark}_values"))
+    hot, cold = side(named.where(is_hot), "hot"), side(named.where(~is_hot), "cold")
+    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left").withColumn("__own", F.xxhash64(*rows.columns))
+    served = F.col("__hot").isNotNull()
+    cold = cold.withColumns({"__no": F.lit(0).cast("long"), "__cold_key": F.col("__cold")})
+    marked = marked.withColumns({"__number": F.when(served, F.col("__own")).otherwise(0), "__key": F.when(~served, F.col(key))})
+    met = marked.join(cold, (F.col("__key").eqNullSafe(F.col("__cold_key"))) & (F.col("__number") == F.col("__no")), "left")
+    if how == "inner":
+        met = met.where("__hot is not null or __cold is not null")
+    found = F.coalesce("__hot_values", "__cold_values")
+    return met.select(*rows.columns, *(found[v].alias(v) for v in values))
 
 
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()

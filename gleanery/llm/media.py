@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm import common as C
+from gleanery.session import staged
 
 RATE = 8000
 UNIT = 64
@@ -50,7 +51,9 @@ def _png(data: bytes, at: int) -> int:
     return 0
 
 
-def _riff(form: bytes, chunks: tuple[bytes, ...]):
+def _riff(form: bytes, *needed: tuple[bytes, ...]):
+    """A RIFF file of that form whose chunks fill it and hold, of each group of kinds, at least one."""
+
     def check(data: bytes, at: int) -> int:
         if at + 12 > len(data) or data[at + 8 : at + 12] != form:
             return 0
@@ -64,7 +67,7 @@ def _riff(form: bytes, chunks: tuple[bytes, ...]):
                 return 0
             seen.add(kind)
             p += 8 + n + n % 2
-        return end - at if p in (end, end + 1) and seen.issuperset(chunks[:1]) and seen.intersection(chunks[1:] or chunks) else 0
+        return end - at if p in (end, end + 1) and all(seen.intersection(x) for x in needed) else 0
 
     return check
 
@@ -169,7 +172,7 @@ FORMATS = {
     "image/jpeg": (b"\xff\xd8\xff", _jpeg),
     "image/bmp": (b"BM", _bmp),
     "image/webp": (b"RIFF", _riff(b"WEBP", (b"VP8 ", b"VP8L", b"VP8X"))),
-    "audio/wav": (b"RIFF", _riff(b"WAVE", (b"fmt ", b"data"))),
+    "audio/wav": (b"RIFF", _riff(b"WAVE", (b"fmt ",), (b"data",))),
     "application/gzip": (b"\x1f\x8b\x08", _gzip),
     "application/zip": (b"PK\x03\x04", _zip),
     "application/pdf": (b"%PDF-", _pdf),
@@ -209,7 +212,7 @@ def wav(samples: bytes) -> bytes:
 
 def wav_samples(data: bytes) -> bytes:
     """The samples of 8-bit mono WAV bytes; raises where they are something else."""
-    if not _riff(b"WAVE", (b"fmt ", b"data"))(data, 0):
+    if not _riff(b"WAVE", (b"fmt ",), (b"data",))(data, 0):
         raise ValueError("not a WAV file")
     p, kind_ok = 12, False
     while p + 8 <= len(data):
@@ -294,6 +297,11 @@ def read_back(media: DataFrame) -> DataFrame:
     return media.mapInArrow(run, DIGEST_SCHEMA)
 
 
+def round_trip(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Texts stored as media in the shared folder, and what is read back from there."""
+    return read_back(staged(stored(docs, id_column, text_column), "media"))
+
+
 def carved(media: DataFrame, found: DataFrame, id_column: str = "doc_id", content: str = "media") -> DataFrame:
     """The bytes of every medium that sniffed() found: id, type, offset, bytes."""
     own = media.select(F.col(id_column).alias("doc_id"), F.col(content).alias("content"))

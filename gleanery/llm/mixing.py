@@ -2,16 +2,16 @@
 
 Targets: the sources, by code point with null last, weigh `weights` in turn and share `share` times all words; a target stops
 at `most` times its source's size and the excess is shared again by weight. The documents of a source are dealt into shards of
-about WORDS_A_SHARD words by a seeded hash of their ids. In a shard, each source's documents in seeded order are one run of
+about WORDS_A_SHARD words by a seeded hash of their ids and texts. In a shard, each source's documents in seeded order are one run of
 words, cut into blocks of an equal number of words. Sainte-Laguë gives the shard's blocks to its sources one by one by highest
 quotient (target / (2 * given + 1)), none beyond `most` times the blocks that it has; the integer quota of a source then takes
 each of its blocks quota // blocks times and the rest of the quota from blocks in a seeded order. So a word is taken at most
-`most` times, all that is decided depends on ids, sizes and the seed, and a shard's work is bounded at any size of source.
+`most` times, all that is decided depends on ids, texts and the seed, and a shard's work is bounded at any size of source.
 
 The block's size is BLOCK_WORDS whatever the sources. A source whose target has fewer than LEAST_BLOCKS blocks, where whole ones would be
 too coarse, is settled to the word: of the last block in its seeded order only the first words are taken.
 
-Defined results: null and empty texts have size 0 and nothing is taken of them. A null id is dealt like a value of its own.
+Defined results: null and empty texts have size 0 and nothing is taken of them. Rows are dealt by id and text.
 Repeated rows are documents of their own. A source of size 0 has target 0. Extra columns are ignored (or kept, see mixed()).
 """
 
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleanery.llm import common as C
+from gleanery.session import staged
 
 WORDS_A_SHARD = 1_000_000
 BLOCK_WORDS, LEAST_BLOCKS = 256, 200
@@ -160,15 +161,16 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float =
 def _dealt(docs: DataFrame, weights: tuple[int, ...], share: float, most: int, seed: int, id_column: str, text_column: str, source_column: str, keep: tuple[str, ...]) -> DataFrame:
     """Rows with their size, target and shard (and columns to keep, by place)."""
     size = F.coalesce(F.regexp_count(F.col(text_column).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(source_column).cast("string").alias("source"), size.alias("size"), *(F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)))
-    targets = source_targets(rows.select("source", "size"), weights, share, most)
+    own = F.xxhash64(F.col(id_column).cast("long"), F.col(text_column).cast("string"))  # rows that share an id, or have none, are dealt by their texts
+    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(source_column).cast("string").alias("source"), size.alias("size"), own.alias("own"), *(F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)))
+    targets = staged(source_targets(rows.select("source", "size"), weights, share, most), "targets")  # one row a source
     total = targets.agg(F.sum("source_size")).first()[0] or 0
     shards = max(1, -(-total // WORDS_A_SHARD))
     known = rows.join(targets.withColumnRenamed("source", "named"), F.col("source").eqNullSafe(F.col("named"))).drop("named")
-    order = F.xxhash64(F.lit(seed), "id")
-    part = F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.greatest(F.lit(1), F.ceil(F.col("source_size") / WORDS_A_SHARD)))
+    order = F.xxhash64(F.lit(seed), "own")
+    part = F.pmod(F.xxhash64(F.lit(seed + 1), "own"), F.greatest(F.lit(1), F.ceil(F.col("source_size") / WORDS_A_SHARD)))
     dealt = known.withColumns({"order": order, "shard": F.pmod(F.pmod(F.xxhash64(F.lit(seed), "source"), F.lit(shards)) + part, F.lit(shards))})
-    return dealt
+    return dealt.drop("own")
 
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")

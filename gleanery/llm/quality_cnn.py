@@ -4,11 +4,11 @@ A text's UTF-8 bytes are looked up in a learned table of DIMS numbers each; FILT
 it STRIDE bytes at a time, in chunks of CHUNK bytes that overlap by WIDTH - STRIDE so that no position is lost between two.
 Each chunk keeps every filter's largest response; a document's features are the mean and the maximum of its chunks' responses,
 and one logistic unit turns them into a probability. Scoring covers the whole text at any length, a fixed run of chunks at a
-time. Training takes at most FIT_ROWS rows of each label, CROP bytes from a place in each that depends on its id, on the
-driver; the weights (some 20 KB) are sent to the executors.
+time. Training takes the whole texts of at most FIT_ROWS rows of each label, on the driver, and of each a short piece with the same
+label, since short texts are few among the rows; the weights (some 20 KB) are sent to the executors.
 
-Defined results: a null or empty text is scored as one chunk of padding. Rows whose label is null, or whose document is
-missing, teach nothing; where one label has no rows, every score is the share of the other (0.5 with no rows at all).
+Defined results: a null or empty text is scored as one chunk of padding. Rows whose label is null, whose document is
+missing, or whose id has both labels teach nothing; of several texts of an id the least one teaches; where one label has no rows, every score is the share of the other (0.5 with no rows at all).
 Repeated rows and ties need no care: a score depends on the text alone. Extra columns are ignored. An empty table gives none.
 """
 
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from gleanery.llm import common as C
 
 DIMS, WIDTH, STRIDE, FILTERS, CHUNK = 6, 8, 4, 32, 512
-FIT_ROWS, CROP, STEPS, BATCH = 700, 2048, 336, 50
+FIT_ROWS, STEPS, BATCH = 700, 448, 50
+SHORT = (8, 160)
 #: Positions convolved at once, a multiple of a chunk's.
 STEP = CHUNK // STRIDE
 RUN = 512 * STEP
@@ -98,10 +99,13 @@ class Network:
     def gradients(self, texts: list[bytes], y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
         at = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
         data, n = laid_out(np.frombuffer(b"".join(texts), np.uint8), at)
+        args, tops = [], []
+        for start in range(0, len(data) - (WIDTH - STRIDE), RUN * STRIDE):
+            raw = (self.windows(data[start : start + RUN * STRIDE + WIDTH - STRIDE]) @ self.w["filters"]).reshape(-1, STEP, FILTERS)
+            args.append(raw.argmax(axis=1))
+            tops.append(np.take_along_axis(raw, args[-1][:, None, :], axis=1)[:, 0])
+        arg, top = np.concatenate(args), np.concatenate(tops) + self.w["bias"]
         x = self.windows(data)
-        raw = (x @ self.w["filters"]).reshape(-1, STEP, FILTERS)
-        arg = raw.argmax(axis=1)
-        top = np.take_along_axis(raw, arg[:, None, :], axis=1)[:, 0] + self.w["bias"]
         pooled = np.maximum(top, 0)
         first = np.concatenate([[0], np.cumsum(n)[:-1]])
         mean = np.add.reduceat(pooled, first, axis=0) / n[:, None]
@@ -151,23 +155,19 @@ def remainder(id_column: str) -> F.Column:
 def trained(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label: str = "quality", fit_rows: int = FIT_ROWS) -> Network:
     """Learns from at most fit_rows rows of each label that aren't held out, chosen by a hash of their ids."""
     known = labels.select(F.col(id_column).cast("long").alias("i"), F.col(label).cast("int").alias("y")).where("i is not null and y in (0, 1)").where(remainder("i") != 2)
-    known = known.groupBy("i").agg(F.max("y").alias("y"))
+    known = known.groupBy("i").agg(F.max("y").alias("y"), F.min("y").alias("least")).where("y = least").select("i", "y")
     some = [known.where(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(fit_rows) for y in (0, 1)]
     chosen = some[0].unionByName(some[1])
-    length = F.length("t")
-    crop = F.substring("t", (F.pmod(F.xxhash64("i"), F.greatest(F.lit(1), length - CROP)) + 1).cast("int"), F.lit(CROP))
     texts = docs.select(F.col(id_column).cast("long").alias("i"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("t"))
-    rows = texts.join(F.broadcast(chosen), "i").select("i", "y", crop.alias("t")).collect()
-    rows.sort(key=lambda r: (r.i, r.t))
-    texts = [r.t.encode()[:CROP] for r in rows]
-    labels = [r.y for r in rows]
+    rows = texts.join(F.broadcast(chosen), "i").groupBy("i", "y").agg(F.min("t").alias("t")).collect()
+    rows.sort(key=lambda r: r.i)
+    texts, labels = [r.t.encode() for r in rows], [r.y for r in rows]
     pick = np.random.default_rng(11)
-    for text, y in list(zip(texts, labels, strict=True)):  # a short piece of a good text is good too; short texts are rare among the rows
-        if y == 1:
-            n = int(pick.integers(8, 160))
-            at = int(pick.integers(0, max(1, len(text) - n)))
-            texts.append(text[at : at + n])
-            labels.append(1)
+    for text in list(texts):
+        n = int(pick.integers(*SHORT))
+        at = int(pick.integers(0, max(1, len(text) - n)))
+        texts.append(text[at : at + n])
+    labels += labels
     return Network().fit(texts, np.array(labels, np.float32))
 
 

@@ -15,7 +15,7 @@ def op1_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.read_back(media.stored(table(spark, sf_dir, "documents")))
+    return media.round_trip(table(spark, sf_dir, "documents"))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

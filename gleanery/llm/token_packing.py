@@ -1,13 +1,14 @@
 """Token ids, packed into rows of fixed length by best-fit decreasing.
 
 Texts become ids of a public vocabulary, each document ended by END. A document longer than a row is split losslessly: full
-rows and a rest, each piece with its offset. Pieces of about SHARD_TOKENS are packed together: longest first, each into the open
+rows and a rest, each piece with its offset. Pieces are dealt to shards of about SHARD_TOKENS by a hash of document, text and offset, and a
+shard is packed alone: longest first (then by document and offset), each into the open
 row with the least room that still fits it, found in a segment tree over room sizes in log2(row length) steps. A row holds
 its ids as one padded line of the id matrix, the cumulative segment lengths, the places where positions start again at 0, and
 for each segment its document and offset, from which unpacked() gives every document back.
 
-Each scan task packs what it reads, so nothing is shuffled, and a rerun packs the same. At most one row in a shard is
-less than half full, and a partition with few tokens has few rows.
+What a row holds depends on the table alone, not on how its files are read, and no document is too long or too frequent for a shard. At
+most one row in a shard is less than half full.
 
 Defined results: a null or empty text is one segment holding END alone. Null ids are kept. Repeated rows are packed each.
 Extra columns are ignored. An empty table gives no rows.
@@ -16,14 +17,16 @@ Extra columns are ignored. An empty table gives no rows.
 from __future__ import annotations
 
 import base64
+import re
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.llm import common as C
@@ -32,7 +35,12 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the vocabulary's texts are cut before merging, as its description gives it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 ROW = 2048
-SHARD_TOKENS = 4 << 20
+SHARD_TOKENS, TOKEN_BYTES = 1 << 20, 3
+#: White space of the pattern above; a run of over LONG of it would overflow its matcher's stack.
+SPACE = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+LONG = 1000
+_RUN = re.compile(f"{SPACE}{{{LONG},}}")
+PIECE_SCHEMA = "shard long, doc_id long, start long, ids binary"
 SCHEMA = "row_id long, n_tokens int, ids binary, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, piece_starts array<long>"
 _ENCODINGS: dict[int, tiktoken.Encoding] = {}
 
@@ -106,54 +114,67 @@ def best_fit(sizes: list[int], most: int) -> list[list[int]]:
     return rows
 
 
-def packed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", row: int = ROW, vocabulary: str = VOCABULARY, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """All documents' ids in rows of `row` ids, SCHEMA. ids holds little-endian uint16, or uint32 for larger vocabularies."""
-    with open(vocabulary, "rb") as f:
-        sent = docs.sparkSession.sparkContext.broadcast(f.read())  # the vocabulary file, under 1 MB
+def token_ids(enc: tiktoken.Encoding, text: str) -> list[int]:
+    """The text's ids as the pattern and the vocabulary give them; of a long run of white space, all but the last is one piece for merging."""
+    if not _RUN.search(text):
+        return enc.encode_ordinary(text)
+    ids, at = [], 0
+    for run in _RUN.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        ids += enc.encode_ordinary(text[at : run.start()])
+        ids += enc._encode_single_piece(text[run.start() : end].encode())
+        at = end
+    return ids + enc.encode_ordinary(text[at:])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(sent.value)
-        code, width = ("H", 2) if enc.n_vocab < 65535 else ("I", 4)
-        end = enc.n_vocab
-        part, number = TaskContext.get().partitionId() << 33, 0
-        pieces: list[tuple[int | None, int, bytes]] = []
-        held = 0
-
-        def shard() -> pa.RecordBatch:
-            nonlocal pieces, held, number
-            sizes = [len(p[2]) // width for p in pieces]
-            pad = array(code, [end]).tobytes()
-            out: list[list] = [[] for _ in range(7)]
-            for k, row_of in enumerate(best_fit(sizes, row)):
-                cut = np.concatenate([[0], np.cumsum([sizes[i] for i in row_of])]).tolist()
-                ids = b"".join([pieces[i][2] for i in row_of]) + pad * (row - cut[-1])
-                for c, v in zip(out, (part + number + k, cut[-1], ids, cut, cut[:-1], [pieces[i][0] for i in row_of], [pieces[i][1] for i in row_of]), strict=True):
-                    c.append(v)
-            number += len(out[0])
-            pieces, held = [], 0
-            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            names = ("row_id", "n_tokens", "ids", "cu_seqlens", "position_resets", "doc_ids", "piece_starts")
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=list(names))
 
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = enc.encode_ordinary(text.as_py() or "")
-                ids.append(end)
-                raw = array(code, ids).tobytes()
-                pieces += [(doc, a, raw[a * width : (a + row) * width]) for a in range(0, len(ids), row)]
-                held += len(ids)
-                if held >= shard_tokens:
-                    yield shard()
-        if pieces:
-            yield shard()
+def _vocabulary(spark: SparkSession, path: str | None) -> Broadcast:
+    """The vocabulary file's bytes (under 1 MB): of the path given, of the session's setting, or the default one."""
+    with open(path or spark.conf.get("gleanery.vocabulary", VOCABULARY), "rb") as f:
+        return spark.sparkContext.broadcast(f.read())
 
-    return docs.select(F.col(id_column).cast("long"), F.col(text_column).cast("string")).mapInArrow(run, SCHEMA)
 
+def packed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", row: int = ROW, vocabulary: str | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """All documents' ids in rows of `row` ids, SCHEMA. ids holds little-endian uint16, or uint32 for larger vocabularies."""
+    sent = _vocabulary(docs.sparkSession, vocabulary)
+    shards = max(1, -(-C.text_bytes(docs, text_column) // (TOKEN_BYTES * shard_tokens)))
 
-def unpacked(rows: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    def width_of(enc: tiktoken.Encoding) -> tuple[str, int]:
+        return ("H", 2) if enc.n_vocab < 65535 else ("I", 4)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoding(sent.value)
+        code, width = width_of(enc)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 200):
+                rows: list[tuple] = []
+                for doc, cell in zip(batch.column(0)[lo : lo + 200].to_pylist(), batch.column(1)[lo : lo + 200], strict=True):
+                    text = cell.as_py() or ""
+                    raw = array(code, [*token_ids(enc, text), enc.n_vocab]).tobytes()
+                    own = xxhash.xxh64_intdigest(text.encode(), 0 if doc is None else doc & 0xFFFFFFFFFFFFFFFF)
+                    rows += [(xxhash.xxh64_intdigest(str(a).encode(), own) % shards, doc, a, raw[a * width : (a + row) * width]) for a in range(0, len(raw) // width, row)]
+                yield C._rows(rows, ("shard", "doc_id", "start", "ids"), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))
+
+    def shard(table: pa.Table) -> pa.Table:
+        enc = encoding(sent.value)
+        code, width = width_of(enc)
+        pieces = sorted(zip(table["doc_id"].to_pylist(), table["start"].to_pylist(), table["ids"].to_pylist(), strict=True), key=lambda p: (p[0] is None, p[0] or 0, p[1], p[2]))
+        sizes = [len(p[2]) // width for p in pieces]
+        pad, number = array(code, [enc.n_vocab]).tobytes(), table["shard"][0].as_py() << 33
+        out: list[tuple] = []
+        for k, row_of in enumerate(best_fit(sizes, row)):
+            ends = np.concatenate([[0], np.cumsum([sizes[i] for i in row_of])]).tolist()
+            ids = b"".join([pieces[i][2] for i in row_of]) + pad * (row - ends[-1])
+            out.append((number + k, ends[-1], ids, ends, ends[:-1], [pieces[i][0] for i in row_of], [pieces[i][1] for i in row_of]))
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        return pa.Table.from_batches([C._rows(out, ("row_id", "n_tokens", "ids", "cu_seqlens", "position_resets", "doc_ids", "piece_starts"), kinds)])
+
+    pieces = docs.select(F.col(id_column).cast("long"), F.col(text_column).cast("string")).mapInArrow(cut, PIECE_SCHEMA)
+    return pieces.groupBy("shard").applyInArrow(shard, SCHEMA)
+
+
+def unpacked(rows: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, text): every document from its pieces. Ids must be unique and not null."""
-    with open(vocabulary, "rb") as f:
-        sent = rows.sparkSession.sparkContext.broadcast(f.read())
+    sent = _vocabulary(rows.sparkSession, vocabulary)
     width = 2 if len(sent.value.splitlines()) < 65535 else 4
     part = F.expr(f"substring(ids, cu_seqlens[k] * {width} + 1, (cu_seqlens[k + 1] - cu_seqlens[k]) * {width})")
     pieces = rows.select("*", F.explode(F.sequence(F.lit(0), F.size("doc_ids") - 1)).alias("k")).select(F.expr("doc_ids[k]").alias("doc_id"), F.expr("piece_starts[k]").alias("start"), part.alias("raw"))

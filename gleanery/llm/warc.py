@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator
+from itertools import batched
 
 import pyarrow as pa
 import zstandard
@@ -26,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.llm import common as C
 from gleanery.session import staged
 
 SKIPPABLE, FRAME, DICTIONARY = 0x184D2A5D, 0xFD2FB528, 0xEC30A437
@@ -82,11 +84,12 @@ def archives(pages: DataFrame, dictionary: bytes, id_column: str = "page_id", ur
     """All pages as archives of about ARCHIVE_BYTES. Only payloads that stand more than once are looked up in a join."""
     html = F.coalesce(F.col(html_column).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_column).cast("long").alias("page_id"), F.col(url_column).cast("string").alias("url"), html.alias("payload"))
-    rows = rows.withColumns({"size": F.octet_length("payload").cast("long"), "digest": F.sha2("payload", 256)})
-    shared = rows.where(F.col("size") >= LEAST_SHARED).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    known = rows.join(shared, "digest", "left")
+    rows = rows.withColumns({"size": F.octet_length("payload").cast("long"), "digest": F.unhex(F.sha2("payload", 256))})
+    shared = rows.where(F.col("size") >= LEAST_SHARED).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    # written, so that its measured size decides whether it is broadcast or payloads must be shuffled
+    known = C.joined_spreading(rows, staged(shared, "shared"), "digest", how="left")
     is_revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    laid = known.select("page_id", "url", F.when(~is_revisit, F.col("payload")).alias("payload"), "size", "digest", F.when(is_revisit, F.col("first")).alias("first"))
+    laid = known.select("page_id", "url", F.when(~is_revisit, F.col("payload")).alias("payload"), "size", F.lower(F.hex("digest")).alias("digest"), F.when(is_revisit, F.col("first")).alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = _compressor(dictionary)
@@ -213,9 +216,9 @@ def read_archives(stored: DataFrame, id_column: str = "archive_id", content: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = [{"archive_id": number, **x} for x in records(data.as_py() or b"")]
-                for lo in range(0, len(rows), 500):
-                    cols = [[r.get(n) if with_payload or n != "payload" else None for r in rows[lo : lo + 500]] for n in names]
+                for some in batched(records(data.as_py() or b""), 200):  # an archive is decoded record by record
+                    rows = [{"archive_id": number, **x} for x in some]
+                    cols = [[r.get(n) if with_payload or n != "payload" else None for r in rows] for n in names]
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     return stored.select(F.col(id_column).cast("long"), F.col(content)).mapInArrow(run, RECORD_SCHEMA)
