@@ -18,12 +18,12 @@ SPACE = r"[\s\x1c-\x1f]"
 
 # Patterns and limits that results depend on.
 NOUN = r"(?:file|document|doc|pdf|letter|comment|attachment|enclosure|submission|response|below|above|here)(?:\(s\)|s)?"
-ATTACHED = r"(?:attach(?:ed|ment)s?|enclos(?:ed|ure)s?|upload(?:ed)?"
+ATTACHED = r"attach(?:ed|ment)s?|enclos(?:ed|ure)s?|upload(?:ed)?"
 PLACEHOLDER = (
     r"^(?:(?:please\s+)?(?:kindly\s+)?(?:see|refer\s+to|view|read|post|find)\s+(?:the\s+|my\s+|our\s+|attached\s+)*"
-    r"(?:attach(?:ed|ment)s?|upload(?:ed)?|enclos(?:ed|ure)s?)?(?:\s+" + NOUN + r")*|" + ATTACHED + r")(?:\s+" + NOUN + r")*|n/?a|none|no\s+comment|test)[\s.,;:!\-]*$"
+    r"(?:attach(?:ed|ment)s?|upload(?:ed)?|enclos(?:ed|ure)s?)?(?:\s+" + NOUN + r")*|(?:" + ATTACHED + r")(?:\s+" + NOUN + r")*|n/?a|none|no\s+comment|test)[\s.,;:!\-]*$"
 )
-POINTER = r"^\s*(?:please\s+)?(?:kindly\s+)?(?:see|refer\s+to|view|read|find)\s+(?:the\s+|my\s+|our\s+|a\s+|attached\s+)*" + ATTACHED + r"|copy)\b"
+POINTER = r"^\s*(?:please\s+)?(?:kindly\s+)?(?:see|refer\s+to|view|read|find)\s+(?:the\s+|my\s+|our\s+|a\s+|attached\s+)*(?:" + ATTACHED + r"|copy)\b"
 POINTER_MID = (
     r"\b(?:submits?|submitting|encloses?|enclosing|attaches?|files?|forwards?|provides?|offers?|transmits?)\b[^.]{0,80}"
     r"\b(?:attach(?:ed|ment)s?|enclos(?:ed|ure)s?)\b"
@@ -64,16 +64,23 @@ def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
 
 
+#: Outside these, composition changes nothing: all beyond Latin-1, and Latin-1's own compatibility characters.
+COMPOSED = r"[^\x00-\xff]|[\xa0\xa8\xaa\xaf\xb2-\xb5\xb8-\xba\xbc-\xbe]"
+
+
 def nfkc(c: Column) -> Column:
-    """Compatibility composition; Spark has no built-in for it, so this is the one Arrow function of the text rules."""
-    return _nfkc(c)
+    """Compatibility composition; Spark has no built-in for it, so this is the one Arrow function of the text rules.
+
+    Only texts that composition can change are sent to Python.
+    """
+    return F.coalesce(_nfkc(F.when(c.rlike(COMPOSED), c)), c)
 
 
 def stripped(c: Column) -> Column:
     return _sub(c, f"^{SPACE}+|{SPACE}+$", "")
 
 
-def normalize_space(c: Column | str, unicode: bool = False) -> Column:
+def normalize_space(c: Column | str, unicode: bool = True) -> Column:
     """White space runs as one space, none at the ends; unicode: NFKC first (the no-break space is white space either way)."""
     t = _text(c)
     return F.trim(_sub(nfkc(t) if unicode else t, SPACE + "+"))
@@ -86,17 +93,17 @@ def strip_html(c: Column | str) -> Column:
     return t
 
 
-def body_text(c: Column | str, unicode: bool = False) -> Column:
+def body_text(c: Column | str, unicode: bool = True) -> Column:
     return normalize_space(strip_html(c), unicode)
 
 
-def is_placeholder(c: Column | str, unicode: bool = False) -> Column:
+def is_placeholder(c: Column | str, unicode: bool = True) -> Column:
     """The whole body only stands in for an attachment; so does an empty one."""
     b = stripped(_sub(body_text(c, unicode), f"^{QUOTES}|{QUOTES}$", ""))
     return (b == "") | b.rlike("(?iuU)" + PLACEHOLDER)
 
 
-def is_pointer(c: Column | str, unicode: bool = False) -> Column:
+def is_pointer(c: Column | str, unicode: bool = True) -> Column:
     """A short body that says no more than where the text is."""
     b = body_text(c, unicode)
     opening = (F.length(b) <= POINTER_CHARS) & b.rlike("(?iuU)" + POINTER)
@@ -105,7 +112,7 @@ def is_pointer(c: Column | str, unicode: bool = False) -> Column:
     return (b != "") & (opening | middle)
 
 
-def assembled(body: Column | str, attachments: Column | str, unicode: bool = False) -> Column:
+def assembled(body: Column | str, attachments: Column | str, unicode: bool = True) -> Column:
     """struct(text, source) from a body and an ordered array of attachment texts."""
     b = body_text(body, unicode)
     a = F.col(attachments) if isinstance(attachments, str) else attachments
@@ -153,21 +160,21 @@ def clean(c: Column | str) -> Column:
     return F.trim(_sub(_sub(_sub(_sub(t, EMAIL), URL), DOCKET_LINE, flags="iuU"), SPACE + "+"))
 
 
-def canonical(c: Column | str, unicode: bool = False) -> Column:
+def canonical(c: Column | str, unicode: bool = True) -> Column:
     """Case and white space apart, nothing is changed."""
     t = _text(c)
     return F.trim(_sub(F.lower(nfkc(t) if unicode else t), SPACE + "+"))
 
 
-def exact_key(c: Column | str, unicode: bool = False) -> Column:
+def exact_key(c: Column | str, unicode: bool = True) -> Column:
     return F.sha2(canonical(c, unicode).cast("binary"), 256)
 
 
-def words(c: Column | str) -> Column:
-    return F.regexp_extract_all(canonical(c), F.lit(WORD), F.lit(0))
+def words(c: Column | str, unicode: bool = True) -> Column:
+    return F.regexp_extract_all(canonical(c, unicode), F.lit(WORD), F.lit(0))
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value) with the value computed once: inside a lambda, a repeated expression would be computed for each element."""
     return F.get(F.transform(F.array(value), use), 0)
 
@@ -179,7 +186,7 @@ def shingles_of(w: Column, k: int = 5) -> Column:
         each = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(v) - k + 1)), lambda i: F.array_join(F.slice(v, i, k), " "))
         return F.when(F.size(v) > 0, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
 
-    return _let(w, runs)
+    return let(w, runs)
 
 
 def chunks(c: Column | str, size: int = 180, most: int = 24) -> Column:
@@ -189,7 +196,7 @@ def chunks(c: Column | str, size: int = 180, most: int = 24) -> Column:
         n = F.least(F.lit(most), F.greatest(F.lit(1), F.ceil(F.size(w) / size).cast("int")))
         return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice(w, i * size + 1, size), " "))
 
-    return _let(F.split(normalize_space(c), " "), runs)
+    return let(F.split(normalize_space(c), " "), runs)
 
 
 def word_windows(c: Column | str, size: int = 320, overlap: int = 60) -> Column:
@@ -201,7 +208,7 @@ def word_windows(c: Column | str, size: int = 320, overlap: int = 60) -> Column:
         each = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice(w, i * step + 1, size), " "))
         return F.when((F.size(w) > 1) | (F.get(w, 0) != ""), each).otherwise(F.array().cast("array<string>"))
 
-    return _let(F.split(normalize_space(c), " "), runs)
+    return let(F.split(normalize_space(c), " "), runs)
 
 
 # Keys of listed objects.
@@ -253,3 +260,13 @@ def listing_prefix(kind: str, docket: Column | str, agency: Column | str) -> Col
     if kind == "extracted":
         return F.format_string("derived-data/%s/%s/mirrulations/extracted_txt/comments_extracted_text/pdfminer/", a, d)
     raise ValueError(kind)
+
+
+def bundled(c: Column | str, opening: int = 200) -> Column:
+    """How often a text's own opening stands in it, side by side: over 1, a bundle of copies of one letter. 0 for no text."""
+
+    def count(t: Column) -> Column:
+        head = F.substring(t, 1, opening)
+        return F.when(t == "", 0).otherwise((F.length(t) - F.length(F.replace(t, head, F.lit("")))) / F.length(head)).cast("long")
+
+    return let(normalize_space(c), count)

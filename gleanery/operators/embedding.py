@@ -31,42 +31,74 @@ def mean_pooled(vectors: DataFrame, by: str, vector: str) -> DataFrame:
     return means.select(by, F.transform(mean, lambda x: x / norm).alias("vec"))
 
 
-def embedded(docs: DataFrame, id_column: str, text_column: str, make_encoder: Callable[[], Encoder], size: int = 180, most: int = 24, batch: int = 256) -> DataFrame:
-    """(id, vec): each text's chunks encoded, averaged and brought to length 1. The encoder is made once in each task."""
+def embedded(docs: DataFrame, id_column: str, text_column: str, make_encoder: Callable[[], Encoder], size: int = 180, most: int = 24, batch: int = 256, skip_blank: bool = False) -> DataFrame:
+    """(id, vec): each text's chunks encoded, averaged and brought to length 1. The encoder is made once in each task.
+
+    At most `most` chunks of a text are read, as the reference's own encoder does. skip_blank: as the remote arm has it, chunks without words
+    aren't encoded, and a text of none has a vector of zeros.
+    """
     cut = docs.select(F.col(id_column).alias("id"), T.chunks(text_column, size, most).alias("chunks"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = make_encoder()
+        encoder, width = make_encoder(), 1
         for pdf in frames:
-            flat = [c for cs in pdf["chunks"] for c in cs]
-            rows = np.concatenate([_unit(np.asarray(encoder.encode(flat[i : i + batch]), float)) for i in range(0, len(flat), batch)]) if flat else np.zeros((0, 1))
-            ends = np.cumsum([len(c) for c in pdf["chunks"]])
-            yield pd.DataFrame({"id": pdf["id"], "vec": [_unit(rows[a:b].mean(axis=0)[None])[0] for a, b in zip([0, *ends[:-1]], ends, strict=True)]})
+            kept = [[c for c in cs if c.strip() or not skip_blank] for cs in pdf["chunks"]]
+            flat = [c for cs in kept for c in cs]
+            rows = np.concatenate([_unit(np.asarray(encoder.encode(flat[i : i + batch]), float)) for i in range(0, len(flat), batch)]) if flat else np.zeros((0, width))
+            width = max(width, rows.shape[1])
+            ends = np.cumsum([len(c) for c in kept])
+            yield pd.DataFrame({"id": pdf["id"], "vec": [_unit(rows[a:b].mean(axis=0)[None])[0] if b > a else np.zeros(width) for a, b in zip([0, *ends[:-1]], ends, strict=True)]})
 
     return cut.mapInPandas(run, "id long, vec array<double>")
 
 
+def embedded_whole(docs: DataFrame, id_column: str, text_column: str, make_call: Callable[[], Callable[[str], np.ndarray]], tokens: int = 8000) -> DataFrame:
+    """(id, vec): each text in one call of a remote encoder, as much of it as the encoder takes, at length 1; a blank text is one space."""
+    rows = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        call = make_call()
+        for pdf in frames:
+            vectors = [encode_within(t.strip(), call, tokens) for t in pdf["text"]]
+            yield pd.DataFrame({"id": pdf["id"], "vec": [_unit(np.asarray(v, float)[None])[0] for v in vectors]})
+
+    return rows.mapInPandas(run, "id long, vec array<double>")
+
+
 def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 
 
-def encode_within(text: str, call: Callable[[str], np.ndarray], tokens: int = 8000, retries: int = 6, shrinks: int = 24, sleep: Callable[[float], None] = time.sleep) -> np.ndarray:
-    """A remote encoder's vector: a text too long is halved (64 characters at least), other failures wait and retry, counted apart."""
-    text = (text or " ")[: tokens * 4]
-    tried = shrunk = 0
-    while True:
-        try:
-            return call(text)
-        except TooLong:
-            shrunk += 1
-            if shrunk > shrinks or len(text) <= 64:
-                raise
-            text = text[: max(64, len(text) // 2)]
-        except Exception:
-            tried += 1
-            if tried >= retries:
-                raise
-            sleep(min(20.0, 1.5**tried))
+# Characters a token, the least text that is tried, how often a text is cut and a call repeated, the longest wait.
+TOKEN_CHARS, LEAST_CHARS, CUTS, CALLS, LONGEST_WAIT = 4, 64, 24, 6, 20.0
+
+
+def beginnings(text: str, tokens: int) -> Iterator[str]:
+    """What is sent of a text: as much as the tokens allow, then half of that and so on, each at least LEAST_CHARS."""
+    for k in range(CUTS + 1):
+        yield (text or " ")[: max(LEAST_CHARS, tokens * TOKEN_CHARS >> k)]
+
+
+def encode_within(text: str, call: Callable[[str], np.ndarray], tokens: int = 8000, sleep: Callable[[float], None] = time.sleep) -> np.ndarray:
+    """A remote encoder's vector of the longest beginning that it takes. Calls that fail otherwise are repeated, CALLS of them in all."""
+    waits = iter([min(LONGEST_WAIT, 2.0**k) for k in range(1, CALLS)])
+    refused: Exception | None = None
+    for part in beginnings(text, tokens):
+        vector = None
+        while vector is None:
+            try:
+                vector = call(part)
+            except TooLong as e:
+                refused = e
+                break
+            except Exception:
+                wait = next(waits, None)
+                if wait is None:
+                    raise
+                sleep(wait)
+        if vector is not None:
+            return vector
+    raise refused or TooLong(text[:LEAST_CHARS])
 
 
 def batch_input(docs: DataFrame, id_column: str, text_column: str, dimensions: int = 1024) -> DataFrame:

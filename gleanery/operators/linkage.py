@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.operators.components import connected_components
+from gleanery.session import staged
 
+#: Distinct points of a component up to which linkage is complete; the matrix of their distances is held in one task.
 MOST = 4000
 
 
@@ -51,28 +53,33 @@ def complete_linkage(distance: np.ndarray, below: float) -> np.ndarray:
     return label
 
 
-def _clusters(group: pd.DataFrame, below: float, distance: Callable[[pd.DataFrame], np.ndarray], most: int) -> pd.DataFrame:
-    """id, cluster_id, linkage for one component; rows of equal `same` are one point and can't be told apart."""
-    group = group.sort_values("id").reset_index(drop=True)
-    heads = group.drop_duplicates("same")
-    first = group["id"].iloc[0]
-    if len(heads) > most:
-        return pd.DataFrame({"id": group["id"], "cluster_id": first, "linkage": "single"})
-    label = complete_linkage(distance(heads), below) if len(heads) > 1 else np.zeros(1, int)
-    ids = heads["id"].to_numpy()
-    of = dict(zip(heads["same"], ids[label], strict=True))
-    return pd.DataFrame({"id": group["id"], "cluster_id": group["same"].map(of), "linkage": "complete"})
-
-
 SCHEMA = "id long, cluster_id long, linkage string"
 
 
-def _in_components(points: DataFrame, pairs: DataFrame, below: float, distance, most: int) -> DataFrame:
-    found = connected_components(pairs, "i", "j")
-    alone = points.join(found, points["id"] == found["node"], "left_anti").select("id", F.col("id").alias("cluster_id"), F.lit("complete").alias("linkage"))
-    joined = points.join(found, points["id"] == found["node"])
-    tied = joined.groupBy("component").applyInPandas(lambda g: _clusters(g, below, distance, most), SCHEMA)
-    return tied.unionByName(alone)
+def _in_components(points: DataFrame, pairs: DataFrame, below: float, payload: str, distance: Callable[[pd.DataFrame], np.ndarray], most: int) -> DataFrame:
+    """(id, cluster_id, linkage) of points (id, same, payload): complete linkage inside each component of pairs.
+
+    Points of equal `same` can't be told apart and are one. A component of over `most` distinct points is counted before anything is
+    gathered, never sent to a task, and stays whole: its linkage is "single".
+    """
+    heads = points.groupBy("same").agg(F.min("id").alias("head"))
+    of = staged(points.select("id", "same").join(heads, "same").select("id", "head"), "heads")
+    side = lambda c: of.select(F.col("id").alias(c), F.col("head").alias(f"{c}h"))
+    linked = pairs.join(side("i"), "i").join(side("j"), "j").where("ih <> jh").select("ih", "jh").distinct()
+    found = staged(connected_components(linked, "ih", "jh"), "components")
+    large = found.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > most).select("component")
+    reps = points.join(of.where("id = head").select("id"), "id").select("id", payload)
+
+    def cluster(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("id").reset_index(drop=True)
+        ids = group["id"].to_numpy()
+        return pd.DataFrame({"id": ids, "cluster_id": ids[complete_linkage(distance(group), below)], "linkage": "complete"})
+
+    tied = reps.join(found.join(large, "component", "left_anti").withColumnRenamed("node", "id"), "id").groupBy("component").applyInPandas(cluster, SCHEMA)
+    single = found.join(large, "component").select(F.col("node").alias("id"), F.col("component").alias("cluster_id"), F.lit("single").alias("linkage"))
+    alone = of.where("id = head").join(found, F.col("id") == F.col("node"), "left_anti").select("id", F.col("id").alias("cluster_id"), F.lit("complete").alias("linkage"))
+    every = tied.unionByName(single).unionByName(alone).withColumnRenamed("id", "head")
+    return of.join(every, "head").select("id", "cluster_id", "linkage")
 
 
 def near_clusters(signatures: DataFrame, pairs: DataFrame, threshold: float, most: int = MOST) -> DataFrame:
@@ -82,7 +89,7 @@ def near_clusters(signatures: DataFrame, pairs: DataFrame, threshold: float, mos
         sig = np.stack(g["sig"].to_numpy())
         return 1 - np.stack([(sig == s).mean(axis=1) for s in sig])
 
-    return _in_components(signatures, pairs, 1 - threshold, distance, most)
+    return _in_components(signatures, pairs, 1 - threshold, "sig", distance, most)
 
 
 def semantic_clusters(vectors: DataFrame, pairs: DataFrame, threshold: float, most: int = MOST) -> DataFrame:
@@ -92,22 +99,33 @@ def semantic_clusters(vectors: DataFrame, pairs: DataFrame, threshold: float, mo
         v = np.stack(g["vec"].to_numpy()).astype(float)
         return 1 - v @ v.T
 
-    return _in_components(vectors, pairs, 1 - threshold, distance, most)
+    return _in_components(vectors, pairs, 1 - threshold, "vec", distance, most)
+
+
+def graph_figures(points: DataFrame, pairs: DataFrame, by: str, most: int = MOST) -> DataFrame:
+    """(by, edges, components, oversized): the graph of pairs over points (id, by, same); oversized lists the sizes of components whose distinct points exceed `most`."""
+    of = points.select(F.col("id"), F.col(by))
+    edges = pairs.join(of.withColumnRenamed("id", "i"), "i").groupBy(by).agg(F.count("*").alias("edges"))
+    found = connected_components(pairs, "i", "j")
+    rooted = points.join(found, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id"))
+    sizes = rooted.groupBy(by, "component").agg(F.count("*").alias("n"), F.count_distinct("same").alias("points"))
+    figures = sizes.groupBy(by).agg(F.count("*").alias("components"), F.sort_array(F.collect_list(F.when(F.col("points") > most, F.col("n")))).alias("oversized"))
+    return figures.join(edges, by, "left").select(by, F.coalesce("edges", F.lit(0)).alias("edges"), "components", "oversized")
 
 
-def cosine_pairs(vectors: DataFrame, threshold: float, block: int = 2048) -> DataFrame:
-    """(i, j, score), i < j, of unit vectors (id, vec) whose dot product reaches the threshold.
+def cosine_pairs(vectors: DataFrame, threshold: float, block: int = 2048, by: str | None = None) -> DataFrame:
+    """(i, j, score), i < j, of unit vectors (id, vec) whose dot product reaches the threshold; with `by`, only within equal values of it.
 
     Every pair has to be compared: rows are dealt to blocks, each block goes to the tasks of the pairs of blocks that it is in, and
     a task is one matrix product. What a task holds is bounded; the number of tasks grows with the square of the blocks.
     """
-    n = max(1, -(-vectors.count() // block))
-    dealt = vectors.select("id", F.col("vec").cast("array<double>").alias("vec"), F.pmod(F.xxhash64("id"), F.lit(n)).alias("b"))
-    others = F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
-    copies = dealt.select("id", "vec", "b", F.explode(others).alias("o")).select("id", "vec", "b", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"))
+    rows = vectors.select("id", F.col("vec").cast("array<double>").alias("vec"), (F.col(by).cast("string") if by else F.lit("")).alias("g"))
+    counts = rows.groupBy(F.col("g").alias("of")).agg(F.ceil(F.count("*") / block).cast("long").alias("n"))
+    dealt = rows.join(counts, F.col("g").eqNullSafe(F.col("of"))).select("id", "vec", "g", "n", F.pmod(F.xxhash64("id"), "n").alias("b"))
+    copies = dealt.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).select("id", "vec", "g", "b", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"))
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        p, q = key
+        _, p, q = key
         x, y = g[g["b"] == p], g[g["b"] == q]
         if not len(x) or not len(y):
             return pd.DataFrame({"i": [], "j": [], "score": []})
@@ -117,7 +135,7 @@ def cosine_pairs(vectors: DataFrame, threshold: float, block: int = 2048) -> Dat
         keep = i < j if p == q else i != j
         return pd.DataFrame({"i": np.minimum(i, j)[keep], "j": np.maximum(i, j)[keep], "score": score[keep]})
 
-    return copies.groupBy("p", "q").applyInPandas(run, "i long, j long, score double")
+    return copies.groupBy("g", "p", "q").applyInPandas(run, "i long, j long, score double")
 
 
 def chain_diameters(clusters: DataFrame, pairs: DataFrame, top: int = 40, sources: int = 64) -> DataFrame:

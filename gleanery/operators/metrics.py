@@ -37,9 +37,3 @@ def margin(stats: DataFrame) -> DataFrame:
     own = n / k - 1
     whole = F.greatest(F.lit(1e-9), total / k - 1)
     return stats.withColumns({"official_collapse": total / F.greatest(F.lit(1), n), "additional_collapse": n / k, "total_collapse": total / k, "official_share": F.when(total.isNotNull(), 1 - own / whole)})
-
-
-def upper_median(value: Column) -> Column:
-    """The element at place n // 2 of the sorted values: never between two of them."""
-    ordered = F.array_sort(F.collect_list(value))
-    return F.get(ordered, F.floor(F.size(ordered) / 2).cast("int"))

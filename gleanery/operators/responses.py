@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.functions import text as T
+
 # What counts as a heading, a marker, a commenter and an act of the agency.
 HEADING = (
     r"^\s*(?:[IVXLC]+\.|[A-Z]\.|\d+\.)?\s*(?:(?:Summary\s+of\s+|Public\s+|Response\s+to\s+|Discussion\s+of\s+)?"
@@ -26,11 +28,13 @@ def counted(text: Column | str) -> list[Column]:
 
 
 def passages(rows: DataFrame, key: str, text: str, window: int = 700, stride: int = 350, commenter: str = COMMENTER, act: str = ACT) -> DataFrame:
-    """(key, windows, response_windows, response_density, offsets): windows with both a commenter and an act; the first 5 offsets."""
+    """(key, windows, response_windows, offsets, response_density): windows with both a commenter and an act; the first 5 offsets.
+
+    Windows are cut and tested within the row, so a text isn't copied for each of them.
+    """
     t = F.coalesce(F.col(text), F.lit(""))
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length("t") - window), F.lit(stride))
-    cut = rows.select(F.col(key), t.alias("t")).select(key, "t", F.explode(starts).alias("at"))
-    w = F.substring("t", F.col("at") + 1, F.lit(window))
-    hit = w.rlike("(?iuU)" + commenter) & w.rlike("(?iuU)" + act)
-    out = cut.select(key, "at", hit.alias("hit")).groupBy(key).agg(F.count("*").alias("windows"), F.count_if("hit").alias("response_windows"), F.slice(F.array_sort(F.collect_list(F.when(F.col("hit"), F.col("at").cast("long")))), 1, 5).alias("offsets"))
+    starts = lambda v: F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(v) - window), F.lit(stride))
+    hit = lambda w: w.rlike("(?iuU)" + commenter) & w.rlike("(?iuU)" + act)
+    found = rows.select(F.col(key), T.let(t, lambda v: F.struct(F.size(starts(v)).cast("long").alias("windows"), F.filter(starts(v), lambda at: hit(F.substring(v, at + 1, F.lit(window)))).alias("at"))).alias("f"))
+    out = found.select(key, "f.windows", F.size("f.at").cast("long").alias("response_windows"), F.transform(F.slice("f.at", 1, 5), lambda x: x.cast("long")).alias("offsets"))
     return out.withColumn("response_density", F.col("response_windows") / F.col("windows"))

@@ -2,7 +2,7 @@
 
 The driver's tables stand in for a corpus: docket = source, id = doc_id, attachments = conversations (conv_id = doc_id, in order
 of turn), duplicateComments = n_chars % 7 (0: not populated), keys = urls, series numbers = labels.doc_id, two labellers =
-quality and 1 - toxic, vectors = embeddings. Rules that those tables never trigger run on short inline fixtures.
+quality and 1 - toxic, vectors = embeddings. Rules that those tables never trigger get lines of their own into every few texts of theirs.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import minhash as M
 from gleanery.functions import text as T
-from gleanery.operators import coverage, embedding, evaluate, linkage, metrics, responses
+from gleanery.operators import coverage, embedding, evaluate, labels, linkage, metrics, responses
 from gleanery.operators.components import connected_components
 from gleanery.plans import docket
 from gleanery.session import table
@@ -23,7 +23,7 @@ from gleanery.sources import records
 #: For vectors of the driver's tables, whose cosines stay far below the ladder's own threshold.
 COSINE = 0.30
 JACCARD = docket.JACCARD
-SIG, BANDS, ROWS = 16, 8, 2
+SIG, BANDS, ROWS = 128, 32, 4
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -53,13 +53,17 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
     return docs.repartition(cores, "doc_id") if docs.rdd.getNumPartitions() < cores else docs
 
 
-def _values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
+def _sql(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
 
 
-def _sql_values(rows: list[tuple], names: str) -> str:
-    cell = lambda x: "null" if x is None else str(x) if isinstance(x, int | float) else "'" + x.replace("'", "''") + "'"
-    return "(values " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + f") v({names})"
+def _dealt(values: list[str | None], column: str) -> F.Column:
+    """One of the values for each row, by the column's remainder."""
+    return F.element_at(F.array(*(F.lit(v).cast("string") for v in values)), (F.col(column) % len(values) + 1).cast("int"))
+
+
+def _dealt_sql(values: list[str | None], column: str) -> str:
+    return "[" + ", ".join("null" if v is None else _sql(v) for v in values) + f"][({column}) % {len(values)} + 1]"
 
 
 WS = r"[\s\v]+"
@@ -134,7 +138,7 @@ def _corpus(spark: SparkSession, sf: str) -> DataFrame:
     body = F.when(F.col("doc_id") % 5 == 0, F.lit("See attached")).otherwise(F.col("text"))
     docs = _docs(spark, sf).select(F.col("doc_id").alias("id"), F.col("source").alias("docket"), body.alias("comment"), (F.col("n_chars") % 7).alias("duplicateComments"))
     turns = table(spark, sf, "conversations").select(F.col("conv_id").alias("id"), F.format_string("%08d", "turn").alias("file"), "text")
-    return records.corpus(docs, turns, unicode=False).join(docs.select("id", "docket"), "id")
+    return records.corpus(docs, turns).join(docs.select("id", "docket"), "id")
 
 
 @query(f"with {JOINED} select doc_id as id, text, source from picked")
@@ -142,7 +146,28 @@ def assemble_left_join_concat(spark, sf):
     return _corpus(spark, sf).select("id", "text", "source")
 
 
-@query(f"""with {JOINED} select docket, count(*) as records, count(*) filter (source = 'none') as no_text, 0::bigint as emptied, count(*) filter (source <> 'none') as usable from picked group by 1""")
+def clean_sql(rows: str, text: str, keep: str) -> str:
+    """Steps c1 to cleaned (keep, text_clean) over the table `rows`, rule by rule as the text functions have them."""
+    gone = lambda t, p, flags="": f"regexp_replace({t}, {_sql((f'(?{flags})' if flags else '') + p)}, ' ', 'g')"
+    has = lambda t, p, flags="": f"regexp_matches({t}, {_sql((f'(?{flags})' if flags else '') + p)})"
+    inner = f"case when {has('t', '<comment>(.*?)</comment>', 'is')} then regexp_extract(t, '(?is)<comment>(.*?)</comment>', 1) else {gone('t', '<[^>]{1,80}>')} end"
+    envelope = f"len(list_distinct(list_transform(regexp_extract_all(substr(t, 1, 600), {_sql('(?i)' + T.HEADER_FIELD)}, 1), lambda x: lower(x)))) >= 3"
+    head = "substr(t, 1, 900)"
+    for pattern in (T.LABEL_RUN, T.MAILBOX, T.LONG_DATE):
+        head = gone(head, pattern, "i")
+    return f"""c1 as (select {keep}, coalesce({text}, '') as t from {rows}),
+c2 as (select {keep}, case when {has('t', T.RECEIPT, 'is')} then {inner} else t end as t from c1),
+c3 as (select {keep}, substr(t, length(regexp_extract(substr(t, 1, 600), {_sql('(?is)' + T.FLAT_RECEIPT)}, 0)) + 1) as t from c2),
+c4 as (select {keep}, {gone(gone('t', T.RENDER_TRAILER, 'is'), r']]>[\s]*$')} as t from c3),
+c5 as (select {keep}, case when {has('t', T.BARE_RECEIPT)} and length(t) < 400 then '' else t end as t from c4),
+c6 as (select {keep}, t, regexp_extract(substr(t, 1, 1500), {_sql(T.SALUTATION)}, 0) as dear from c5),
+c7 as (select {keep}, case when dear <> '' and {envelope} then trim(substr(t, instr(t, dear))) else t end as t from c6),
+c8 as (select {keep}, {head} || substr(t, 901) as t from c7),
+cleaned as (select {keep}, trim({gone(gone(gone(gone('t', T.EMAIL), T.URL), T.DOCKET_LINE, 'i'), WS)}) as text_clean from c8)"""
+
+
+@query(f"""with {JOINED}, {clean_sql('picked', 'text', 'doc_id, docket, source')}
+select docket, count(*) as records, count(*) filter (source = 'none') as no_text, count(*) filter (source <> 'none' and text_clean = '') as emptied, count(*) filter (source <> 'none' and text_clean <> '') as usable from cleaned group by 1""")
 def funnel_counts(spark, sf):
     return docket.funnel(_corpus(spark, sf), "docket")
 
@@ -180,35 +205,48 @@ def html_strip(spark, sf):
 
 
 BODIES = [
-    (1, "See attached", True, True), (2, "Please see the attached file(s).", True, True), (3, '"See attached letter"', True, False), (4, "<p>see attachment</p>", True, True), (5, "n/a", True, False),
-    (6, "", True, False), (7, None, True, False), (8, "I oppose this rule.", False, False), (9, "My letter is attached and I also think the limit is far too high for small shops.", False, False),
-    (10, "Acme County hereby submits the attached comments. Thank you.", False, True), (11, "Acme submits the attached data. The limit is wrong. It should be lower.", False, False),
-    (12, "See attached comments prepared for a broad group of schools and towns", False, True), (13, "none", True, False), (14, "Find enclosed copy of our study", False, True), (15, "test drive", False, False),
+    "See attached", "Please see the attached file(s).", '"See attached letter"', "<p>see attachment</p>", "n/a", "", None, "I oppose this rule.", "My letter is attached and I also think the limit is far too high for small shops.",
+    "Acme County hereby submits the attached comments. Thank you.", "Acme submits the attached data. The limit is wrong. It should be lower.", "See attached comments prepared for a broad group of schools and towns",
+    "none", "Find enclosed copy of our study", "test drive",
 ]
+_HTML_SQL = ENTITY_SQL.replace("html", "body")
+_BODY_SQL = SPACE_SQL.format(_HTML_SQL)
 
 
-@query(f"select id, placeholder, pointer from {_sql_values([(a, b or '', str(c).lower() == 'true', d) for a, b, c, d in BODIES], 'id, body, placeholder, pointer')}")
+@query(f"""with b as (select doc_id, coalesce(case when doc_id % 3 = 0 then {_dealt_sql(BODIES, 'doc_id // 3')} else text end, '') as body from documents),
+t as (select doc_id, {_BODY_SQL} as b from b), q as (select doc_id, b, trim(regexp_replace(b, {_sql(f'^{T.QUOTES}|{T.QUOTES}$')}, '', 'g')) as bare from t)
+select doc_id, bare = '' or regexp_matches(bare, {_sql('(?i)' + T.PLACEHOLDER)}) as placeholder,
+  b <> '' and ((length(b) <= {T.POINTER_CHARS} and regexp_matches(b, {_sql('(?i)' + T.POINTER)})) or (length(b) <= {T.POINTER_MID_CHARS} and regexp_matches(substr(b, 1, {T.POINTER_MID_WINDOW}), {_sql('(?i)' + T.POINTER_MID)})
+    and len(list_filter(string_split(regexp_replace(b, '([.!?])[\\s]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')) <= 2)) as pointer
+from q""")
 def placeholder_pointer_flags(spark, sf):
-    rows = _values(spark, [r[:2] for r in BODIES], "id long, body string")
-    return rows.select(F.col("id").cast("int").alias("id"), T.is_placeholder("body").alias("placeholder"), T.is_pointer("body").alias("pointer"))
+    """Every third document's body is one of the short ones that the rules are about."""
+    body = F.when(F.col("doc_id") % 3 == 0, _dealt(BODIES, "k")).otherwise(F.col("text"))
+    rows = _docs(spark, sf).withColumn("k", F.floor(F.col("doc_id") / 3)).select("doc_id", body.alias("body"))
+    return rows.select("doc_id", T.is_placeholder("body").alias("placeholder"), T.is_pointer("body").alias("pointer"))
 
 
 DEBRIS = [
-    (1, "From: a To: b Sent: c Subject: d Dear Administrator Lee, I object.", "Dear Administrator Lee, I object."),
-    (2, "From: a To: b Subject: d I object to it.", "From: a To: b Subject: d I object to it."),
-    (3, "Page 1 of 1 - 0123456789abcdef - Jo Doe - Town <![CDATA[ The limit is wrong. ]]>", "The limit is wrong."),
-    (4, "0123456789abcdef - Jo Doe - Town", ""),
-    (5, "The limit is wrong. ]]> Web file://host/Adlib/Work/1 4/4/2023", "The limit is wrong."),
-    (6, "<?xml version=\"1.0\"?><x><comment>Too high.</comment></x></fdms_submission>", "Too high."),
-    (7, "Write to me@host.org or http://host.org/a about Docket ID No. EPA-HQ-OAR-1", "Write to or about"),
-    (8, "Friday, January 27, 2023 10:58 AM A-AND-R-DOCKET We object.", "We object."),
-    (9, None, ""),
-]
-
-
-@query(f"select id, cleaned from {_sql_values(DEBRIS, 'id, raw, cleaned')}")
+    "From: a To: b Sent: c Subject: d Dear Administrator Lee, ", "From: a To: b Subject: d ", "Page 1 of 1 - 0123456789abcdef - Jo Doe - Town <![CDATA[ ", '<?xml version="1.0"?><x><comment>Too high.</comment></x></fdms_submission>',
+    "Write to me@host.org or http://host.org/a about Docket ID No. ABC-HQ-1 ", "Friday, January 27, 2023 10:58 AM A-AND-R-DOCKET ", "", "]]> Web file://host/Adlib/Work/1 4/4/2023", "0123456789abcdef - Jo Doe - Town",
+]
+
+
+@query(f"""with raw as (select doc_id, case when doc_id % 4 = 0 then {_dealt_sql(DEBRIS, 'doc_id // 4')} else '' end || case when doc_id % 8 = 0 then '' else coalesce(text, '') end as raw from documents),
+{clean_sql('raw', 'raw', 'doc_id')} select doc_id, sha256(text_clean) as h, length(text_clean) as n from cleaned""")
 def clean_rules(spark, sf):
-    return _values(spark, [r[:2] for r in DEBRIS], "id long, raw string").select(F.col("id").cast("int").alias("id"), T.clean("raw").alias("cleaned"))
+    """Transport debris before the text of every fourth document, and alone in every eighth."""
+    lead = F.when(F.col("doc_id") % 4 == 0, _dealt(DEBRIS, "k")).otherwise("")
+    rows = _docs(spark, sf).withColumn("k", F.floor(F.col("doc_id") / 4)).select("doc_id", F.concat(lead, F.when(F.col("doc_id") % 8 == 0, "").otherwise(F.coalesce("text", F.lit("")))).alias("raw"))
+    cleaned = T.clean("raw")
+    return rows.select("doc_id", F.sha2(cleaned.cast("binary"), 256).alias("h"), F.length(cleaned).cast("long").alias("n"))
+
+
+@query(f"select doc_id, case when t = '' then 0 else ((length(t) - length(replace(t, substr(t, 1, 30), ''))) / length(substr(t, 1, 30)))::bigint end as letters from (select doc_id, {SPACE_SQL.format('repeat(text, (1 + doc_id % 3)::int)')} as t from documents)")
+def bundled_letters(spark, sf):
+    """Texts repeated once to three times: how often each one's opening stands in it."""
+    rows = _docs(spark, sf).select("doc_id", F.expr("repeat(text, cast(1 + doc_id % 3 as int))").alias("text"))
+    return rows.select("doc_id", T.bundled("text", 30).alias("letters"))
 
 
 # The near rung.
@@ -224,29 +262,49 @@ def shingle_counts(spark, sf):
 
 
 @query(f"""with {SHINGLES_SQL}, n as (select doc_id, count(*) as n from s group by 1),
-p as (select a.doc_id as i, b.doc_id as j, count(*) as shared from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2)
-select i, j, round(shared / (x.n + y.n - shared), 6) as jaccard from p join n x on x.doc_id = i join n y on y.doc_id = j where shared / (x.n + y.n - shared) >= {JACCARD}""")
+p as (select a.doc_id as i, b.doc_id as j, count(*) as shared from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+l as (select i, j, shared / (x.n + y.n - shared) as jaccard from p join n x on x.doc_id = i join n y on y.doc_id = j where shared / (x.n + y.n - shared) >= {JACCARD}),
+copies as (select j as id, min(i) as head from l where jaccard = 1 group by 1)
+select i, j, round(jaccard, 6) as jaccard from l where i not in (select id from copies) and j not in (select id from copies) union all select head, id, 1.0 from copies""")
 def near_pairs_exact_jaccard(spark, sf):
-    return M.jaccard_pairs(_docs(spark, sf), "doc_id", "text", JACCARD).withColumn("jaccard", F.round("jaccard", 6))
+    """Links between the first documents of each set of shingles, and each further document's link to its first one."""
+    pairs, classes = M.jaccard_pairs(_docs(spark, sf), "doc_id", "text", JACCARD)
+    copies = classes.where("id <> head").select(F.col("head").alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("jaccard"))
+    return pairs.withColumn("jaccard", F.round("jaccard", 6)).unionByName(copies)
+
+
+def signature_sql(shingles: str, ids: str, by: str = "") -> str:
+    """From shingles (doc_id, s) and ids (doc_id): signatures, a class' first id, bands, candidates, scores and pairs within `by`."""
+    both, on = (f", {by}", f" and a.{by} = b.{by}") if by else ("", "")
+    minima = ", ".join(f"coalesce(min((h * {a} + {b}) % {M.MODULUS}), {M.MODULUS})" for a, b in M.coefficients(SIG))
+    return f"""h as (select doc_id, ('0x' || substr(md5(s), 1, 7))::bigint as h from {shingles}),
+sig as (select doc_id{both}, [{minima}] as sig from {ids} left join h using (doc_id) group by all),
+alike as (select *, min(doc_id) over (partition by sig{both}) as head from sig), reps as (select * from alike where doc_id = head),
+band as (select doc_id{both}, i as band, array_to_string(sig[i * {ROWS} + 1 : i * {ROWS} + {ROWS}], '-') as key from (select doc_id{both}, sig, unnest(range({BANDS})) as i from reps)),
+cand as (select distinct a.doc_id as i, b.doc_id as j from band a join band b on a.band = b.band and a.key = b.key and a.doc_id < b.doc_id{on}),
+scored as (select i, j, len(list_filter(list_zip(x.sig, y.sig), lambda z: z[1] = z[2])) / {SIG} as score from cand join reps x on x.doc_id = i join reps y on y.doc_id = j),
+near as (select * from scored where score >= {JACCARD}),
+linked as (select i, j, score from near union all select head, doc_id, 1.0 from alike where doc_id <> head)"""
 
 
-SIG_SQL = f"""{SHINGLES_SQL}, h as (select doc_id, ('0x' || substr(md5(s), 1, 7))::bigint as h from s),
-sig as (select doc_id, [{", ".join(f"coalesce(min((h * {a} + {b}) % {M.MODULUS}), {M.MODULUS})" for a, b in M.coefficients(SIG))}] as sig from documents left join h using (doc_id) group by 1),
-band as (select doc_id, i as band, array_to_string(sig[i * {ROWS} + 1 : i * {ROWS} + {ROWS}], '-') as key from (select doc_id, sig, unnest(range({BANDS})) as i from sig)),
-size as (select band, key, count(*) as n, min(doc_id) as head from band group by 1, 2 having count(*) > 1),
-cand as (select distinct i, j from (select a.doc_id as i, b.doc_id as j from band a join band b on a.band = b.band and a.key = b.key and a.doc_id < b.doc_id join size on size.band = a.band and size.key = a.key and n <= 200
-  union all select head, doc_id from band join size using (band, key) where n > 200 and doc_id <> head)),
-scored as (select i, j, len(list_filter(list_zip(x.sig, y.sig), lambda z: z[1] = z[2])) / {SIG} as score from cand join sig x on x.doc_id = i join sig y on y.doc_id = j),
-near as (select * from scored where score >= {JACCARD})"""
+SIG_SQL = f"{SHINGLES_SQL}, {signature_sql('s', 'documents')}"
 
 
 def _signed(spark, sf):
-    return M.portable_signatures(_docs(spark, sf), "doc_id", "text", SIG)
+    return docket.staged(M.portable_signatures(_docs(spark, sf), "doc_id", "text", SIG), "signed")
+
+
+def _points(spark, sf):
+    """Signatures, each document's class and one row a class."""
+    signed = _signed(spark, sf)
+    alike = docket.staged(M.classes(signed), "classes")
+    return signed, alike, docket.staged(signed.join(alike.where("id = head").select("id"), "id"), "points")
 
 
-@query(f"with {SIG_SQL} select doc_id as id, array_to_string(sig, ' ') as sig from sig")
+@query(f"with {SIG_SQL} select doc_id as id, sha256(array_to_string(sig, ' ')) as sig from sig")
 def minhash_portable_sigs(spark, sf):
-    return _signed(spark, sf).select("id", F.array_join(F.transform("sig", lambda x: x.cast("string")), " ").alias("sig"))
+    joined = F.array_join(F.transform("sig", lambda x: x.cast("string")), " ")
+    return M.portable_signatures(_docs(spark, sf), "doc_id", "text", SIG).select("id", F.sha2(joined.cast("binary"), 256).alias("sig"))
 
 
 @query()
@@ -256,34 +314,33 @@ def minhash_exact_sigs(spark, sf):
 
 @query(f"with {SIG_SQL} select i, j from cand")
 def lsh_candidates(spark, sf):
-    return M.candidates(M.bands(_signed(spark, sf), BANDS, ROWS))
+    """Candidates between classes of equal signatures."""
+    return M.candidates(M.bands(_points(spark, sf)[2], BANDS, ROWS))
 
 
 def _near(spark, sf):
-    signed = docket.staged(_signed(spark, sf), "signed")
-    return signed, docket.staged(M.scored(M.candidates(M.bands(signed, BANDS, ROWS)), signed).where(F.col("score") >= JACCARD), "pairs")
+    """Signatures with their class, and all near pairs: between classes, and from each class' first document to the others."""
+    signed, alike, points = _points(spark, sf)
+    copies = alike.where("id <> head").select(F.col("head").alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("score"))
+    pairs = M.near_pairs(points, JACCARD, BANDS, ROWS).unionByName(copies)
+    return signed.join(alike.select("id", F.col("head").cast("string").alias("same")), "id"), docket.staged(pairs, "pairs")
 
 
-@query(f"with {SIG_SQL} select i, j, score from near")
+@query(f"with {SIG_SQL} select i, j, score from linked")
 def near_pairs_minhash(spark, sf):
     return _near(spark, sf)[1]
 
 
-@query(f"""with recursive {SIG_SQL}, e as (select i, j from near union select j, i from near), r as (select i as id, i as c from e union select e.j, r.c from r join e on e.i = r.id)
+@query(f"""with recursive {SIG_SQL}, e as (select i, j from linked union select j, i from linked), r as (select i as id, i as c from e union select e.j, r.c from r join e on e.i = r.id)
 select id, min(c) as component from r group by 1""")
 def near_components(spark, sf):
     return connected_components(_near(spark, sf)[1], "i", "j").select(F.col("node").alias("id"), "component")
 
 
-def _near_clusters(spark, sf):
-    signed, pairs = _near(spark, sf)
-    keys = _docs(spark, sf).select(F.col("doc_id").alias("id"), T.exact_key("text").alias("same"))
-    return linkage.near_clusters(signed.join(keys, "id"), pairs, JACCARD)
-
-
 @query()
 def near_complete_clusters(spark, sf):
-    return _near_clusters(spark, sf)
+    signed, pairs = _near(spark, sf)
+    return linkage.near_clusters(signed, pairs, JACCARD)
 
 
 @query()
@@ -365,17 +422,20 @@ def id_density(spark, sf):
     return coverage.density(table(spark, sf, "labels"), "doc_id")
 
 
-KEYS = [
-    (1, "raw-data/A/A-2020-0001/text-A-2020-0001/comments/A-2020-0001-0002.json", "A-2020-0001-0002", 0, 2), (2, "x/comments/A-2020-0001-0002(1).json", "A-2020-0001-0002", 1, 2), (3, "x/comments/A-2020-0001-0002(12).json", "A-2020-0001-0002", 12, 2),
-    (4, "x/A-2020-0001-0003(a).json", "A-2020-0001-0003(a)", 0, None), (5, "x/A-2020-0001.json", "A-2020-0001", 0, 1), (6, "A-2020-0001-0004.json", "A-2020-0001-0004", 0, 4), (7, None, "", 0, None),
-]
+KEY_FORMS = ["raw-data/A/%s/comments/%s.json", "x/%s/%s(1).json", "x/%s/%s(12).json", "%s/%s(a).json", "x/%s/%s_attachment_3.pdf"]
+_KEY_SQL = "replace(" + _dealt_sql([f.replace("%s", "A-2020-0001", 1).replace("%s", "#") for f in KEY_FORMS], "page_id") + ", '#', 'A-2020-0001-' || lpad(page_id::varchar, 4, '0'))"
+_BASE_SQL = "regexp_replace(regexp_extract(key, '[^/]*$'), '\\.json$', '')"
 
 
-@query(f"select id, comment_id, copy_rank, number from {_sql_values([(a, c, d, e) for a, _, c, d, e in KEYS], 'id, comment_id, copy_rank, number')}")
+@query(f"""with k as (select page_id, {_KEY_SQL} as key from pages), b as (select page_id, key, {_BASE_SQL} as base from k), c as (select *, regexp_replace(base, '^(.+?)\\(\\d+\\)$', '\\1') as id from b)
+select page_id, id as comment_id, coalesce(try_cast(regexp_extract(base, '^.+?\\((\\d+)\\)$', 1) as bigint), 0) as copy_rank, try_cast(regexp_extract(id, '-(\\d+)$', 1) as bigint) as number,
+  nullif(regexp_extract(key, '([A-Z][A-Za-z0-9_-]*-\\d{{4}}-[A-Za-z0-9-]+-\\d+)[^/]*$', 1), '') as any_id from c""")
 def key_parsing(spark, sf):
-    rows = _values(spark, [r[:2] for r in KEYS], "id long, key string")
+    """Keys of several forms made from page ids, and both parsers of ids."""
+    form = _dealt([f.replace("%s", "A-2020-0001", 1).replace("%s", "#") for f in KEY_FORMS], "page_id")
+    rows = table(spark, sf, "pages").select("page_id", F.replace(form, F.lit("#"), F.concat(F.lit("A-2020-0001-"), F.lpad(F.col("page_id").cast("string"), 4, "0"))).alias("key"))
     cid = T.comment_id("key")
-    return rows.select(F.col("id").cast("int").alias("id"), cid.alias("comment_id"), T.copy_rank("key").cast("int").alias("copy_rank"), T.sequence_number(cid).cast("int").alias("number"))
+    return rows.select("page_id", cid.alias("comment_id"), T.copy_rank("key").alias("copy_rank"), T.sequence_number(cid).alias("number"), T.any_comment_id("key").alias("any_id"))
 
 
 URLS = "u as (select regexp_extract(url, '^[a-z]*://([^/?#]*)', 1) || '(' || (page_id % 3) || ')' as key, page_id from pages)"
@@ -426,17 +486,22 @@ def report_join(spark, sf):
     return r.join(c, "source", "left").select("source", "collapse", F.coalesce("share", F.lit(1.0)).alias("share"), (F.coalesce("share", F.lit(1.0)) < 0.4).alias("partial"))
 
 
-PAGES_XML = [
-    (1, "<R><IsTruncated>true</IsTruncated><Key>a/1.json</Key><Key>a/2.json</Key><NextContinuationToken>t1</NextContinuationToken></R>", "a/1.json,a/2.json", "t1"),
-    (2, "<R><IsTruncated>false</IsTruncated><Key>a/3.txt</Key><NextContinuationToken>t2</NextContinuationToken></R>", "a/3.txt", None),
-    (3, "<R><IsTruncated>false</IsTruncated></R>", "", None),
-]
+def _xml(spark, sf):
+    """Three urls make a listing's page; of every second one the rest follows."""
+    entry = F.concat(F.lit("<Contents><Key>"), "url", F.lit("</Key><LastModified>2020-01-"), F.lpad((F.col("page_id") % 28 + 1).cast("string"), 2, "0"), F.lit("</LastModified></Contents>"))
+    page = table(spark, sf, "pages").groupBy(F.floor(F.col("page_id") / 3).alias("page")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("page_id", entry.alias("e")))).getField("e"), "").alias("e"))
+    more = F.when(F.col("page") % 2 == 0, "true").otherwise("false")
+    return page.select("page", F.concat(F.lit("<R><IsTruncated>"), more, F.lit("</IsTruncated>"), "e", F.lit("<NextContinuationToken>t"), F.col("page").cast("string"), F.lit("</NextContinuationToken></R>")).alias("xml"))
 
 
-@query(f"select keys, next from {_sql_values([r[2:] for r in PAGES_XML], 'keys, next')}")
+@query("select string_agg(url, ',' order by page_id) as keys, case when page_id // 3 % 2 = 0 then 't' || page_id // 3 end as next from pages group by page_id // 3")
 def listing_page_parse(spark, sf):
-    rows = records.parsed_pages(_values(spark, [r[:2] for r in PAGES_XML], "id long, xml string"))
-    return rows.select(F.array_join("keys", ",").alias("keys"), "next")
+    return records.parsed_pages(_xml(spark, sf)).select(F.array_join("keys", ",").alias("keys"), "next")
+
+
+@query("select url as key, '2020-01-' || lpad((page_id % 28 + 1)::varchar, 2, '0') as last_modified from pages")
+def listing_entries(spark, sf):
+    return records.parsed_entries(_xml(spark, sf))
 
 
 @query("select count(*) as n from pages where starts_with(url, 'https://') and ends_with(url, '.html')")
@@ -471,7 +536,7 @@ def agreement_report(spark, sf):
     return _labels(spark, sf).groupBy("a", "b").agg(F.count("*").alias("n")).withColumn("same", F.col("a") == F.col("b"))
 
 
-REPEATS = 200
+REPEATS = 2000
 
 
 @query(f"""with {PAIRED}, k as (select row_number() over (order by doc_id) - 1 as k, a, b, count(*) over () as n from l),
@@ -505,10 +570,14 @@ BAND_SQL = "case " + " ".join(f"when score >= {lo} and score < {hi} then '{lo:.2
 @query(f"""with {SIG_SQL}, b as (select i, j, score, {BAND_SQL} as band from scored), r as (select *, row_number() over (partition by band order by md5('11:' || i || ':' || j)) as rank, count(*) over (partition by band) as population from b where band is not null)
 select i, j, band, population from r where rank <= 20""")
 def stratified_pair_sample(spark, sf):
-    signed = _signed(spark, sf)
-    pairs = M.scored(M.candidates(M.bands(signed, BANDS, ROWS)), signed).withColumn("band", evaluate.score_band(F.col("score"))).where("band is not null")
+    return _pair_sample(spark, sf).select("i", "j", "band", "population")
+
+
+def _pair_sample(spark, sf):
+    points = _points(spark, sf)[2]
+    pairs = M.scored(M.candidates(M.bands(points, BANDS, ROWS)), points).withColumn("band", evaluate.score_band(F.col("score"))).where("band is not null")
     order = F.md5(F.concat_ws(":", F.lit("11"), F.col("i").cast("string"), F.col("j").cast("string")).cast("binary"))
-    return evaluate.stratified(pairs, "band", order, 20).select("i", "j", "band", "population")
+    return evaluate.stratified(pairs, "band", order, 20)
 
 
 @query(f"""with {KEYED}, c as (select cluster_id, count(*) as size from clustered group by 1), b as (select *, case when size < 2 then null when size <= 3 then '2-3' when size <= 10 then '4-10' when size <= 50 then '11-50' when size <= 500 then '51-500' else '501-max' end as band from c),
@@ -522,44 +591,64 @@ def _cluster_sample(spark, sf):
     return evaluate.stratified(sizes, "band", F.md5(F.concat_ws(":", F.lit("17"), F.col("cluster_id").cast("string")).cast("binary")), 6)
 
 
-@query()
+@query(f"""with {KEYED}, c as (select cluster_id, count(*) as size from clustered group by 1), b as (select *, case when size < 2 then null when size <= 3 then '2-3' when size <= 10 then '4-10' when size <= 50 then '11-50' when size <= 500 then '51-500' else '501-max' end as band from c),
+r as (select *, row_number() over (partition by band order by md5('17:' || cluster_id)) as rank from b where band is not null), k as (select *, row_number() over (order by band, rank) - 1 as cluster from r where rank <= 6),
+m as (select cluster, k.cluster_id, band, size, doc_id, text, row_number() over (partition by k.cluster_id order by doc_id) as place from k join (select cluster_id, doc_id from clustered) using (cluster_id) join documents using (doc_id))
+select cluster, cluster_id, band, size, '' as label, string_agg(doc_id::varchar, ' ' order by place) as member_ids, string_agg(substr(text, 1, 600), '|' order by place) as members from m where place <= 3 group by all""")
 def cluster_labelling_tasks(spark, sf):
     members = exact_clusters(spark, sf).join(_docs(spark, sf).select("doc_id", "text"), "doc_id").select("cluster_id", F.col("doc_id").alias("id"), "text")
-    return records.cluster_tasks(_cluster_sample(spark, sf), members)
+    tasks = records.cluster_tasks(_cluster_sample(spark, sf), members)
+    return tasks.withColumns({"member_ids": F.array_join(F.transform("member_ids", lambda x: x.cast("string")), " "), "members": F.array_join("members", "|")})
 
 
-@query()
+@query(f"""with {SIG_SQL}, b as (select i, j, score, {{band}} as band from scored), r as (select *, row_number() over (partition by band order by md5('11:' || i || ':' || j)) as rank from b where band is not null)
+select row_number() over (order by band, rank) - 1 as pair, band, score, '' as label, i as a_id, j as b_id, x.source as a_source, y.source as b_source, x.n_chars % 7 as a_dupes, y.n_chars % 7 as b_dupes, substr(x.text, 1, 1200) as a_text, substr(y.text, 1, 1200) as b_text
+from (select * from r where rank <= 20) r join documents x on x.doc_id = i join documents y on y.doc_id = j""".replace("{band}", BAND_SQL))
 def pair_labelling_tasks(spark, sf):
-    signed = _signed(spark, sf)
-    pairs = M.scored(M.candidates(M.bands(signed, BANDS, ROWS)), signed).withColumn("band", evaluate.score_band(F.col("score"))).where("band is not null")
-    sample = evaluate.stratified(pairs, "band", F.md5(F.concat_ws(":", F.lit("11"), "i", "j").cast("binary")), 20).select("i", "j", "band", "score")
-    return records.pair_tasks(sample, _docs(spark, sf).select(F.col("doc_id").alias("id"), "text"))
+    texts = _docs(spark, sf).select(F.col("doc_id").alias("id"), "text", "source", (F.col("n_chars") % 7).alias("duplicateComments"))
+    return records.pair_tasks(_pair_sample(spark, sf).select("i", "j", "band", "score", "rank"), texts)
 
 
 # Windows over long texts.
 
-COMMENTER, ACT = "the", "and"
-
-
 @query("""with w as (select doc_id, unnest(range(0, greatest(0, length(text) - 700) + 1, 350)) as o, text from documents), h as (select doc_id, o, regexp_matches(substr(text, o + 1, 700), '(?i)\\bof\\b') and regexp_matches(substr(text, o + 1, 700), '(?i)\\bwith\\b') as hit from w)
 select doc_id, count(*) as windows, count(*) filter (hit) as response_windows, array_to_string((list(o order by o) filter (hit))[1:5], ' ') as offsets, round(count(*) filter (hit) / count(*), 6) as response_density from h group by 1""")
 def response_windows(spark, sf):
-    out = responses.passages(_docs(spark, sf), "doc_id", "text", commenter=r"\bof\b", act=r"\bwith\b")
-    joined = F.array_join(F.transform("offsets", lambda x: x.cast("string")), " ")
-    return out.select("doc_id", "windows", "response_windows", F.when(F.size("offsets") > 0, joined).alias("offsets"), F.round("response_density", 6).alias("response_density"))
+    return _offsets(responses.passages(_docs(spark, sf), "doc_id", "text", commenter=r"\bof\b", act=r"\bwith\b"))
 
 
-RULES = [
-    (1, "Public Comments\nComment: too high.\nResponse: the agency disagrees.\nSome commenters said so; one commenter did not.", 114, 1, 1, 2, 1),
-    (2, "II. Response to Comments:\nAgency Response: adopted.\nA. Summary of Comments and Responses", 88, 1, 0, 0, 2),
-    (3, "Nothing here.", 13, 0, 0, 0, 0), (4, None, 0, 0, 0, 0, 0),
+RULE_LINES = [
+    "Public Comments\nComment: too high.\nResponse: the agency disagrees.\nSome commenters said so; one commenter did not.", "II. Response to Comments:\nAgency Response: adopted.\nA. Summary of Comments and Responses", "Nothing here.", None,
+    "Many commenters asked for more time. After considering it, the agency declined.",
 ]
+_RULES_SQL = f"rules as (select doc_id, coalesce({_dealt_sql(RULE_LINES, 'doc_id')}, '') || chr(10) || coalesce(text, '') as text from documents)"
+
+
+def _rules(spark, sf):
+    """Lines of a rule's preamble before each document's text."""
+    lines = F.coalesce(_dealt(RULE_LINES, "doc_id"), F.lit(""))
+    return _docs(spark, sf).select("doc_id", F.concat(lines, F.lit("\n"), F.coalesce("text", F.lit(""))).alias("text"))
+
 
+_COUNTED = {"comment_response_pairs": (responses.RESPONSE, "im"), "comment_markers": (responses.COMMENT, "im"), "commenter_mentions": (responses.COMMENTER, "i"), "response_headings": (responses.HEADING, "im")}
 
-@query(f"select * from {_sql_values([(r[0], *r[2:]) for r in RULES], 'id, chars, comment_response_pairs, comment_markers, commenter_mentions, response_headings')}")
+
+@query(f"with {_RULES_SQL} select doc_id, length(text) as chars, " + ", ".join(f"len(regexp_extract_all(text, {_sql(f'(?{flags})' + pattern)})) as {name}" for name, (pattern, flags) in _COUNTED.items()) + " from rules")
 def response_stats(spark, sf):
-    rows = _values(spark, [r[:2] for r in RULES], "id int, text string").select("id", *responses.counted("text"))
-    return rows.select("id", *(F.col(c).cast("int").alias(c) for c in rows.columns[1:]))
+    return _rules(spark, sf).select("doc_id", *responses.counted("text"))
+
+
+@query(f"""with {_RULES_SQL}, w as (select doc_id, unnest(range(0, greatest(0, length(text) - 700) + 1, 350)) as o, text from rules),
+h as (select doc_id, o, regexp_matches(substr(text, o + 1, 700), {_sql('(?i)' + responses.COMMENTER)}) and regexp_matches(substr(text, o + 1, 700), {_sql('(?i)' + responses.ACT)}) as hit from w)
+select doc_id, count(*) as windows, count(*) filter (hit) as response_windows, array_to_string((list(o order by o) filter (hit))[1:5], ' ') as offsets, round(count(*) filter (hit) / count(*), 6) as response_density from h group by 1""")
+def response_passages(spark, sf):
+    """The rule's own patterns over all windows."""
+    return _offsets(responses.passages(_rules(spark, sf), "doc_id", "text"))
+
+
+def _offsets(out):
+    joined = F.array_join(F.transform("offsets", lambda x: x.cast("string")), " ")
+    return out.select("doc_id", "windows", "response_windows", F.when(F.size("offsets") > 0, joined).alias("offsets"), F.round("response_density", 6).alias("response_density"))
 
 
 SPLIT = f"w as (select doc_id, string_split({SPACE_SQL.format('text')}, ' ') as w from documents)"
@@ -578,13 +667,179 @@ def chunks(spark, sf):
     return rows.select("doc_id", F.col("i").cast("long").alias("i"), F.sha2(F.col("t").cast("binary"), 256).alias("h"))
 
 
+# Labels of pairs, more labellers, one label's weight.
+
+LABEL_SQL = "case when quality = 1 and toxic = 0 then 'same' when quality = 1 then 'variant' when toxic = 0 then 'distinct' else 'unusable' end"
+OTHER_SQL = "case when toxic = 0 and doc_id % 7 > 0 then 'same' when quality = 1 then 'variant' else 'distinct' end"
+
+
+def _two(spark, sf):
+    """(pair, machine, human): two labellers who mostly agree."""
+    rows = table(spark, sf, "labels")
+    return rows.select(F.col("doc_id").alias("pair"), F.expr(LABEL_SQL).alias("machine"), F.expr(OTHER_SQL).alias("human"))
+
+
+@query(f"with l as (select doc_id as pair, {LABEL_SQL} as label from labels), u as (select pair, label, case when label = 'same' then 'merge' else 'keep' end as decision from l where label <> 'unusable') select decision, label, count(*) as n from u group by 1, 2")
+def usable_labels_as_decisions(spark, sf):
+    rows = labels.usable(_two(spark, sf).select("pair", F.col("machine").alias("label")))
+    return rows.groupBy(labels.binary(F.col("label")).alias("decision"), "label").agg(F.count("*").alias("n"))
+
+
+@query(f"with l as (select doc_id as pair, {LABEL_SQL} as label from labels), s as (select doc_id as pair, n_chars / 1000.0 as score from documents where doc_id % 2 = 0) select pair, label, label = 'same' as positive, round(score::double, 6) as score from s join l using (pair) where label <> 'unusable'")
+def labels_join_sample(spark, sf):
+    sample = table(spark, sf, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("pair"), F.round(F.col("n_chars") / 1000.0, 6).alias("score"))
+    return labels.labelled(_two(spark, sf).select("pair", F.col("machine").alias("label")), sample)
+
+
+MERGED = 0.40
+
+
+@query(f"""with {DOT_SQL}, d as (select score >= {MERGED} as p, x.label = y.label as y from p join embeddings x on x.vec_id = i join embeddings y on y.vec_id = j where score >= {COSINE}),
+c as (select count(*) filter (y and p) as tp, count(*) filter (not y and p) as fp, count(*) filter (y and not p) as fn, count(*) filter (not y and not p) as tn from d) select tp, fp, fn, tn from c""")
+def merge_predicate_confusion(spark, sf):
+    """The semantic rung's decisions about near vectors against whether their labels are equal."""
+    v = table(spark, sf, "embeddings")
+    side = lambda s: v.select(F.col("vec_id").alias(s), F.col("embedding").alias(f"v{s}"), F.col("label").alias(f"l{s}"))
+    pairs = linkage.cosine_pairs(_vectors(spark, sf), COSINE).select("i", "j").join(side("i"), "i").join(side("j"), "j")
+    merged = labels.merges("semantic", F.col("vi"), F.col("vj"), MERGED)
+    return evaluate.confusion(pairs.withColumn("merged", merged), F.col("li") == F.col("lj"), F.col("merged")).select("tp", "fp", "fn", "tn")
+
+
+_KAPPA = "case when n = 0 then null when pe = 1 then 1.0 else (agree / n - pe) / (1 - pe) end"
+
+
+@query(f"""with two as (select doc_id as pair, {LABEL_SQL} as a, {OTHER_SQL} as b from labels), bin as (select pair, case when a = 'same' then 1 else 0 end as a, case when b = 'same' then 1 else 0 end as b from two),
+w as (select count(*) as n, count(*) filter (a = b) as agree, (select sum(x.c * y.c) from (select a, count(*) as c from two group by 1) x join (select b, count(*) as c from two group by 1) y on x.a = y.b) / (count(*) * count(*)) as pe from two),
+m as (select count(*) as n, count(*) filter (a = b) as agree, (sum(a) * sum(b) + (count(*) - sum(a)) * (count(*) - sum(b))) / (count(*) * count(*)) as pe from bin),
+k as (select row_number() over (order by pair) - 1 as k, a, b from bin),
+d as (select r, ('0x' || substr(md5('3:' || r || ':' || p), 1, 7))::bigint % (select count(*) from k) as k from range({REPEATS}) x(r), (select k as p from k)),
+t as (select r, count(*) as n, count(*) filter (a = b) as agree, sum(a) as sa, sum(b) as sb from d join k using (k) group by 1),
+v as (select case when sa * sb + (n - sa) * (n - sb) = n * n then 1.0 else (agree * n - (sa * sb + (n - sa) * (n - sb))) / (n * n - (sa * sb + (n - sa) * (n - sb)))::double end as v from t),
+o as (select v, row_number() over (order by v) - 1 as i from v)
+select w.n as pairs_compared, round(w.agree / w.n, 4) as raw_agreement, round((select {_KAPPA} from w), 4) as kappa, w.n - w.agree as disagreements, round(m.agree / m.n, 4) as raw_merge, round((select {_KAPPA} from m), 4) as kappa_merge,
+  round((select v from o where i = {int(0.025 * REPEATS)}), 3) as low, round((select v from o where i = {int(0.975 * REPEATS)}), 3) as high, case when round((select {_KAPPA} from m), 4) < 0.6 then 'human labels only' else 'beside the precision' end as verdict from w, m""")
+def judge_agreement(spark, sf):
+    return labels.agreement_report(_two(spark, sf), "pair", "machine", "human", REPEATS)
+
+
+@query(f"select doc_id as pair, {LABEL_SQL} as machine, {OTHER_SQL} as human from labels where {LABEL_SQL} <> {OTHER_SQL}")
+def judge_disagreements(spark, sf):
+    return labels.disagreements(_two(spark, sf), "pair", "machine", "human")
+
+
+AGENTS_SQL = "r as (select doc_id, unnest(['A', 'B', 'C']) as agent, unnest([quality, 1 - toxic, quality * (1 - toxic)]) as label from labels)"
+
+
+def _agents(spark, sf):
+    each = F.explode(F.expr("array(struct('A' as agent, quality as label), struct('B' as agent, 1 - toxic as label), struct('C' as agent, quality * (1 - toxic) as label))"))
+    return table(spark, sf, "labels").select("doc_id", each.alias("x")).select("doc_id", "x.agent", "x.label")
+
+
+@query(f"""with {AGENTS_SQL}, c as (select x.agent as a, y.agent as b, count(*) as n, count(*) filter (x.label = y.label) as agree, sum(x.label) as sa, sum(y.label) as sb from r x join r y using (doc_id) where x.agent < y.agent group by 1, 2)
+select a, b, n, agree, round(case when sa * sb + (n - sa) * (n - sb) = n * n then 1.0 else (agree / n - (sa * sb + (n - sa) * (n - sb)) / (n * n)) / (1 - (sa * sb + (n - sa) * (n - sb)) / (n * n)) end, 6) as kappa from c""")
+def agent_matrix(spark, sf):
+    return labels.agent_matrix(_agents(spark, sf), "doc_id", "agent", "label").withColumn("kappa", F.round("kappa", 6))
+
+
+@query(f"with {AGENTS_SQL}, p as (select doc_id, min(label) = max(label) as one from r group by 1) select count(*) filter (one) as unanimous, count(*) as n from p")
+def agents_unanimous(spark, sf):
+    return labels.unanimous(_agents(spark, sf), "doc_id", "label")
+
+
+@query("""with l as (select doc_id, quality as p, n_chars / 1000.0 as score from labels join documents using (doc_id) where doc_id % 4 = 0),
+world as (select k.doc_id as r, 'left_out' as kind, x.p, x.score from l k join l x on x.doc_id <> k.doc_id union all select k.doc_id, 'flipped', case when x.doc_id = k.doc_id then 1 - x.p else x.p end, x.score from l k, l x),
+by_score as (select r, kind, score, sum(p) as p, count(*) as c from world group by 1, 2, 3),
+curve as (select r, kind, score, sum(p) over w as tp, sum(c) over w as n from by_score window w as (partition by r, kind order by score desc))
+select r as doc_id, round(min(score) filter (kind = 'left_out' and tp / n >= 0.9), 6)::double as left_out, round(min(score) filter (kind = 'flipped' and tp / n >= 0.9), 6)::double as flipped from curve group by 1""")
+def perturbed_thresholds(spark, sf):
+    """The threshold without each label, and with it turned round; over every fourth document's label, a labelled set."""
+    rows = _labels(spark, sf).where("doc_id % 4 = 0")
+    out = labels.perturbed_thresholds(rows, "doc_id", "score", F.col("a") == 1, 0.9)
+    return out.select("doc_id", F.round("left_out", 6).alias("left_out"), F.round("flipped", 6).alias("flipped"))
+
+
+# One listing of everything, and what is reported of it.
+
+LISTED_SQL = """e as (select source as docket, doc_id, 'comment' as kind, '2020-01-' || lpad((doc_id % 28 + 1)::varchar, 2, '0') as modified, null as ext from documents union all select source, doc_id, 'comment', '2020-02-01', null from documents where doc_id % 10 = 0
+  union all select source, doc_id + 100000, 'document', '2021-01-01', null from documents where doc_id % 50 = 0
+  union all select source, doc_id, 'file', '2020-01-01', unnest(case when doc_id % 2 = 0 then ['pdf', 'docx'] else ['docx'] end) from documents where doc_id % 3 = 0
+  union all select source, doc_id, 'text', '2020-01-01', null from documents join labels using (doc_id) where doc_id % 3 <> 1)"""
+
+
+def _listing(spark, sf):
+    """Keys of records, copies, documents, attachments and extracted texts, made from ids."""
+    docs = _docs(spark, sf).select(F.col("source").alias("docket"), "doc_id")
+    key = lambda kind, name, modified: F.struct(F.format_string(f"raw/A/{kind}/{name}", "doc_id").alias("key"), modified.alias("last_modified"))
+    day = F.concat(F.lit("2020-01-"), F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0"))
+    rows = docs.select("docket", "doc_id", key("comments", "A-2020-0001-%d.json", day).alias("e"))
+    rows = rows.unionByName(docs.where("doc_id % 10 = 0").select("docket", "doc_id", key("comments", "A-2020-0001-%d(1).json", F.lit("2020-02-01")).alias("e")))
+    rows = rows.unionByName(docs.where("doc_id % 50 = 0").withColumn("doc_id", F.col("doc_id") + 100000).select("docket", "doc_id", key("documents", "A-2020-0001-%d.json", F.lit("2021-01-01")).alias("e")))
+    for ext, those in (("pdf", "doc_id % 6 = 0"), ("docx", "doc_id % 3 = 0")):
+        rows = rows.unionByName(docs.where(those).select("docket", "doc_id", key("comments_attachments", f"A-2020-0001-%d_attachment_1.{ext}", F.lit("2020-01-01")).alias("e")))
+    texts = docs.join(table(spark, sf, "labels").select("doc_id"), "doc_id").where("doc_id % 3 <> 1")
+    rows = rows.unionByName(texts.select("docket", "doc_id", key("comments_extracted_text", "A-2020-0001-%d_attachment_1_extracted.txt", F.lit("2020-01-01")).alias("e")))
+    return rows.select("docket", "e.*")
+
+
+@query(f"""with {LISTED_SQL}, n as (select distinct docket, doc_id as n from e where kind in ('comment', 'document')), g as (select docket, lead(n) over (partition by docket order by n) - n - 1 as l from n),
+h as (select docket, sum(l) filter (l > 0) as holes, max(l) filter (l > 0) as longest, sum(l) filter (l >= 5) as in_runs from g group by 1), s as (select docket, min(n) as lo, max(n) as hi from n group by 1),
+c as (select docket, count(*) as objects, count(distinct doc_id) as records, max(modified) as newest from e where kind = 'comment' group by 1), d as (select docket, count(distinct doc_id) as documents from e where kind = 'document' group by 1),
+f as (select docket, doc_id, count(*) as files, count(*) filter (ext = 'pdf') as pdfs from e where kind = 'file' group by 1, 2), t as (select docket, doc_id, count(*) as texts from e where kind = 'text' group by 1, 2), b as (select * from f full join t using (docket, doc_id)),
+a as (select docket, count(files) as with_file, sum(files) as files, sum(pdfs) as pdfs, sum(texts) as texts, count(texts) as with_text, count(*) filter (files > 0 and texts is null and pdfs > 0) as no_pdf_text, count(*) filter (files > 0 and texts is null and pdfs = 0) as no_other_text, count(*) filter (files is null) as no_file from b group by 1),
+x as (select docket, ext, count(*) as n from e where kind = 'file' group by 1, 2), y as (select docket, string_agg(ext || ':' || n, ' ' order by n desc, ext) as kinds from x group by 1)
+select docket, objects as comment_objects, records as comment_records, newest as mirror_newest_write, objects - records as duplicate_objects, coalesce(documents, 0) as documents, lo, hi, coalesce(holes, 0)::bigint as holes, coalesce(longest, 0) as longest_hole_run, coalesce(in_runs, 0)::bigint as holes_in_runs,
+  coalesce(with_file, 0) as comments_with_attachment, coalesce(files, 0)::bigint as attachment_files, coalesce(pdfs, 0)::bigint as pdf_files, coalesce(texts, 0)::bigint as extracted_text_files, coalesce(with_text, 0) as comments_with_extracted_text,
+  coalesce(no_pdf_text, 0) as unextracted_pdf_comments, coalesce(no_other_text, 0) as unextracted_nonpdf_only_comments, coalesce(no_file, 0) as extracted_without_binary, kinds as attachment_ext_counts, round(coalesce(holes, 0) / (hi - lo + 1), 4)::double as hole_share, round(coalesce(with_file, 0) / greatest(1, records), 4)::double as attachment_rate
+from c left join d using (docket) left join s using (docket) left join h using (docket) left join a using (docket) left join y using (docket)""")
+def coverage_walk(spark, sf):
+    return coverage.walk(_listing(spark, sf))
+
+
+@query("select distinct doc_id from documents where doc_id not in (select doc_id from labels) order by 1 limit 10")
+def first_unlabelled(spark, sf):
+    return coverage.first_missing(table(spark, sf, "labels"), table(spark, sf, "documents"), "doc_id")
+
+
+@query(f"with {KEYED}, r as (select source, count(*) / count(distinct k) as collapse from keyed where source in ('src1', 'src2', 'src3') group by 1) select source, collapse, row_number() over (order by collapse desc, source) as place from r")
+def report_by_collapse(spark, sf):
+    """Named dockets only, in order of collapse; a report has a row a docket."""
+    docs = records.subset(_docs(spark, sf), ["src1", "src2", "src3"], "source")
+    r = docs.select("source", T.exact_key("text").alias("k")).groupBy("source").agg((F.count("*") / F.count_distinct("k")).alias("collapse"))
+    return r.withColumn("place", F.row_number().over(Window.orderBy(F.desc("collapse"), "source")).cast("long"))
+
+
 # All of it together.
 
 
+LADDER_SQL = f"""with recursive {JOINED}, {clean_sql('picked', 'text', 'doc_id, docket, source, n_chars')},
+usable as (select doc_id, docket, n_chars % 7 as dc, text_clean, {CANON.format('text_clean')} as k from cleaned where source <> 'none' and text_clean <> ''),
+members as (select doc_id, docket, dc, text_clean, min(doc_id) over (partition by docket, k) as exact from usable),
+heads as (select doc_id, docket, text_clean from members where doc_id = exact),
+w as (select doc_id, regexp_extract_all({CANON.format('text_clean')}, '[a-z0-9'']+') as w from heads),
+s as (select distinct doc_id, array_to_string(w[i : i + 4], ' ') as s from (select doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) as i from w where len(w) > 0)),
+{signature_sql('s', 'heads', 'docket')},
+e as (select i, j from linked union select j, i from linked), r as (select i as id, i as c from e union select e.j, r.c from r join e on e.i = r.id), single as (select id, min(c) as c from r group by 1),
+rungs as (select docket, exact, coalesce(c, exact) as near, dc from members left join single on id = exact),
+one as (select docket, exact as cluster, count(*) as n from rungs group by 1, 2), two as (select docket, near as cluster, count(*) as n from rungs group by 1, 2),
+x as (select docket, count(*) as exact_clusters, max(n) as exact_largest, sum(n) / count(*) as exact_collapse_vs_records, 100 * (1 - count(*) / sum(n)) as exact_extra_collapse_pct from one group by 1),
+y as (select docket, count(*) as near_single_clusters, max(n) as near_single_largest, sum(n) / count(*) as near_single_collapse_vs_records, 100 * (1 - count(*) / sum(n)) as near_single_extra_collapse_pct from two group by 1),
+t as (select docket, case when bool_or(dc > 0) then sum(case when dc > 0 then dc else 1 end) end::bigint as total, count(*) as records from members group by 1)
+select docket, total, records, exact_clusters, exact_largest, round(exact_collapse_vs_records, 9) as exact_collapse_vs_records, round(exact_extra_collapse_pct, 9) as exact_extra_collapse_pct, near_single_clusters, near_single_largest,
+  round(near_single_collapse_vs_records, 9) as near_single_collapse_vs_records, round(near_single_extra_collapse_pct, 9) as near_single_extra_collapse_pct from t join x using (docket) join y using (docket)"""
+
+
+@query(LADDER_SQL)
+def docket_ladder_single_link(spark, sf):
+    """The ladder's counts, exact and single-link columns, on the cleaned corpus and with all 128 permutations."""
+    out = docket.run(docket.staged(_corpus(spark, sf), "corpus"), "docket")
+    both = [f"{r}_{c}" for r in ("exact", "near_single") for c in ("clusters", "largest", "collapse_vs_records", "extra_collapse_pct")]
+    return out.select("docket", "total", "records", *(F.round(c, 9).alias(c) if c.endswith(("records", "pct")) else F.col(c) for c in both))
+
+
 @query()
 def docket_ladder(spark, sf):
     corpus = docket.staged(_corpus(spark, sf), "corpus")
-    return docket.run(corpus, "docket", _vectors(spark, sf), cosine=COSINE, permutations=32)
+    return docket.run(corpus, "docket", _vectors(spark, sf), cosine=COSINE)
 
 
 @query()

@@ -29,35 +29,52 @@ def funnel(corpus: DataFrame, by: str) -> DataFrame:
 def run(corpus: DataFrame, by: str, vectors: DataFrame | None = None, near: float = JACCARD, cosine: float = COSINE, permutations: int = 128) -> DataFrame:
     """One row a docket with the clusters of each rung. corpus: id, by, text, source, duplicateComments; vectors: id, vec.
 
-    Texts that are equal in canonical form are one point for the near rung: they have equal signatures.
-    Signatures, pairs and linkage run once over all dockets; a docket's prefix in the band key keeps dockets apart.
+    Texts that are equal in canonical form are one point for the near rung, and so are texts of equal signatures.
+    Signatures, pairs and linkage run once over all dockets; a docket's name in the band key keeps dockets apart. With vectors there are
+    the semantic rung, its graph's figures and the margin over the published count. Where components are too large for
+    complete linkage, the rung's linkage says so.
     """
     rows = staged(usable(corpus).select("id", by, "text_clean", "duplicateComments", T.exact_key("text_clean").alias("key")), "usable")
     heads = rows.groupBy(by, "key").agg(F.min("id").alias("head"))
     members = staged(rows.join(heads, [by, "key"]).select("id", by, "head", "duplicateComments"), "members")
     texts = rows.join(members.where("id = head").select("id"), "id").select("id", by, "text_clean")
-    signed = staged(M.portable_signatures(texts, "id", "text_clean", permutations).join(texts.select("id", by), "id"), "signed")
-    banded = M.bands(signed, permutations // 4).join(signed.select("id", by), "id").withColumn("key", F.concat_ws("|", by, "key")).select("band", "key", "id")
-    pairs = staged(M.scored(M.candidates(banded), signed).where(F.col("score") >= near), "pairs")
-    single = connected_components(pairs, "i", "j")
-    complete = linkage.near_clusters(signed.select("id", "sig", F.col("id").alias("same")), pairs, near)
-    ladder = _rung(members.withColumn("cluster_id", F.col("head")), by, "exact")
-    at_head = lambda found, node, cluster: members.join(found.select(F.col(node).alias("head"), F.col(cluster).alias("c")), "head", "left").withColumn("cluster_id", F.coalesce("c", "head"))
-    out = ladder.join(_rung(at_head(single, "node", "component"), by, "near_single"), by).join(_rung(at_head(complete, "id", "cluster_id"), by, "near"), by)
-    loose = complete.join(members.where("id = head").select("id", by), "id").groupBy(by).agg(F.count_distinct(F.when(F.col("linkage") == "single", F.col("cluster_id"))).alias("n"))
-    flag = F.when(F.col("n") == 0, "complete").otherwise(F.format_string("MIXED: %d component(s) beyond the limit of complete linkage", "n"))
-    out = out.join(loose.select(by, flag.alias("linkage")), by, "left")
+    signed = staged(M.portable_signatures(texts, "id", "text_clean", permutations, keep=(by,)), "signed")
+    alike = staged(M.classes(signed, (by,)), "classes")
+    points = staged(signed.join(alike.where("id = head").select("id"), "id"), "points")
+    pairs = staged(M.near_pairs(points, near, permutations // 4, 4, (by,)), "pairs")
+    own = points.select("id", "sig", F.col("id").cast("string").alias("same"))
+    at_head = lambda found: alike.select("id", "head").join(found.withColumnRenamed("id", "head"), "head").select(F.col("id").alias("head"), "cluster_id", "linkage")
+    single = connected_components(pairs, "i", "j").select(F.col("node").alias("id"), F.col("component").alias("cluster_id"))
+    single = points.select("id").join(single, "id", "left").select("id", F.coalesce("cluster_id", "id").alias("cluster_id"), F.lit("single").alias("linkage"))
+    complete = staged(at_head(linkage.near_clusters(own, pairs, near)), "near")
+    out = _rung(members.withColumn("cluster_id", F.col("head")), by, "exact")
+    out = out.join(_rung(members.join(at_head(single), "head"), by, "near_single"), by).join(_rung(members.join(complete, "head"), by, "near"), by)
+    out = out.join(_linkage(members.join(complete, "head"), by, "near_linkage"), by)
+    counts = staged(rows.groupBy(by).agg(*(c.alias(k) for k, c in metrics.submissions("duplicateComments").items())), "counts")
     if vectors is not None:
-        v = vectors.join(rows.select("id", by, "key"), "id").select("id", by, "vec", F.col("key").alias("same"))
-        near_pairs = linkage.cosine_pairs(v.select("id", "vec"), cosine)
-        own = v.select("id", F.col(by).alias("b"))
-        near_pairs = near_pairs.join(own.select(F.col("id").alias("i"), F.col("b").alias("bi")), "i").join(own.select(F.col("id").alias("j"), F.col("b").alias("bj")), "j").where("bi = bj").select("i", "j", "score")
-        semantic = linkage.semantic_clusters(v.select("id", "vec", "same"), near_pairs, cosine)
-        out = out.join(_rung(v.select("id", by).join(semantic, "id"), by, "semantic"), by, "left")
-    counts = rows.groupBy(by).agg(*(c.alias(k) for k, c in metrics.submissions("duplicateComments").items()))
+        v = staged(vectors.join(rows.select("id", by, F.col("key").alias("same"), "duplicateComments"), "id").withColumn("same", F.concat_ws("|", by, "same")), "vectors")
+        near_pairs = staged(linkage.cosine_pairs(v.select("id", "vec", by), cosine, by=by), "cosines")
+        semantic = staged(v.select("id", by, "duplicateComments").join(linkage.semantic_clusters(v.select("id", "vec", "same"), near_pairs, cosine), "id"), "semantic")
+        out = out.join(_rung(semantic, by, "semantic"), by, "left").join(_linkage(semantic, by, "semantic_linkage"), by, "left")
+        out = out.join(linkage.graph_figures(v, near_pairs, by), by, "left")
+        own_counts = semantic.groupBy(by).agg(*(c.alias(k) for k, c in metrics.submissions("duplicateComments").items()), F.count_distinct("cluster_id").alias("clusters"))
+        out = out.join(metrics.margin(own_counts).select(by, *MARGIN), by, "left")
+    out = out.withColumns({"cosine_threshold": F.lit(cosine), "jaccard_threshold": F.lit(near)})
     return funnel(corpus, by).withColumnRenamed("records", "all_records").join(counts, by, "left").join(out, by, "left")
 
 
+MARGIN = ("official_collapse", "additional_collapse", "total_collapse", "official_share")
+
+
 def _rung(members: DataFrame, by: str, name: str) -> DataFrame:
-    stats = members.groupBy(by, "cluster_id").agg(F.count("*").alias("n")).groupBy(by)
-    return stats.agg(F.count("*").alias(f"{name}_clusters"), F.max("n").alias(f"{name}_largest"))
+    """(by, name_...): clusters, the largest one, how far they collapse the records and by what share."""
+    stats = metrics.ladder(metrics.cluster_stats(members, [by]), name)
+    return stats.select(by, *(F.col(c).alias(f"{name}_{to}") for c, to in (("clusters", "clusters"), ("largest_records", "largest"), ("collapse_vs_records", "collapse_vs_records"), ("extra_collapse_pct", "extra_collapse_pct"))))
+
+
+def _linkage(members: DataFrame, by: str, name: str) -> DataFrame:
+    """(by, name): "complete", or how many of the clusters are whole components beyond the limit, and their sizes."""
+    large = members.where("linkage = 'single'").groupBy(by, "cluster_id").agg(F.count("*").alias("n"))
+    sizes = large.groupBy(by).agg(F.count("*").alias("c"), F.sort_array(F.collect_list("n")).cast("string").alias("sizes"))  # few: each has thousands of members
+    flag = F.when(F.col("c").isNull(), "complete").otherwise(F.format_string("MIXED: %d component(s) by single linkage, sizes %s", "c", "sizes"))
+    return members.select(by).distinct().join(sizes, by, "left").select(by, flag.alias(name))

@@ -2,20 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
 
-# The attributes of a record that are kept.
-LONG = ("duplicateComments", "pageCount")
-TEXT = ("comment", "organization", "firstName", "lastName", "city", "stateProvinceRegion", "country", "email", "postedDate", "docketId", "category", "title", "modifyDate", "receiveDate", "govAgency", "subtype")
-RECORD = (
-    "data struct<attributes: struct<" + ", ".join([*(f"{x}: string" for x in TEXT), *(f"{x}: bigint" for x in LONG), "withdrawn: boolean", "documentType: string", "fileFormats: string"])
-    + ">, relationships: struct<attachments: struct<data: array<struct<id: string>>>>>"
-)
-LISTING = "key string, last_modified string"
+# The attributes of a record that are kept, and their types.
+ATTRIBUTES = (
+    ("comment", "string"),
+    ("organization", "string"),
+    ("firstName", "string"),
+    ("lastName", "string"),
+    ("city", "string"),
+    ("stateProvinceRegion", "string"),
+    ("country", "string"),
+    ("email", "string"),
+    ("postedDate", "string"),
+    ("docketId", "string"),
+    ("category", "string"),
+    ("fileFormats", "string"),
+    ("duplicateComments", "bigint"),
+    ("title", "string"),
+    ("documentType", "string"),
+    ("withdrawn", "boolean"),
+    ("modifyDate", "string"),
+    ("receiveDate", "string"),
+    ("pageCount", "bigint"),
+    ("govAgency", "string"),
+    ("subtype", "string"),
+)
+RECORD = "data struct<attributes: struct<" + ", ".join(f"{n}: {t}" for n, t in ATTRIBUTES) + ">, relationships: struct<attachments: struct<data: array<struct<id: string>>>>>"
 PAGE_KEY, PAGE_TOKEN = r"<Key>([^<]*)</Key>", r"<NextContinuationToken>([^<]*)</NextContinuationToken>"
+PAGE_ENTRY = r"(?s)<Contents>(.*?)</Contents>"
+PAGE_TIME = r"<LastModified>([^<]*)</LastModified>"
+
+
+def parsed_entries(pages: DataFrame, xml: str = "xml") -> DataFrame:
+    """(key, last_modified) of every object that an object listing's pages name."""
+    one = pages.select(F.explode(F.regexp_extract_all(xml, F.lit(PAGE_ENTRY), F.lit(1))).alias("e"))
+    return one.select(F.regexp_extract("e", PAGE_KEY, 1).alias("key"), F.regexp_extract("e", PAGE_TIME, 1).alias("last_modified"))
 
 
 def parsed_pages(pages: DataFrame, xml: str = "xml") -> DataFrame:
@@ -33,7 +58,7 @@ def listed(listing: DataFrame, prefix: str, suffix: str | None = None, key: str
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """One row for each record file: id, key, the kept attributes (null where absent), has_attachment."""
     rows = spark.read.schema(RECORD).json(path, multiLine=True).select("*", F.col("_metadata.file_path").alias("_key"))
-    attributes = [F.col(f"data.attributes.{x}").alias(x) for x in (*TEXT, *LONG, "withdrawn", "documentType", "fileFormats")]
+    attributes = [F.col(f"data.attributes.{x}").alias(x) for x, _ in ATTRIBUTES]
     linked = F.coalesce(F.size("data.relationships.attachments.data") > 0, F.lit(False))
     return rows.select(T.comment_id("_key").alias("id"), "_key", *attributes, linked.alias("has_attachment"))
 
@@ -65,19 +90,45 @@ def corpus(records: DataFrame, attachments: DataFrame, unicode: bool = True) ->
     return rows.select("id", F.col("picked.text").alias("text"), F.col("picked.source").alias("source"), F.length("picked.text").cast("long").alias("chars"), "duplicateComments", populated.alias("dc_populated"), *keep, F.size("texts").alias("n_attachments"), F.length(F.coalesce("comment", F.lit(""))).alias("body_chars"))
 
 
-def pair_tasks(sample: DataFrame, texts: DataFrame, excerpt: int = 1200) -> DataFrame:
-    """A sampled pair with both texts' beginnings and an empty label: the labeller sees no machine label."""
-    side = lambda s: texts.select(F.col("id").alias(f"{s}_id"), F.substring("text", 1, excerpt).alias(f"{s}_text"))
-    rows = sample.withColumnsRenamed({"i": "a_id", "j": "b_id"}).join(side("a"), "a_id").join(side("b"), "b_id")
-    return rows.select("band", "score", F.lit("").alias("label"), "a_id", "b_id", "a_text", "b_text")
+def pair_tasks(sample: DataFrame, texts: DataFrame, excerpt: int = 1200, order: str = "rank") -> DataFrame:
+    """A sampled pair (i, j, band, score, order) with a number, both texts' sources, counts and beginnings and an empty label.
+
+    texts: id, text, source, duplicateComments. The labeller sees no machine label. A sample has some 20 rows a band, so it is numbered in one piece.
+    """
+    side = lambda s: texts.select(F.col("id").alias(f"{s}_id"), F.col("source").alias(f"{s}_source"), F.col("duplicateComments").alias(f"{s}_dupes"), F.substring("text", 1, excerpt).alias(f"{s}_text"))
+    number = (F.row_number().over(Window.orderBy("band", order)) - 1).cast("long")
+    rows = sample.withColumn("pair", number).withColumnsRenamed({"i": "a_id", "j": "b_id"}).join(side("a"), "a_id").join(side("b"), "b_id")
+    return rows.select("pair", "band", "score", F.lit("").alias("label"), "a_id", "b_id", "a_source", "b_source", "a_dupes", "b_dupes", "a_text", "b_text")
+
+
+def cluster_tasks(sample: DataFrame, members: DataFrame, per_cluster: int = 3, excerpt: int = 600, order: str = "rank") -> DataFrame:
+    """A sampled cluster (cluster_id, band, size, order) with a number, its first members' beginnings and an empty label."""
+    number = (F.row_number().over(Window.orderBy("band", order)) - 1).cast("long")
+    rows = members.join(sample.select("cluster_id", number.alias("cluster"), "band", "size"), "cluster_id")
+    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("cluster_id").orderBy("id"))).where(F.col("r") <= per_cluster)
+    first = F.array_sort(F.collect_list(F.struct("id", F.substring("text", 1, excerpt).alias("text"))))
+    out = ranked.groupBy("cluster", "cluster_id", "band", "size").agg(first.alias("m"))
+    return out.select("cluster", "cluster_id", "band", "size", F.lit("").alias("label"), F.transform("m", lambda x: x["id"]).alias("member_ids"), F.transform("m", lambda x: x["text"]).alias("members"))
+
+
+def subset(rows: DataFrame, names: list[str], by: str = "docket") -> DataFrame:
+    """The rows of the dockets named, or all where none is."""
+    return rows.where(F.col(by).isin(names)) if names else rows
+
+
+def write_rows(rows: DataFrame, path: str) -> None:
+    """One JSON object a line."""
+    rows.write.mode("overwrite").json(path)
+
+
+def write_clean(rows: DataFrame, path: str, text: str = "text_clean") -> None:
+    """The texts that were clustered: id, text, duplicateComments."""
+    write_rows(rows.select("id", F.col(text).alias("text"), "duplicateComments"), path)
 
 
-def cluster_tasks(sample: DataFrame, members: DataFrame, per_cluster: int = 3, excerpt: int = 600) -> DataFrame:
-    """A sampled cluster with its first members' beginnings and an empty label."""
-    rows = members.join(sample.select("cluster_id", "band", "size"), "cluster_id")
-    first = F.slice(F.array_sort(F.collect_list(F.struct("id", F.substring("text", 1, excerpt).alias("text")))), 1, per_cluster)
-    out = rows.groupBy("cluster_id", "band", "size").agg(first.alias("m"))
-    return out.select("cluster_id", "band", "size", F.lit("").alias("label"), F.transform("m", lambda x: x["id"]).alias("member_ids"), F.transform("m", lambda x: x["text"]).alias("members"))
+def write_vectors(vectors: DataFrame, path: str, vector: str = "vec") -> None:
+    """(id, vec) with 32-bit numbers."""
+    vectors.select("id", F.col(vector).cast("array<float>").alias("vec")).write.mode("overwrite").parquet(path)
 
 
 def write_tasks(tasks: DataFrame, path: str, header: list[str]) -> None:

@@ -1,12 +1,17 @@
+import itertools
+import re
+import unicodedata
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gleanery.functions import minhash as M
 from gleanery.functions import text as T
-from gleanery.operators import embedding, evaluate, linkage, metrics
+from gleanery.operators import coverage, embedding, evaluate, labels, linkage, metrics
 from gleanery.operators.components import connected_components
-from gleanery.sources import records
+from gleanery.plans import docket
+from gleanery.sources import records, store
 from gleanery.streaming import exact
 
 
@@ -118,10 +123,23 @@ def test_encoder_budget_and_batches(spark):
             raise embedding.TooLong
         return np.array([len(text)])
 
-    assert embedding.encode_within("x" * 1000, call)[0] <= 100
+    assert 50 < embedding.encode_within("x" * 1000, call)[0] <= 100
     assert embedding.encode_within("", call)[0] == 1
+    assert [len(x) for x in embedding.beginnings("x" * 1000, 100)][:5] == [400, 200, 100, 64, 64]
     with pytest.raises(embedding.TooLong):
         embedding.encode_within("x" * 1000, lambda t: (_ for _ in ()).throw(embedding.TooLong()))
+    waited, answers = [], iter([ValueError(), ValueError(), np.ones(1)])
+
+    def flaky(text):
+        x = next(answers)
+        if isinstance(x, Exception):
+            raise x
+        return x
+
+    assert embedding.encode_within("a", flaky, sleep=waited.append)[0] == 1 and waited == [2.0, 4.0]
+    with pytest.raises(ValueError):
+        embedding.encode_within("a", lambda t: (_ for _ in ()).throw(ValueError()), sleep=waited.append)
+    assert len(waited) == 2 + embedding.CALLS - 1
     lines = spark.createDataFrame([('{"recordId":"1","modelOutput":{"embedding":[1.0]}}',)], "value string")
     want = spark.createDataFrame([(1,), (2,)], "id long")
     with pytest.raises(Exception, match="no vector for 2"):
@@ -139,6 +157,126 @@ def test_embedding_is_of_unit_length(spark):
     assert all(abs(np.linalg.norm(v) - 1) < 1e-9 for v in got.values()) and len(got) == 2
 
 
+class Call:
+    def __call__(self, text):
+        if len(text) > 300:
+            raise embedding.TooLong
+        return np.array([len(text), 1.0])
+
+
+def test_remote_arms(spark):
+    docs = spark.createDataFrame([(1, "a " * 400), (2, None), (3, " ")], "id long, text string")
+    matched = {r.id: r.vec for r in embedding.embedded(docs, "id", "text", Fake, skip_blank=True).collect()}
+    assert abs(np.linalg.norm(matched[1]) - 1) < 1e-9 and not any(matched[2]) and not any(matched[3])
+    whole = {r.id: r.vec for r in embedding.embedded_whole(docs, "id", "text", Call, tokens=300).collect()}
+    assert whole[1] == pytest.approx([300 / np.hypot(300, 1), 1 / np.hypot(300, 1)]) and whole[2] == whole[3] == pytest.approx([0.5**0.5, 0.5**0.5])
+
+
+def test_large_buckets_are_paired_exactly(spark):
+    draw = np.random.default_rng(3)
+    base = draw.integers(0, 100, 32)
+    rows = []
+    for i in range(120):
+        sig = base.copy()
+        sig[draw.choice(np.arange(4, 32), int(draw.integers(1, 18)), replace=False)] = 1000 + i
+        rows.append((i, sig.tolist(), "x" if i % 2 else "y"))
+    signed = spark.createDataFrame(rows, "id long, sig array<long>, by string")
+    like = lambda a, b: (np.array(a) == np.array(b)).mean()
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[2] == b[2] and like(a[1], b[1]) >= 0.6}
+    for largest in (7, 200):
+        got = M.near_pairs(signed, 0.6, 8, 4, ("by",), largest).collect()
+        assert {(r.i, r.j) for r in got} == want and len(got) == len(want) and want
+
+
+def test_gaps_over_ranges(spark):
+    numbers = [0, 1, 9, 10, 11, 25, 61, 62, 100]
+    rows = spark.createDataFrame([(n,) for n in numbers], "n long")
+    want = {(a + 1, b - 1) for a, b in itertools.pairwise(numbers) if b > a + 1}
+    for width in (10, 1 << 20):
+        assert {(r.first_missing, r.last_missing) for r in coverage.gaps(rows, "n", width=width).collect()} == want
+
+
+def test_store_and_cache(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "root"))
+    assert s.names() == [] and not s.exists("a/b")
+    s.put("a/b", b"one")
+    s.put("a/b", b"two")
+    (tmp_path / "local").write_bytes(b"three")
+    s.upload(str(tmp_path / "local"), "a/c")
+    assert s.get("a/b") == b"two" and s.get("a/c") == b"three" and s.names() == ["a/b", "a/c"] and s.names("a") == ["a/b", "a/c"]
+    assert s.uri("a/b").endswith("root/a/b")
+    calls = []
+    fetch = lambda: calls.append(1) or "the rule"
+    assert store.fetched_once(s, "rule.txt", fetch) == store.fetched_once(s, "rule.txt", fetch) == "the rule" and len(calls) == 1
+
+
+def test_sinks_and_labels(spark, tmp_path):
+    at = lambda x: str(tmp_path / x)
+    rows = spark.createDataFrame([(1, "a", 2, [0.5, 1.0])], "id long, text_clean string, duplicateComments long, vec array<double>")
+    records.write_clean(rows, at("clean"))
+    assert [tuple(r) for r in spark.read.json(at("clean")).select("id", "text", "duplicateComments").collect()] == [(1, "a", 2)]
+    records.write_vectors(rows, at("vectors"))
+    assert spark.read.parquet(at("vectors")).first().vec == [0.5, 1.0]
+    (tmp_path / "labels.json").write_text('{"0": "same", "1": "unusable", "2": "distinct"}')
+    read = records.read_labels(spark, at("labels.json")).withColumnRenamed("pair_id", "pair")
+    sample = spark.createDataFrame([("0", 0.9), ("1", 0.8), ("2", 0.7), ("3", 0.6)], "pair string, score double")
+    got = {r.pair: (r.label, r.positive) for r in labels.labelled(read, sample).collect()}
+    assert got == {"0": ("same", True), "2": ("distinct", False)}
+    tasks = spark.createDataFrame([(0, "same")], "pair long, label string")
+    records.write_tasks(tasks, at("tasks"), ["choose one", "or none"])
+    (tmp_path / "both.jsonl").write_text("# choose one\n#\n" + '{"pair": 0, "label": "same"}\n\n')
+    assert [tuple(r) for r in records.read_tasks(spark, at("both.jsonl"), "pair long, label string").collect()] == [(0, "same")]
+    assert spark.read.text(at("tasks-header")).count() == 2
+
+
+def test_merge_predicates_and_bundles(spark):
+    rows = spark.createDataFrame([("k", "k", [1, 2, 3, 4], [1, 2, 3, 9], [0.6, 0.8], [0.8, 0.6])], "a string, b string, s array<long>, t array<long>, u array<double>, v array<double>")
+    pick = lambda rung, a, b, t=None: rows.select(labels.merges(rung, F.col(a), F.col(b), t).alias("x")).first().x
+    assert pick("exact", "a", "b") and pick("near", "s", "t", 0.75) and not pick("near", "s", "t", 0.76)
+    assert pick("semantic", "u", "v", 0.95) and not pick("semantic", "u", "v", 0.97)
+    with pytest.raises(ValueError):
+        pick("other", "a", "b")
+    letters = lambda t: one(spark, T.bundled("t", 10), t=t)
+    assert letters("Dear Sir, no. " * 5) == 5 and letters("") == 0 and letters("short") == 1
+
+
+def test_prefixes_and_ids(spark):
+    assert one(spark, T.listing_prefix("comments", F.lit("D-1"), F.lit("A")), t="") == "raw-data/A/D-1/text-D-1/comments/"
+    assert one(spark, T.listing_prefix("attachments", F.lit("D-1"), F.lit("A")), t="") == "raw-data/A/D-1/binary-D-1/comments_attachments/"
+    assert "pdfminer" in one(spark, T.listing_prefix("extracted", F.lit("D-1"), F.lit("A")), t="")
+    assert one(spark, T.any_comment_id("t"), t="x/ABC-2020-0001-0002 (3).json") == "ABC-2020-0001-0002" and one(spark, T.any_comment_id("t"), t="nothing") is None
+
+
+def test_nfkc_only_where_it_changes(spark):
+    texts = ["plain", "d\u00e9j\u00e0", "e\u0301", "\ufb01n \u00bd \u2460", "\u00a0x\u00aa", "\u0153uvre", None, ""]
+    rows = spark.createDataFrame([(x,) for x in texts], "t string")
+    got = [r.x for r in rows.select(T.nfkc(F.col("t")).alias("x")).collect()]
+    assert got == [x and unicodedata.normalize("NFKC", x) for x in texts]
+    assert all(unicodedata.normalize("NFKC", chr(c)) == chr(c) for c in range(256) if not re.search(T.COMPOSED, chr(c)))
+
+
+def test_whole_components_are_flagged_in_the_ladder(spark, monkeypatch):
+    rows = [(i, "d", f"text number {i} " + "same words in every one of these texts " * 3, "body", 0) for i in range(6)]
+    corpus = spark.createDataFrame(rows, "id long, docket string, text string, source string, duplicateComments long")
+    vectors = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(6)], "id long, vec array<double>")
+    out = docket.run(corpus, "docket", vectors).first()
+    assert (out.semantic_linkage, out.edges, out.components, out.oversized, out.semantic_clusters) == ("complete", 15, 1, [], 1)
+    assert out.cosine_threshold == docket.COSINE and out.official_share is None and out.additional_collapse == 6
+    monkeypatch.setattr(linkage.semantic_clusters, "__defaults__", (3,))
+    flagged = docket.run(corpus, "docket", vectors).first()
+    assert flagged.semantic_linkage == "MIXED: 1 component(s) by single linkage, sizes [6]"
+
+
+def test_stream_windows(spark, tmp_path):
+    rows = [("2020-01-01 00:00:00", "A  b"), ("2020-01-01 00:01:00", "a b"), ("2020-01-01 00:02:00", "c"), ("2020-01-01 05:00:00", "late")]
+    spark.createDataFrame(rows, "ts string, text string").selectExpr("cast(ts as timestamp) ts", "text").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp, text string").parquet(str(tmp_path / "in"))
+    q = exact.collapse_by_window(stream, "ts", "text").writeStream.format("memory").queryName("windows").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    assert [(r.records, r.distinct) for r in spark.table("windows").collect()] == [(3, 2)]
+
+
 def test_stream_keeps_the_first_of_each(spark, tmp_path):
     rows = [("2020-01-01 00:00:00", "A  b"), ("2020-01-01 00:01:00", "a b"), ("2020-01-01 00:02:00", "c")]
     spark.createDataFrame(rows, "ts string, text string").selectExpr("cast(ts as timestamp) ts", "text").write.parquet(str(tmp_path / "in"))
