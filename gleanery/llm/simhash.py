@@ -189,7 +189,7 @@ def fingerprint_links(distinct: DataFrame, distance: int = 4, blocks: int | None
 
     out = dealt.select("fp", "key")
     if many:
-        finer = dealt.join(crowded, ["number", "key"], "left_semi").mapInArrow(again, "fp long, key long")
+        finer = dealt.join(crowded, ["number", "key"], "left_semi").select("fp", "number", "key").mapInArrow(again, "fp long, key long")
         out = dealt.join(crowded, ["number", "key"], "left_anti").select("fp", "key").unionByName(finer)
     parts = max(12, -(-n * len(tables) // rows_a_task))
 

@@ -20,6 +20,53 @@ def test_packing_round_trip(spark, odd, none):
     assert token_packing.packed(odd).selectExpr("explode(doc_ids) i").where("i is null").count() == 2
 
 
+def plain_ids(text):
+    with open(token_packing.VOCABULARY, "rb") as f:
+        return token_packing.encoding(f.read()).encode_ordinary(text)
+
+
+def test_long_runs_are_tokenized_alike():
+    with open(token_packing.VOCABULARY, "rb") as f:
+        enc = token_packing.encoding(f.read())
+    for text in ("a" + " " * 2500 + "b", "a" + "\n" * 1200, " " * 1500 + "x y", "q\t \n" * 600 + " z", "x" * 3000 + " " * 1001 + "\n" + " " * 999):
+        assert token_packing.token_ids(enc, text) == plain_ids(text)
+    for text in (" " * 1_000_000 + "x", "ab" * 500_000):  # too long for the pattern's matcher, or one word of a megabyte
+        assert enc.decode(token_packing.token_ids(enc, text)) == text
+
+
+def test_packed_rows_are_those_of_the_plain_form_however_the_table_is_read(spark, odd):
+    want, width = Counter(), 64
+    for r in odd.collect():
+        ids = [*plain_ids(r.text or ""), 50256]
+        for a in range(0, len(ids), width):
+            want[r.doc_id, a, tuple(ids[a : a + width])] += 1
+    runs = []
+    for docs in (odd, odd.repartition(7, "source")):
+        rows = token_packing.packed(docs, row=width, shard_tokens=2000).collect()
+        got = Counter()
+        for r in rows:
+            ids = struct.unpack(f"<{width}H", r.ids)
+            for k, (doc, start) in enumerate(zip(r.doc_ids, r.piece_starts, strict=True)):
+                got[doc, start, ids[r.cu_seqlens[k] : r.cu_seqlens[k + 1]]] += 1
+            assert set(ids[r.n_tokens :]) <= {50256}
+        assert got == want
+        shards = {}
+        for r in rows:
+            shards.setdefault(r.row_id >> 33, []).append(r)
+        for shard in shards.values():  # each is packed as the plain form of best fit packs its pieces
+            sizes = sorted((b - a for r in shard for a, b in zip(r.cu_seqlens, r.cu_seqlens[1:], strict=False)), reverse=True)
+            room = []
+            for n in sizes:
+                k = min((k for k, x in enumerate(room) if x >= n), key=lambda k: room[k], default=None)
+                if k is None:
+                    room.append(width - n)
+                else:
+                    room[k] -= n
+            assert sorted(room) == sorted(width - r.n_tokens for r in shard)
+        runs.append(sorted(map(repr, rows)))
+    assert runs[0] == runs[1]
+
+
 def test_best_fit():
     sizes = [5, 4, 3, 3, 2, 2, 1, 8, 8]
     rows = token_packing.best_fit(sizes, 8)
@@ -36,14 +83,31 @@ def test_best_fit():
 
 
 def test_media_of_texts(odd, none):
-    for r in media.read_back(media.stored(odd)).collect():
-        text = {x.doc_id: x.text for x in odd.collect()}[r.doc_id] if r.doc_id is not None else None
-        if r.doc_id is not None:
-            raw = (text or "").encode()
-            want = raw + b"\0" * (-len(raw) % 64 or (0 if raw else 64))
-            assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-64:]))
-            assert r.media_type == "audio/wav" and r.media_bytes == len(want) + 44
-    assert media.read_back(media.stored(none)).count() == 0
+    got = Counter(tuple(r) for r in media.round_trip(odd).collect())
+    want = Counter()
+    for x in odd.collect():
+        raw = (x.text or "").encode()
+        data = raw + b"\0" * (-len(raw) % 64 or (0 if raw else 64))
+        steps = [abs(a - b) for a, b in zip(data, data[1:], strict=False)]
+        cross = sum((a >= 128) != (b >= 128) for a, b in zip(data, data[1:], strict=False))
+        feature = f"wav8:n={len(data)};sum={sum(data)};sq={sum(b * b for b in data)};cross={cross};step={max(steps)}"
+        file = b"RIFF" + struct.pack("<I", 36 + len(data)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 8000, 8000, 1, 8) + b"data" + struct.pack("<I", len(data)) + data
+        found = media.sniff(file)
+        sha = lambda d: hashlib.sha256(d).hexdigest()
+        want[x.doc_id, len(raw), len(data), sha(data), zlib.crc32(data[-64:]), len(file), sha(file), feature, "audio/wav", len(found)] += 1
+    assert got == want
+    assert media.round_trip(none).count() == 0
+
+
+def test_webp_kinds_and_riff():
+    def riff(form, *kinds):
+        body = form + b"".join(k + struct.pack("<I", 3) + b"abc\0" for k in kinds)
+        return b"RIFF" + struct.pack("<I", len(body)) + body
+
+    for kinds in ((b"VP8 ",), (b"VP8L",), (b"VP8X", b"ANIM", b"ANMF"), (b"VP8X", b"ALPH", b"VP8 ")):
+        assert media.sniff(riff(b"WEBP", *kinds)) == [("image/webp", 0, len(riff(b"WEBP", *kinds)))]
+    assert media.sniff(riff(b"WEBP", b"ICCP")) == [] and media.sniff(riff(b"WAVE", b"fmt ")) == [] and media.sniff(riff(b"WAVE", b"data")) == []
+    assert media.sniff(riff(b"WAVE", b"fmt ", b"LIST", b"data"))[0][0] == "audio/wav"
 
 
 def png(data=b"x"):
