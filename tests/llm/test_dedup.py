@@ -4,8 +4,10 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from gleanery.llm import byte_dedup, simhash, substring_dedup, suffix_array
+from gleanery.llm import common as C
 
 
 def texts(docs):
@@ -97,9 +99,102 @@ def brute_components(docs, width=4, distance=4):
         yield i, f"{prints[k]:016x}", min(ids, default=None)
 
 
-def test_simhash(odd, none):
-    same(simhash.near_duplicates(odd), brute_components(odd))
+def test_simhash(odd, none, monkeypatch):
+    want = list(brute_components(odd))
+    same(simhash.near_duplicates(odd), want)
     assert simhash.near_duplicates(none).count() == 0
+    monkeypatch.setattr(simhash, "LARGE", 1)  # every bucket is dealt again
+    same(simhash.near_duplicates(odd), want)
+
+
+def test_crowded_buckets_lose_no_link(spark, monkeypatch):
+    draw = np.random.default_rng(15)
+    base = [int(x) for x in draw.integers(0, 2**63, 4)]
+    fp = {b ^ sum(1 << int(k) for k in draw.choice(64, int(draw.integers(0, 6)), replace=False)) for b in base for _ in range(60)}
+    fp = np.array(sorted(fp), np.uint64)
+    rows = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long")
+    root = np.arange(len(fp))
+    near = np.bitwise_count(fp[:, None] ^ fp) <= 4
+    for _ in range(len(fp)):
+        root = np.where(near, root[None, :], len(fp)).min(axis=1)
+    for large in (3, 4096):
+        monkeypatch.setattr(simhash, "LARGE", large)
+        found = {r.node: r.component for r in simhash.connected_components(simhash.fingerprint_links(rows), "a", "b").collect()}
+        names = [found.get(int(x), int(x)) for x in fp.view(np.int64)]
+        assert len(set(zip(names, root.tolist(), strict=True))) == len(set(names)) == len(set(root.tolist()))
+
+
+def test_majorities():
+    draw = np.random.default_rng(9)
+    sizes = [1, 2, 3, 254, 255, 256, 600, 1021]
+    h = draw.integers(0, 2**64, sum(sizes), np.uint64)
+    starts = np.cumsum(sizes) - sizes
+    got = C.majorities(h, starts, 2)
+    for k, (a, n) in enumerate(zip(starts.tolist(), sizes, strict=True)):
+        for w, x in enumerate((h[a : a + n], C.mixed(h[a : a + n] + np.uint64(1)))):
+            assert int(got[k, w]) == sum(1 << b for b in range(64) if 2 * sum(int(v) >> b & 1 for v in x) > n)
+
+
+def test_spreading_join_is_a_join(spark):
+    rows = spark.createDataFrame([(i, None if i % 11 == 0 else "hot" if i % 3 else f"k{i % 20}") for i in range(300)], "i long, key string")
+    named = rows.where("key is not null and key <> 'k4'").groupBy("key").agg(F.min("i").alias("least"), F.max("i").alias("most"), F.count("*").alias("n"))
+    for share in (3, 1000):
+        for how in ("inner", "left"):
+            got = C.joined_spreading(rows, named, "key", how=how, share=share).collect()
+            want = rows.join(named.drop("n"), "key", how).select("i", "key", "least", "most").collect()
+            assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_shingle_sets_and_recall_of_bands():
+    draw = np.random.default_rng(12)
+    pool = np.array([f"w{i}" for i in range(5000)])
+    texts = [b"", b"  ", b"one Two", b"one two three four five", b"A b C d e f a b c d e F"]
+    sets = simhash.shingle_sets(texts, 5)
+    assert [len(x) for x in sets] == [0, 0, 1, 1, len(shingles_of("a b c d e f a b c d e f"))]
+    assert simhash.shingle_sets([b"one two"], 5)[0].tolist() == sets[2].tolist()
+    met = tried = 0
+    for _ in range(300):  # pairs of similarity just over 0.8: a share of 0.9996 is expected
+        a = draw.choice(pool, 400).astype(object)
+        b = a.copy()
+        b[100:139] = "changed"
+        x, y = simhash.shingle_sets([" ".join(t).encode() for t in (a, b)], 5)
+        like = len(np.intersect1d(x, y)) / len(np.union1d(x, y))
+        if like >= 0.8:
+            keys = simhash.band_keys(np.concatenate([x, y]), np.array([0, len(x)]))
+            tried, met = tried + 1, met + bool((keys[0] == keys[1]).any())
+    assert tried > 250 and met >= tried - 2
+
+
+def test_rows_that_differ_elsewhere_have_a_defined_choice(spark):
+    rows = [(1, "one two three four five six", x, None) for x in ("c", "a", "b")] + [(2, "seven eight nine ten eleven", "z", "q"), (None, None, "n", None), (None, "", "m", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, __n string")
+    for parts in (1, 5):
+        got = {tuple(r) for r in simhash.one_of_each(docs.repartition(parts)).collect()}
+        assert got == {(1, rows[0][1], "a", None), rows[3], (None, None, "n", None)}  # JSON leaves the null text out
+
+
+def test_sketches_never_underestimate():
+    draw = np.random.default_rng(4)
+    keys = [np.sort(draw.choice(draw.integers(0, 1 << 32, 400, np.uint64), 300)) for _ in range(5)]
+    keys[3] = np.sort(np.concatenate([keys[0][:50], keys[3]]))
+    total = Counter(k for block in keys for k in block.tolist())
+    replies = substring_dedup._merge_sketches([substring_dedup._sketch(k) for k in keys])
+    passed = 0
+    for block, reply in zip(keys, replies, strict=True):
+        at, flag = 0, np.ones(len(block), bool)
+        for cells, place, _ in substring_dedup._cells(block):
+            size = -(-len(cells) // 8)
+            flag &= np.unpackbits(np.frombuffer(reply, np.uint8, size, offset=at), count=len(cells)).astype(bool)[place]
+            at += size
+        assert at == len(reply) and all(flag[i] for i, k in enumerate(block.tolist()) if total[k] > 1)
+        passed += int(sum(flag[i] for i, k in enumerate(block.tolist()) if total[k] == 1))
+    assert passed < 3
+
+
+def test_blocks_of_shuffled_input(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(80)
+    shuffled = docs.repartition(6, "source").sortWithinPartitions("n_chars")
+    same(substring_dedup.remove_repeats(shuffled, digest=True), words_left(docs))
 
 
 def test_bucket_walk_links_all():
