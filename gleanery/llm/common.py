@@ -11,6 +11,8 @@ again and their numbers hold whatever is lost or run twice: only questions and a
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -24,6 +26,11 @@ from pyspark.sql import functions as F
 
 from gleanery.session import shared_dir
 
+# Workers live through many stages: what one of them needed at most goes back to the system at once, not when the worker ends.
+pa.set_memory_pool(pa.system_memory_pool())
+with contextlib.suppress(OSError, AttributeError):  # where there is a GNU C library: arrays of over 4 MB are mapped singly
+    ctypes.CDLL(None).mallopt(-3, 4 << 20)
+
 #: Stands for a null id inside arrays; it sorts after every id.
 NO_ID = np.iinfo(np.int64).max
 BLOCK_BYTES = 1 << 20

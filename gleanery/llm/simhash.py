@@ -225,7 +225,7 @@ BANDS, ROWS = 20, 5
 NAMES = [f"w{i}" for i in range(WORDS)]
 WIDE_SCHEMA = "doc_id long, sha binary, node long, shingles array<int>, keys array<long>, " + ", ".join(f"{x} long" for x in NAMES)
 #: Bytes of text that are hashed together.
-TEXT_BYTES = 1 << 20
+TEXT_BYTES = 1 << 19
 #: Sets smaller than this have too few shingles for the deviations of their fingerprints to be known.
 FEW = 64
 #: Shingles in a block of the nodes of large buckets.
@@ -439,7 +439,7 @@ def _grouped(prints: DataFrame, nodes: DataFrame, similarity: float) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["a", "b", "d"])
 
     told = met.where(F.col("many") <= SMALL).select("key", "node").join(known, "node")
-    pairs = told.repartition(max(12, -(-met.count() // 150_000)), "key").mapInArrow(link, "a long, b long, d long")
+    pairs = told.repartition(max(12, -(-met.count() // 50_000)), "key").mapInArrow(link, "a long, b long, d long")
     # members of larger buckets first meet their bucket's pivot alone
     star = met.where((F.col("many") > SMALL) & (F.col("node") != F.col("pivot"))).select("node", "pivot").distinct()
     other = known.select(F.col("node").alias("pivot"), F.col("n").alias("m"), *(F.col(x).alias(f"p{x}") for x in NAMES))

@@ -1,9 +1,12 @@
+import zlib
+from collections import Counter
+
 import numpy as np
 import pytest
 from compare import database, rows
 
 import corpus_pipeline
-from gleanery.llm import decontamination, link_graph, mixing, quality_cnn, registry
+from gleanery.llm import decontamination, link_graph, mixing, quality_cnn, registry, token_packing
 from gleanery.session import table
 
 
@@ -53,6 +56,48 @@ def test_mix_is_near_its_targets(spark, sf, odd, none):
     assert whole.columns == odd.columns and whole.count() > 0 and mixing.mixed_documents(none).count() == 0
 
 
+def test_taken_words_are_those_of_the_plain_form(spark, odd):
+    base = spark.createDataFrame([(k, " ".join(f"w{k}x{i}" for i in range(40 + 97 * k % 1500)), "abc"[k % 3]) for k in range(60)], "doc_id long, text string, source string")
+    docs = base.unionByName(odd.select("doc_id", "text", "source")).unionByName(base.where("doc_id = 5"))
+    block, seed = mixing.BLOCK_WORDS, 17
+    dealt = mixing._dealt(docs, (3, 1, 2), 1.5, 2, seed, "doc_id", "text", "source", ()).collect()
+    want = Counter()
+    for shard in {r.shard for r in dealt}:
+        rows = [r for r in dealt if r.shard == shard]
+        runs = {}
+        for r in sorted(rows, key=lambda r: (r.source is None, r.source or "", r.order, 1 << 62 if r.id is None else r.id, r.size)):
+            runs.setdefault((r.source is None, r.source or ""), []).append(r)
+        runs = {k: v for k, v in runs.items() if sum(r.size for r in v)}
+        total = {k: sum(r.size for r in v) for k, v in runs.items()}
+        target = {k: v[0].target * total[k] / v[0].source_size for k, v in runs.items()}
+        given, most = dict.fromkeys(runs, 0), {k: 2 * -(-total[k] // block) for k in runs}
+        for _ in range(min(round(sum(target.values()) / block), sum(most.values()))):
+            best = max((k for k in runs if given[k] < most[k]), key=lambda k: (target[k] / (2 * given[k] + 1), [-ord(c) for c in k[1]]))
+            given[best] += 1
+        for k, v in runs.items():
+            n, rng = -(-total[k] // block), np.random.default_rng([seed, shard, int(k[0]), zlib.crc32(k[1].encode())])
+            often = np.zeros(total[k], int)  # how often each word of the run is taken
+            if v[0].target < mixing.LEAST_BLOCKS * block:
+                words = min(round(target[k]), 2 * total[k])
+                often += words // total[k]
+                rest = words % total[k]
+                for b in rng.permutation(n).tolist():
+                    own = min(rest, min(total[k], (b + 1) * block) - b * block)
+                    often[b * block : b * block + own] += 1
+                    rest -= own
+            else:
+                for b, extra in enumerate(np.isin(np.arange(n), rng.permutation(n)[: given[k] % n])):
+                    often[b * block : (b + 1) * block] += given[k] // n + extra
+            at = 0
+            for r in v:
+                want[r.id, r.source, r.size, int(often[at : at + r.size].sum())] += 1
+                at += r.size
+        for r in rows:
+            if (r.source is None, r.source or "") not in runs:
+                want[r.id, r.source, r.size, 0] += 1
+    assert Counter((r.doc_id, r.source, r.size, r.taken) for r in mixing.mixed(docs).collect()) == want
+
+
 def test_small_source_leaves_the_others_in_long_runs(spark):
     text = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
     docs = [(k, text(k, 3000), "large") for k in range(40)] + [(100, text(100, 15), "tiny"), (101, text(101, 700), "small"), (102, text(102, 5000), "zero")]
@@ -114,6 +159,53 @@ def test_quotes_across_cuts_are_found(spark):
         assert got == {(k, k) for k in range(len(quotes))}
 
 
+def test_retrieval_against_all_passages(spark, sf):
+    """Paraphrases of many items put into documents: what the exact checks alone find is what the query finds."""
+    draw = np.random.default_rng(5)
+    docs = [(r.doc_id, (r.text or "").split()) for r in table(spark, sf, "documents").collect()]
+    vocabulary = [w for _, words in docs for w in words]
+    items = [(r.item_id, r.text) for r in table(spark, "/root/testdata/sf0.1", "benchmark").collect()]
+    items += [(10_000 + k, " ".join(draw.choice(vocabulary, int(draw.integers(20, 60))))) for k in range(900)]
+    out = []
+    for k, (i, words) in enumerate(docs):
+        item = items[int(draw.integers(len(items)))][1].split()
+        kept = [w if draw.random() > 0.2 else vocabulary[int(draw.integers(len(vocabulary)))] for w in item]
+        at = int(draw.integers(len(words) + 1))
+        out.append((i, " ".join(words[:at] + (kept if k % 2 else []) + words[at:])))
+    pieces = [(i, *p) for i, t in items for p in decontamination.pieces_of(decontamination.words_of(t))]
+    assert len(pieces) > decontamination.BLOCK_PIECES
+    q, want = decontamination.Queries(pieces), set()
+    for i, text in out:
+        words = decontamination.words_of(text)
+        for at in range(0, len(words), decontamination.HALF):
+            near = words[max(0, at - decontamination.MARGIN) : at + decontamination.PASSAGE + decontamination.MARGIN]
+            distinct = set(near)
+            want |= {(i, q.items[k]) for k in range(len(pieces)) if decontamination._checked(q, k, near, distinct, 0.0)}
+    df, bench = spark.createDataFrame(out, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(df, bench).collect()}
+    assert len(want) > 80 and got <= want and len(got) >= 0.97 * len(want)
+    clean = {r.doc_id for r in decontamination.cleaned(df, bench).collect()}
+    assert clean == {i for i, _ in out} - {i for i, _ in got}
+
+
+def test_rows_are_cleaned_each_by_its_own_text(spark):
+    item = " ".join(f"word{i}" for i in range(40))
+    rows = [(None, f"before it {item} after it"), (None, "a clean text"), (None, None), (1, ""), (1, item), (1, "clean too")]
+    docs = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, cosine string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert sorted(map(repr, decontamination.cleaned(docs, bench).collect())) == sorted(map(repr, docs.where("text is null or text not like '%word3%'").collect()))
+    assert decontamination.cleaned(docs, bench.limit(0)).count() == 6 and decontamination.cleaned(docs.limit(0), bench).count() == 0
+
+
+def test_conflicting_labels_teach_nothing(spark):
+    docs = spark.createDataFrame([(i, ("good words " if i % 2 else "#### ") * 50) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    turned = labels.unionByName(labels.withColumn("quality", 1 - labels.quality).where("doc_id > 40")).unionByName(labels.where("doc_id < 9"))
+    plain = {r.doc_id: r.score for r in quality_cnn.classified(docs, labels.where("doc_id <= 40")).collect()}
+    assert plain == {r.doc_id: r.score for r in quality_cnn.classified(docs, turned).collect()}
+    assert all((s >= 0.7) == (i % 2 == 1) for i, s in plain.items())
+
+
 def test_lcs():
     draw = np.random.default_rng(6)
     for _ in range(50):
@@ -163,10 +255,58 @@ def test_network_gradients():
         assert grads[k][at] == pytest.approx((up - down) / (2 * eps), rel=0.05, abs=1e-4)
 
 
-def test_pipeline(spark, sf):
+def test_pipeline_stages_do_what_they_say(spark, sf):
+    """Each stage of the pipeline over its predecessor's rows against a plain form of what it promises."""
     docs = table(spark, sf, "documents")
-    n, want = docs.count(), docs.columns
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = corpus_pipeline.staged(stage(spark, docs, sf), "stage")
-        assert docs.columns == want and (docs.count() <= n or name.startswith("mixing"))
-    assert corpus_pipeline.run(spark, sf).count() > 0
+    columns, stages = docs.columns, dict(corpus_pipeline.STAGES)
+    network = quality_cnn.trained(docs, table(spark, sf, "labels"))
+    kept = corpus_pipeline.staged(stages["quality classifier"](spark, docs, sf), "one")
+
+    def score(text):
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        return network.scores(raw, np.array([0, len(raw)]))[0]
+
+    assert kept.columns == columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in docs.collect() if score(r.text) >= 0.7}
+
+    single = corpus_pipeline.staged(stages["SimHash near-dedup"](spark, kept, sf), "two")
+    rows = sorted(kept.collect(), key=lambda r: r.doc_id)
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in ((r.text or "").encode().lower().split() for r in rows)]
+    root = list(range(len(rows)))
+    near = [[j for j in range(len(rows)) if sets[i] == sets[j] or sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])] for i in range(len(rows))]
+    for _ in rows:
+        root = [min(root[j] for j in near[i]) for i in range(len(rows))]
+    assert single.columns == columns and sorted(r.doc_id for r in single.collect()) == [rows[i].doc_id for i in sorted(set(root))]
+
+    clean = corpus_pipeline.staged(stages["benchmark decontamination"](spark, single, sf), "three")
+    pieces = [(r.item_id, *p) for r in table(spark, sf, "benchmark").collect() for p in decontamination.pieces_of(decontamination.words_of(r.text))]
+    q = decontamination.Queries(pieces)
+
+    def holds(text):
+        words = decontamination.words_of(text)
+        spans = [words[max(0, at - decontamination.MARGIN) : at + decontamination.PASSAGE + decontamination.MARGIN] for at in range(0, len(words), decontamination.HALF)]
+        return any(decontamination._checked(q, k, near, set(near), 0.0) for near in spans for k in range(len(pieces)))
+
+    assert clean.columns == columns and {r.doc_id for r in clean.collect()} == {r.doc_id for r in single.collect() if not holds(r.text)}
+
+    mixed = corpus_pipeline.staged(stages["mixing to target weights"](spark, clean, sf), "four")
+    taken = {r.doc_id: r for r in mixing.mixed(clean).collect()}
+    words, source = Counter(), {r.doc_id: (r.text or "").split() for r in clean.collect()}
+    for r in mixed.collect():
+        own = r.text.split()
+        words[r.doc_id] += len(own)
+        assert Counter(own) <= Counter(source[r.doc_id]) and r.n_chars == len(r.text)
+    assert mixed.columns == columns and {i: n for i, n in words.items() if n} == {i: r.taken for i, r in taken.items() if r.taken}
+
+    packed = corpus_pipeline.staged(stages["token-ID output"](spark, mixed, sf), "five")
+    total = sum(r.n_tokens for r in packed.collect())
+    with open(token_packing.VOCABULARY, "rb") as f:
+        enc = token_packing.encoding(f.read())
+    assert total == sum(len(enc.encode_ordinary(r.text)) + 1 for r in mixed.collect())
+    assert corpus_pipeline.run(spark, sf).selectExpr("sum(n_tokens)").first()[0] == total
+
+
+def test_pipeline_stages_take_odd_rows(spark, sf, odd, none):
+    for name, stage in corpus_pipeline.STAGES:
+        out = corpus_pipeline.staged(stage(spark, odd, sf), "odd")
+        assert out.count() > 0 and (out.columns == odd.columns or name == "token-ID output")
+        assert stage(spark, none, sf).count() == 0
