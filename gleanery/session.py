@@ -70,5 +70,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     session hasn't set a size, they are made smaller.
     """
     if spark.conf.get(BATCH_ROWS) == "10000":
-        spark.conf.set(BATCH_ROWS, "2000")
+        spark.conf.set(BATCH_ROWS, "1000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
