@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleanery.session import staged
+
 
 def confusion(rows: DataFrame, positive: Column, predicted: Column) -> DataFrame:
     """tp, fp, fn, tn, precision, recall, f1; a ratio without a denominator is null, and so is f1 without both or with a zero."""
@@ -33,19 +41,115 @@ def draw(repeat: Column, place: Column, n: Column, seed: int) -> Column:
     return F.conv(F.substring(h, 1, 7), 16, 10).cast("long") % n
 
 
+#: Draws of a task, about, and draws that are hashed together: their numbers stay in a core's cache.
+TASK_DRAWS, TOGETHER = 1 << 21, 1 << 14
+#: Labels in a row of packed ones.
+PACKED = 1 << 20
+_SHIFTS = [s for four in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for s in four * 4]
+_SINES = [np.uint32(int(abs(math.sin(i + 1)) * 2**32)) for i in range(64)]
+
+
+def _first_word(m: list[np.ndarray]) -> np.ndarray:
+    """The first 32 bits of MD5 sums of messages of one block, given as its 16 words; their shapes are broadcast."""
+    a, b, c, d = (np.full((1, 1), x, np.uint32) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476))
+    start = a
+    for i in range(61):  # the last three of 64 steps leave the first word as it is
+        if i < 16:
+            f, g = d ^ (b & (c ^ d)), i
+        elif i < 32:
+            f, g = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+        elif i < 48:
+            f, g = b ^ c ^ d, (3 * i + 5) % 16
+        else:
+            f, g = c ^ (b | ~d), 7 * i % 16
+        x = f + a + (m[g] + _SINES[i])
+        a, d, c, b = d, c, b, b + (x << np.uint32(_SHIFTS[i]) | x >> np.uint32(32 - _SHIFTS[i]))
+    return start + b
+
+
+def _by_digits(lo: int, hi: int, most: int) -> Iterator[tuple[int, int, int]]:
+    """The numbers from lo below hi in runs of at most `most` with equally many digits: start, end, digits."""
+    while lo < hi:
+        digits = len(str(lo))
+        end = min(hi, lo + most, 10**digits)
+        yield lo, end, digits
+        lo = end
+
+
+def _write(m: list[np.ndarray], values: np.ndarray, digits: int, at: int) -> None:
+    """Put the values' decimal digits into the messages' words, from byte `at` on."""
+    for i in range(digits):
+        byte = (values // 10 ** (digits - 1 - i) % 10 + 48).astype(np.uint32)
+        m[(at + i) // 4] = m[(at + i) // 4] | byte << np.uint32(8 * ((at + i) % 4))
+
+
+def draws(first: int, last: int, n: int, seed: int) -> Iterator[tuple[int, np.ndarray]]:
+    """draw() for all n places of the resamples from first below last: blocks of the first resample's number and a row for each."""
+    for p_lo, p_hi, p_digits in _by_digits(0, n, TOGETHER):
+        for r_lo, r_hi, r_digits in _by_digits(first, last, max(1, TOGETHER // (p_hi - p_lo))):
+            prefix = f"{seed}:".encode()
+            colon = len(prefix) + r_digits
+            size = colon + 1 + p_digits
+            message = bytearray(64)
+            message[: len(prefix)], message[colon], message[size], message[56:58] = prefix, 58, 128, (8 * size).to_bytes(2, "little")
+            m = [x.reshape(1, 1) for x in np.frombuffer(bytes(message), np.uint32)]
+            _write(m, np.arange(r_lo, r_hi)[:, None], r_digits, len(prefix))
+            _write(m, np.arange(p_lo, p_hi)[None, :], p_digits, colon + 1)
+            yield r_lo, (_first_word(m).byteswap() >> np.uint32(4)).astype(np.int64) % n
+
+
+def _packed(rows: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """(part, seq, n, codes): the labels in the key's order, a byte each: 1 if they agree, 2 if a is 1, 4 if b is 1; a null label is neither."""
+    code = F.when(F.col(a) == F.col(b), 1).otherwise(0) + F.when(F.col(a) == 1, 2).otherwise(0) + F.when(F.col(b) == 1, 4).otherwise(0)
+    ordered = rows.orderBy(F.col(key).asc_nulls_last(), a, b).select(code.cast("byte").alias("code"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq, held, n = TaskContext.get().partitionId(), 0, [], 0
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([n], pa.int64()), pa.array([b"".join(held)], pa.binary())], names=["part", "seq", "n", "codes"])
+
+        for batch in batches:
+            held.append(np.asarray(batch.column(0)).tobytes())
+            n += batch.num_rows
+            if n >= PACKED:
+                yield row()
+                seq, held, n = seq + 1, [], 0
+        if n:
+            yield row()
+
+    return ordered.mapInArrow(run, "part int, seq int, n long, codes binary")
+
+
 def bootstrap_kappa(rows: DataFrame, key: str, a: str, b: str, repeats: int = 2000, seed: int = 3) -> DataFrame:
     """(low, high): the 2.5 and 97.5 per cent places of kappa over resamples of a labelled set; null under 5 rows.
 
-    Binary labels 0/1. The labelled set is small; each resample is a group of its own.
+    Binary labels 0/1, in the key's order, nulls last. A task takes whole resamples, about TASK_DRAWS draws of them, with a byte for each
+    label, so that no row is made for a draw: draw()'s hashes are taken by numpy, and what leaves a task are a resample's counts.
     """
-    numbered = rows.select((F.row_number().over(Window.orderBy(key)) - 1).cast("long").alias("k"), F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"))
-    n = numbered.count()
-    if n < 5:
-        return rows.sparkSession.createDataFrame([(None, None)], "low double, high double")
     spark = rows.sparkSession
-    picks = spark.range(repeats).withColumnRenamed("id", "r").select("r", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("p"))
-    picks = picks.select("r", draw(F.col("r"), F.col("p"), F.lit(n), seed).alias("k"))
-    s = picks.join(numbered, "k").groupBy("r").agg(F.sum(F.when(F.col("a") == F.col("b"), 1).otherwise(0)).alias("agree"), F.sum("a").alias("sa"), F.sum("b").alias("sb"))
+    packed = staged(_packed(rows, key, a, b), "labels")
+    n = packed.agg(F.sum("n").alias("n")).first()["n"] or 0
+    if n < 5:
+        return spark.createDataFrame([(None, None)], "low double, high double")
+    each = max(1, TASK_DRAWS // n)
+    jobs = -(-repeats // each)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("part", "ascending"), ("seq", "ascending")])
+        code = np.frombuffer(b"".join(table["codes"].to_pylist()), np.uint8)
+        first = table["job"][0].as_py() * each
+        last = min(first + each, repeats)
+        counts = np.zeros((last - first, 8), np.int64)
+        for r, k in draws(first, last, n, seed):
+            own = code[k] + 8 * np.arange(len(k))[:, None]
+            counts[r - first : r - first + len(k)] += np.bincount(own.ravel(), minlength=8 * len(k)).reshape(-1, 8)
+        bit = np.arange(8)
+        agree, sa, sb = (counts[:, bit & x > 0].sum(axis=1) for x in (1, 2, 4))
+        return pa.table({"agree": agree, "sa": sa, "sb": sb})
+
+    dealt = spark.range(jobs).withColumnRenamed("id", "job").crossJoin(packed.select("part", "seq", "codes"))
+    s = dealt.repartition(jobs, "job").groupBy("job").applyInArrow(run, "agree long, sa long, sb long")
     chance = F.col("sa") * F.col("sb") + (n - F.col("sa")) * (n - F.col("sb"))
     value = F.when(chance == n * n, 1.0).otherwise((F.col("agree") * n - chance) / (F.lit(n * n) - chance).cast("double"))
     ordered = s.select(value.alias("v")).agg(F.array_sort(F.collect_list("v")).alias("v"))

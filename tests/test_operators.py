@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import re
 import unicodedata
@@ -117,6 +118,33 @@ def test_thresholds(spark):
     assert tuple(evaluate.bootstrap_kappa(rows((0.1, 1)), "score", "y", "y", 10).first()) == (None, None)
 
 
+def test_draws_are_the_hashes(spark):
+    rows = [(r, p) for r in (0, 9, 10, 101) for p in range(1234)]
+    want = spark.createDataFrame(rows, "r long, p long").select(evaluate.draw(F.col("r"), F.col("p"), F.lit(1234), 3)).collect()
+    got = {r: {} for r in range(102)}
+    place = dict.fromkeys(got, 0)
+    for lo, block in evaluate.draws(0, 102, 1234, 3):
+        for r, ks in enumerate(block.tolist(), lo):
+            got[r] |= dict(enumerate(ks, place[r]))
+            place[r] += len(ks)
+    assert [w[0] for w in want] == [got[r][p] for r, p in rows]
+
+
+def test_bootstrap_makes_no_row_a_draw(spark):
+    rows = spark.range(3000, numPartitions=7).select(F.when(F.col("id") > 0, (F.col("id") * 37) % 4001).alias("key"), (F.col("id") % 2).alias("a"), F.when(F.col("id") % 11 > 0, F.least(F.col("id") % 2, F.col("id") % 5)).alias("b"))
+    got = evaluate.bootstrap_kappa(rows, "key", "a", "b", 60)
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+    by_key = sorted(rows.collect(), key=lambda r: (r.key is None, r.key))
+    n, values = len(by_key), []
+    for r in range(60):
+        some = [by_key[int(hashlib.md5(f"3:{r}:{p}".encode()).hexdigest()[:7], 16) % n] for p in range(n)]
+        sa, sb = sum(x.a for x in some), sum(x.b or 0 for x in some)
+        chance = sa * sb + (n - sa) * (n - sb)
+        values.append((sum(x.a == x.b for x in some) * n - chance) / (n * n - chance))
+    values.sort()
+    assert tuple(got.first()) == (values[1], values[58])
+
+
 def test_encoder_budget_and_batches(spark):
     def call(text):
         if len(text) > 100:
