@@ -145,6 +145,21 @@ def test_bootstrap_makes_no_row_a_draw(spark):
     assert tuple(got.first()) == (values[1], values[58])
 
 
+def test_agreement_report_makes_no_row_a_draw_and_puts_null_keys_last(spark):
+    rows = spark.createDataFrame([(None if i == 5 else i, "same" if i % 3 else "variant", "same" if i % 7 else "distinct") for i in range(40)], "pair long, machine string, human string")
+    got = labels.agreement_report(rows, "pair", "machine", "human", 40)
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+    bits = [(i % 3 > 0, i % 7 > 0) for i in (*range(5), *range(6, 40), 5)]
+    values = []
+    for r in range(40):
+        some = [bits[int(hashlib.md5(f"3:{r}:{p}".encode()).hexdigest()[:7], 16) % 40] for p in range(40)]
+        sa, sb = (sum(x) for x in zip(*some, strict=True))
+        chance = sa * sb + (40 - sa) * (40 - sb)
+        values.append((sum(x == y for x, y in some) * 40 - chance) / (1600 - chance))
+    values.sort()
+    assert (got.first().low, got.first().high) == (round(values[1], 3), round(values[39], 3))
+
+
 def test_encoder_budget_and_batches(spark):
     def call(text):
         if len(text) > 100:
