@@ -70,6 +70,31 @@ def test_bytes_with_keys_of_many_kinds(odd, monkeypatch):
     same(byte_dedup.remove_repeats(odd, digest=True), bytes_left(odd))
 
 
+def test_a_block_asks_several_shards_in_a_row(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    kept = {}
+
+    def staged(df, name, real=byte_dedup.staged):
+        kept[name] = real(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(byte_dedup, "staged", staged)
+    monkeypatch.setattr(byte_dedup.C, "shard_bits", lambda total, per_shard: 6)
+    same(byte_dedup.remove_repeats(docs, digest=True), bytes_left(docs))
+    shards = {r.shard for r in kept["asks"].where("shard >= 0").select("shard").distinct().collect()}
+    assert len(shards) > 4 and max(shards) < 64 >> byte_dedup.ASK_SHARDS
+
+
+def test_sliding_least_and_gram_keys_at_the_ends_of_pieces(monkeypatch):
+    monkeypatch.setattr(byte_dedup, "CACHED", 100)
+    data = np.random.default_rng(3).integers(97, 100, 731, dtype=np.uint8)
+    sums, at = C.prefix_hash(data, byte_dedup.BASE), np.arange(731 - byte_dedup.GRAM + 1)
+    keys = byte_dedup._gram_keys(sums)
+    assert (keys == (C.span_hash(sums, at, at + byte_dedup.GRAM, byte_dedup.BASE) >> np.uint64(32) << np.uint64(32) | at.astype(np.uint64))).all()
+    for width in (1, 2, 33, 369, len(keys)):
+        assert byte_dedup._sliding_least(keys, width).tolist() == [keys[i : i + width].min() for i in range(len(keys) - width + 1)]
+
+
 @pytest.mark.parametrize("wave", [0, 64, 1 << 30])
 def test_suffix_array(wave, monkeypatch):
     monkeypatch.setattr(suffix_array, "WAVE", wave)
