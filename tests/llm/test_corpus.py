@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from compare import database, rows
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gleanery.llm import decontamination, link_graph, mixing, quality_cnn, registry, token_packing
@@ -159,6 +160,14 @@ def test_quotes_across_cuts_are_found(spark):
         assert got == {(k, k) for k in range(len(quotes))}
 
 
+def test_copies_do_not_swell_the_fit(spark):
+    text = " ".join(f"word{i}" for i in range(300))
+    docs = spark.range(500, numPartitions=4).select(F.lit(text).alias("text"))
+    rows = decontamination._sampled(docs, "text", 1).collect()
+    assert len([r for r in rows if r.kind == 1]) == len({r.ids for r in rows if r.kind == 1}) == 9
+    assert {r.n for r in rows if r.kind == 0} == {500}
+
+
 def test_retrieval_against_all_passages(spark, sf):
     """Paraphrases of many items put into documents: what the exact checks alone find is what the query finds."""
     draw = np.random.default_rng(5)
