@@ -22,17 +22,38 @@ def confusion(rows: DataFrame, positive: Column, predicted: Column) -> DataFrame
     return one.withColumns({"precision": p, "recall": r}).withColumn("f1", F.when((F.col("precision") > 0) & (F.col("recall") > 0), 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))))
 
 
+def kappas(rows: DataFrame, views: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """One row with n, agree and Cohen's kappa of each view's two columns, a struct a view: kappa is null without rows, 1 where chance agreement is full.
+
+    All views take one scan, and a label's counts on both sides meet in a grouping, so that nothing is joined or broadcast.
+    """
+    sides = [(f"{view}_{i}", c) for view, two in views.items() for i, c in enumerate(two)]
+    agrees = [F.when(F.col(f"{view}_0") == F.col(f"{view}_1"), F.col("c")).otherwise(0).alias(f"{view}_same") for view in views]
+    cells = rows.groupBy(*(c.alias(name) for name, c in sides)).agg(F.count("*").alias("c")).select("*", *agrees)
+    # the counts of each side's labels; a grouping's number has a 0 bit for the column that it keeps
+    each = cells.groupingSets([[F.col(name)] for name, _ in sides], *(F.col(name) for name, _ in sides)).agg(F.grouping_id().alias("g"), F.sum("c").alias("c"), *(F.sum(f"{view}_same").alias(f"{view}_same") for view in views))
+    kept = {name: F.col("g") == (1 << len(sides)) - 1 - (1 << len(sides) - 1 - i) for i, (name, _) in enumerate(sides)}
+    of = lambda name, value: F.sum(F.when(kept[name], F.col(value)).otherwise(0)).alias(f"{name}_{value}")
+    labels = [F.coalesce(f"{view}_0", f"{view}_1").alias(f"{view}_label") for view in views]
+    met = each.groupBy(*labels).agg(*(of(name, "c") for name, _ in sides), *(of(f"{view}_0", f"{view}_same") for view in views))
+    total = lambda value: F.coalesce(F.sum(value), F.lit(0))
+    one = met.agg(
+        *(total(F.col(f"{view}_0_c")).alias(f"{view}_n") for view in views),
+        *(total(F.col(f"{view}_0_{view}_same")).alias(f"{view}_agree") for view in views),
+        *(total(F.when(F.col(f"{view}_label").isNotNull(), F.col(f"{view}_0_c") * F.col(f"{view}_1_c"))).alias(f"{view}_chance") for view in views),
+    )
+
+    def value(view: str) -> Column:
+        n, chance = F.col(f"{view}_n").cast("double"), F.col(f"{view}_chance")
+        po, pe = F.col(f"{view}_agree") / n, chance / (n * n)
+        return F.when(n == 0, None).when(chance == n * n, 1.0).otherwise(F.try_divide(po - pe, 1 - pe))
+
+    return one.select(*(F.struct(F.col(f"{view}_n").alias("n"), F.col(f"{view}_agree").alias("agree"), value(view).alias("kappa")).alias(view) for view in views))
+
+
 def kappa(rows: DataFrame, a: str, b: str) -> DataFrame:
     """n, agree and Cohen's kappa: null without rows, 1 where chance agreement is full."""
-    cells = rows.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("c"))
-    total = cells.agg(F.sum("c").alias("n"), F.sum(F.when(F.col("a") == F.col("b"), F.col("c")).otherwise(0)).alias("agree"))
-    left, right = cells.groupBy("a").agg(F.sum("c").alias("ca")), cells.groupBy("b").agg(F.sum("c").alias("cb"))
-    chance = left.join(right, F.col("a") == F.col("b")).agg(F.coalesce(F.sum(F.col("ca") * F.col("cb")), F.lit(0)).alias("chance"))
-    both = total.join(F.broadcast(chance))  # one row each
-    n = F.col("n").cast("double")
-    po, pe = F.col("agree") / n, F.col("chance") / (n * n)
-    value = F.when(F.col("n").isNull(), None).when(F.col("chance") == F.col("n") * F.col("n"), 1.0).otherwise(F.try_divide(po - pe, 1 - pe))
-    return both.select(F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("agree", F.lit(0)).alias("agree"), value.alias("kappa"))
+    return kappas(rows, {"both": (F.col(a), F.col(b))}).select("both.*")
 
 
 def draw(repeat: Column, place: Column, n: Column, seed: int) -> Column:

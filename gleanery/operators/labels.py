@@ -45,13 +45,17 @@ def labelled(labels: DataFrame, sample: DataFrame, key: str = "pair", label: str
 
 def agreement_report(rows: DataFrame, key: str, a: str, b: str, repeats: int = 2000, seed: int = 3) -> DataFrame:
     """One row: pairs compared, raw agreement and kappa over all labels and as merge or keep, kappa's interval, disagreements, verdict."""
-    two = rows.select(key, binary(F.col(a)).alias("a"), binary(F.col(b)).alias("b"))
-    ratio = F.try_divide("agree", "n")
-    whole = evaluate.kappa(rows, a, b).select(F.col("n").alias("pairs_compared"), F.round(ratio, 4).alias("raw_agreement"), F.round("kappa", 4).alias("kappa"), (F.col("n") - F.col("agree")).alias("disagreements"))
-    merged = evaluate.kappa(two, "a", "b").select(F.round(ratio, 4).alias("raw_merge"), F.round("kappa", 4).alias("kappa_merge"))
-    as_bits = two.select(key, *((F.col(c) == "merge").cast("int").alias(c) for c in ("a", "b")))
+    two = (F.col(a), F.col(b))
+    as_binary = tuple(binary(c) for c in two)
+    seen = evaluate.kappas(rows, {"raw": two, "merge": as_binary})
+    ratio = lambda view: F.round(F.try_divide(F.col(f"{view}.agree"), F.col(f"{view}.n")), 4)
+    whole = seen.select(
+        F.col("raw.n").alias("pairs_compared"), ratio("raw").alias("raw_agreement"), F.round("raw.kappa", 4).alias("kappa"), (F.col("raw.n") - F.col("raw.agree")).alias("disagreements"),
+        ratio("merge").alias("raw_merge"), F.round("merge.kappa", 4).alias("kappa_merge"),
+    )
+    as_bits = rows.select(key, *((x == "merge").cast("int").alias(c) for x, c in zip(as_binary, ("a", "b"), strict=True)))
     interval = evaluate.bootstrap_kappa(as_bits, key, "a", "b", repeats, seed).select(F.round("low", 3).alias("low"), F.round("high", 3).alias("high"))
-    out = whole.join(F.broadcast(merged)).join(F.broadcast(interval))  # one row each
+    out = whole.join(F.broadcast(interval))  # one row
     verdict = F.when(F.col("kappa_merge").isNull(), "nothing to compare").when(F.col("kappa_merge") < LEAST_KAPPA, "human labels only").otherwise("beside the precision")
     return out.withColumn("verdict", verdict)
 

@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import re
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -160,6 +161,24 @@ def test_agreement_report_makes_no_row_a_draw_and_puts_null_keys_last(spark):
     assert (got.first().low, got.first().high) == (round(values[1], 3), round(values[39], 3))
 
 
+def test_agreement_report_joins_no_counts_and_keeps_null_labels(spark):
+    rows = [(i, ("same", "variant", None)[i % 3], ("same", None, "variant", "distinct")[i % 4]) for i in range(30)]
+    got = labels.agreement_report(spark.createDataFrame(rows, "pair long, machine string, human string"), "pair", "machine", "human", 10)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "HashJoin" not in plan and "SortMergeJoin" not in plan and plan.count("BroadcastExchange") <= 2  # jobs to labels, the interval's row
+
+    def kappa(pairs):
+        a, b = (Counter(x) for x in zip(*pairs, strict=True))
+        chance = sum(a[x] * b[x] for x in a if x is not None) / 900
+        return (sum(x is not None and x == y for x, y in pairs) / 30 - chance) / (1 - chance)
+
+    pairs = [r[1:] for r in rows]
+    merge = [tuple("merge" if x == "same" else "keep" for x in r) for r in pairs]
+    one = got.first()
+    assert (one.kappa, one.kappa_merge) == (round(kappa(pairs), 4), round(kappa(merge), 4))
+    assert (one.pairs_compared, one.disagreements) == (30, sum(x is None or x != y for x, y in pairs))
+
+
 def test_encoder_budget_and_batches(spark):
     def call(text):
         if len(text) > 100:
