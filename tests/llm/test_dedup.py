@@ -85,6 +85,44 @@ def test_a_block_asks_several_shards_in_a_row(spark, sf, monkeypatch):
     assert len(shards) > 4 and max(shards) < 64 >> byte_dedup.ASK_SHARDS
 
 
+def test_shards_follow_what_is_searched(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    text = lambda n: rng.integers(97, 123, n, dtype=np.uint8).tobytes().decode()
+    passage = text(500)  # its edges make over MANY kinds of segments, whose windows are asked singly
+    docs = spark.createDataFrame([(i, text(300) + passage + text(300)) for i in range(byte_dedup.MANY + 44)], "doc_id long, text string")
+    kept = {}
+
+    def staged(df, name, real=byte_dedup.staged):
+        kept[name] = real(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(byte_dedup, "staged", staged)
+    monkeypatch.setattr(byte_dedup, "SHARD_BYTES", 1 << 12)
+    same(byte_dedup.remove_repeats(docs, digest=True), bytes_left(docs))
+    assert {r.shard for r in kept["asks"].where("shard < 0").select("shard").collect()} == {-1}
+
+
+def test_a_block_finds_its_segments_once(monkeypatch):
+    rng = np.random.default_rng(6)
+    raw = rng.integers(97, 100, 6000, dtype=np.uint8).tobytes() * 2
+    lens = np.array([0, 5000, 399, 400, len(raw) - 5799])
+    block = C.Block(np.arange(5).tobytes(), lens.tobytes(), C.squeeze(raw))
+    first = byte_dedup._Segments(block, 400)
+    got = {(byte_dedup.KEPT, byte_dedup.STORED): dict(first.questions(3))[byte_dedup.STORED]}
+    monkeypatch.setattr(byte_dedup, "_gram_keys", None)
+    again = byte_dedup._Segments.of(block, 400, got)
+    for name in ("lo", "hi", "kind_of", "key_of", "example"):
+        assert getattr(again, name).tolist() == getattr(first, name).tolist()
+    assert (again.anchor == first.anchor >> np.uint64(32) << np.uint64(32)).all()
+    assert (again.digest[:, 0] == first.digest[:, 0] >> np.uint64(32) << np.uint64(32)).all()
+
+
+def test_covered_from():
+    flags = np.random.default_rng(7).random(300) < 0.02
+    for n in (0, 1, 12, 13, 300):
+        assert C.covered_from(flags[:n], 13).tolist() == [bool(flags[:n][max(0, i - 12) : i + 1].any()) for i in range(n)]
+
+
 def test_sliding_least_and_gram_keys_at_the_ends_of_pieces(monkeypatch):
     monkeypatch.setattr(byte_dedup, "CACHED", 100)
     data = np.random.default_rng(3).integers(97, 100, 731, dtype=np.uint8)
